@@ -68,11 +68,11 @@ def thread_names(df: DataFrame, defined: DataFrame, role: Column) -> DataFrame:
     record, TERMINATE lets the thread's next HANDOFF do so, NAMELESS records
     have no name themselves.
     """
-    events = df.select("seq", "tid", (F.col("seq") * 2).alias("_order"), role.alias("_role"), F.lit(None).cast("string").alias("_name"))
+    events = df.withColumns({"_order": F.col("seq") * 2, "_role": role, "_name": F.lit(None).cast("string")})
     defs = defined.select(
-        F.lit(None).cast("long").alias("seq"), "tid", F.col("order").alias("_order"), F.lit("define").alias("_role"), F.col("name").alias("_name")
+        "tid", F.col("order").alias("_order"), F.lit("define").alias("_role"), F.col("name").alias("_name")
     )
-    both = events.unionByName(defs)
+    both = events.unionByName(defs, allowMissingColumns=True)
     at = F.col("_order")
     known = scan(
         both,
@@ -88,11 +88,7 @@ def thread_names(df: DataFrame, defined: DataFrame, role: Column) -> DataFrame:
     dead = scan(known, ["tid"], "_order", {"_killed": last(F.when(kills, at), before=True)})
     nameless = F.coalesce(F.col("_role") == NAMELESS, F.lit(False)) | F.col("_born").isNull()
     name = F.when(nameless | F.coalesce(F.col("_killed") > F.col("_born"), F.lit(False)), "").otherwise(F.col("_known"))
-    named = dead.filter(F.col("seq").isNotNull()).select("seq", name.alias("name"))
-    if set(df.columns) == {"seq", "tid"}:
-        return named.join(df, "seq")
-    # seq is unique on both sides, so no key of this join is hot.
-    return df.join(named, "seq")
+    return dead.filter(F.col("seq").isNotNull()).select(*df.columns, name.alias("name"))
 
 
 def coprocessor_names(df: DataFrame, cpu_map: DataFrame) -> DataFrame:
