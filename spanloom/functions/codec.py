@@ -134,9 +134,9 @@ def word_hex(word: Column) -> Column:
 
 
 def text_of_hex(digits: Column) -> Column:
-    """UTF-8 text up to the first NUL byte."""
-    whole = F.decode(F.unhex(digits), "UTF-8")
-    return F.substring_index(whole, "\0", 1)
+    """UTF-8 text of the bytes before the first NUL; broken bytes become U+FFFD."""
+    before_nul = F.regexp_extract(digits, "^((?:(?!00)[0-9A-Fa-f]{2})*)", 1)
+    return F.make_valid_utf8(F.unhex(before_nul).cast("string"))
 
 
 def words_text(*words: Column) -> Column:

@@ -11,6 +11,9 @@ from spanloom import fixed_values as fv
 from spanloom.functions import codec
 from spanloom.operators.sequence import high, last, scan
 
+# Up to this many ranges are compared one by one, which a Parquet scan can use to skip data.
+MOST_RANGES = 24
+
 
 def type_filter(
     df: DataFrame,
@@ -25,23 +28,27 @@ def type_filter(
     ``pairs`` adds filters read from a file (columns ``csc_from``, ``csc_to``).
     """
     spans = [(c, c) for c in classes] + list(ranges)
+    subs = list(subclasses)
     if any(not 0 <= a <= b <= 0xFF for a, b in spans):
         raise ValueError("classes lie between 0 and 255, ranges run upwards")
-    cscs = [(c << 8) + s for c, s in subclasses]
-    if any(not 0 <= c <= 0xFF or not 0 <= s <= 0xFF for c, s in subclasses):
+    if any(not 0 <= c <= 0xFF or not 0 <= s <= 0xFF for c, s in subs):
         raise ValueError("classes and subclasses lie between 0 and 255")
+    wanted = {n for a, b in spans for n in range(a << 8, (b << 8) + 0x100)} | {(c << 8) + s for c, s in subs}
     if pairs is not None:
-        # A type filter has 2**16 bits, so the driver never sees more than 65,536 pairs.
+        # A type filter has 2**16 bits, so the driver never sees more than that many numbers.
         csc = F.explode(F.sequence("csc_from", "csc_to")).alias("csc")
-        cscs += [r.csc for r in pairs.select(csc).distinct().limit(1 << 16).collect()]
-    tests = [F.col("debugid").between(codec.long_lit(a << 24), codec.long_lit((b << 24) + 0xFFFFFF)) for a, b in spans]
-    tests += [F.col("debugid").between(codec.long_lit(c << 16), codec.long_lit((c << 16) + 0xFFFF)) for c in sorted(set(cscs))]
+        wanted |= {r.csc for r in pairs.select(csc).distinct().limit(1 << 16).collect()}
+    if not wanted:
+        raise ValueError("a filter needs at least one class, subclass or range")
+    firsts = sorted(n for n in wanted if n - 1 not in wanted)
+    if len(firsts) > MOST_RANGES:
+        return df.filter(codec.class_subclass(F.col("debugid")).isin(sorted(wanted)))
+    lasts = sorted(n for n in wanted if n + 1 not in wanted)
+    tests = [F.col("debugid").between(codec.long_lit(a << 16), codec.long_lit((b << 16) + 0xFFFF)) for a, b in zip(firsts, lasts)]
     return df.filter(any_of(tests))
 
 
 def any_of(tests: list[Column]) -> Column:
-    if not tests:
-        raise ValueError("a filter needs at least one class, subclass or range")
     while len(tests) > 1:
         tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + (tests[-1:] if len(tests) % 2 else [])
     return tests[0]

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from spanloom.plans import assemble, codes, graphs, links, logs, naming, spans, streams, texts  # noqa: F401
+    from spanloom.plans import assemble, codes, graphs, links, naming, raws, spans, streams, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -51,10 +51,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from there.
+    """Write ``df`` as Parquet to the shared folder once and go on from there.
 
     Used where values must not change on recomputation (positions assigned
     after a range sort) or where a long chain would be planned repeatedly.
+    Later readers prune columns and rows, and a lost executor costs nothing.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = fresh_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
