@@ -61,12 +61,13 @@ def definitions(initial: DataFrame, execs: DataFrame, created: DataFrame | None
     return out
 
 
-def thread_names(df: DataFrame, defined: DataFrame, role: Column) -> DataFrame:
+def thread_names(df: DataFrame, defined: DataFrame, role: Column, marked: str | None = None) -> DataFrame:
     """Add ``name``, the thread's name as of each record, '' where it has none.
 
     ``role`` says what a record does to the name: EXIT removes it after this
     record, TERMINATE lets the thread's next HANDOFF do so, NAMELESS records
-    have no name themselves.
+    have no name themselves. ``marked`` names a column telling whether such a
+    TERMINATE was seen.
     """
     events = df.withColumns({"_order": F.col("seq") * 2, "_role": role, "_name": F.lit(None).cast("string")})
     defs = defined.select(
@@ -88,7 +89,10 @@ def thread_names(df: DataFrame, defined: DataFrame, role: Column) -> DataFrame:
     dead = scan(known, ["tid"], "_order", {"_killed": last(F.when(kills, at), before=True)})
     nameless = F.coalesce(F.col("_role") == NAMELESS, F.lit(False)) | F.col("_born").isNull()
     name = F.when(nameless | F.coalesce(F.col("_killed") > F.col("_born"), F.lit(False)), "").otherwise(F.col("_known"))
-    return dead.filter(F.col("seq").isNotNull()).select(*df.columns, name.alias("name"))
+    out = [name.alias("name")]
+    if marked:
+        out.append(F.coalesce(F.col("_marked") > F.col("_born"), F.lit(False)).alias(marked))
+    return dead.filter(F.col("seq").isNotNull()).select(*df.columns, *out)
 
 
 def coprocessor_names(df: DataFrame, cpu_map: DataFrame) -> DataFrame:

@@ -1 +1,116 @@
+"""Streaming queries: the tables land in slices and the stream is resumed after each."""
 
+import os
+
+from pyspark.sql import functions as F
+
+from spanloom.functions import codec
+from spanloom.operators import names
+from spanloom.plans.naming import LIFE_SQL, initial_map
+from spanloom.plans.registry import query
+from spanloom.plans.spans import SPANS_SQL
+from spanloom.plans.tables import EVENTS_SQL, KEVENTS_SQL, events, kevents, per_type
+from spanloom.session import fresh_path
+from spanloom.sources import raw
+from spanloom.streaming import stateful, windows
+
+SLICES = 3
+
+
+def land(rows, folder, number):
+    """Append one slice in event order, as a collector would drop its next files."""
+    count = rows.agg(F.max("seq")).scalar() + 1
+    rows.filter(F.floor(F.col("seq") * SLICES / count) == number).write.mode("append").parquet(folder)
+
+
+SPAN_ROWS = "seq long, ts long, tid long, debugid long"
+
+
+@query("stream_spans", f"WITH {SPANS_SQL} SELECT seq, tid, eventid, elapsed FROM sp")
+def stream_spans(spark, sf_dir):
+    folder = fresh_path(spark, "stream-spans")
+    source = os.path.join(folder, "in")
+    rows = kevents(spark, sf_dir).select("seq", "ts", "tid", "debugid")
+    for number in range(SLICES):
+        land(rows, source, number)
+        stream = stateful.landed(spark, source, SPAN_ROWS)
+        stateful.run(stream, stateful.span_step(), stateful.SPAN_STATE, folder).awaitTermination()
+    return stateful.output(spark, folder).select("seq", "tid", "eventid", "elapsed")
+
+
+@query(
+    "stream_raw_spans",
+    f"WITH {SPANS_SQL}, n AS (SELECT tid, eventid, elapsed FROM sp) SELECT tid, eventid, elapsed, count(*) AS n FROM n GROUP BY 1, 2, 3",
+)
+def stream_raw_spans(spark, sf_dir):
+    """Raw files arrive slice by slice; spans reach across files and slices."""
+    raw.register(spark)
+    folder = fresh_path(spark, "stream-raw")
+    source = os.path.join(folder, "in")
+    zero = F.lit(0).cast("long")
+    rows = kevents(spark, sf_dir).withColumns({"arg3": zero, "arg4": zero, "cpu": F.col("cpu").cast("int")})
+    count = rows.agg(F.max("seq")).scalar() + 1
+    for number in range(SLICES):
+        part = rows.filter(F.floor(F.col("seq") * SLICES / count) == number)
+        placed = part.repartitionByRange("seq").sortWithinPartitions("seq").drop("seq", "pid", "eventid")
+        placed.write.format("rawevents").mode("append").save(os.path.join(source, f"slice{number}"))
+        stream = stateful.landed_raw(spark, os.path.join(source, "*"))
+        stateful.run(stream, stateful.span_step(), stateful.SPAN_STATE, folder, prepare=stateful.raw_records).awaitTermination()
+    out = stateful.output(spark, folder)
+    return out.groupBy("tid", "eventid", "elapsed").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_names", f"WITH {LIFE_SQL} SELECT seq, tid, name FROM named")
+def stream_names(spark, sf_dir):
+    folder = fresh_path(spark, "stream-names")
+    source = os.path.join(folder, "in")
+    rows = events(spark, sf_dir).select("seq", "tid", "event_type")
+    role = per_type(error=names.EXIT, purchase=names.TERMINATE, click=names.HANDOFF, signup=names.NAMELESS)
+    step = stateful.name_step(role, F.col("event_type") == "signup", F.concat(F.lit("c"), F.col("seq").cast("string")))
+
+    def first_names(session):
+        named = initial_map(session, sf_dir).groupBy("tid").agg(codec.command16(F.max_by("name", "entry")).alias("name"))
+        return named.filter(F.col("tid") != 0).withColumn("marked", F.lit(False))
+
+    for number in range(SLICES):
+        land(rows, source, number)
+        stream = stateful.landed(spark, source, "seq long, tid long, event_type string")
+        stateful.run(stream, step, stateful.NAME_STATE, folder, initial=first_names).awaitTermination()
+    return stateful.output(spark, folder).select("seq", "tid", "name")
+
+
+HOUR_US = 3_600_000_000
+# A window is out once it ends at or before the newest time less the lateness, in whole milliseconds.
+CLOSED_SQL = f"ts // {HOUR_US} * {HOUR_US} + {HOUR_US} <= ((SELECT max(ts) FROM ev) // 1000 - 600000) * 1000"
+
+
+@query(
+    "stream_window_counts",
+    f"WITH {KEVENTS_SQL} SELECT ts // {HOUR_US} * {HOUR_US} AS window_start, debugid >> 24 AS class, count(*) AS n FROM k WHERE {CLOSED_SQL} GROUP BY 1, 2",
+)
+def stream_window_counts(spark, sf_dir):
+    folder = fresh_path(spark, "stream-windows")
+    source, out, checkpoint = (os.path.join(folder, name) for name in ("in", "out", "checkpoint"))
+    rows = kevents(spark, sf_dir).select("seq", "ts", "debugid")
+    for number in range(SLICES):
+        land(rows, source, number)
+        stream = stateful.landed(spark, source, "seq long, ts long, debugid long")
+        counts = windows.window_counts(stream, "1 hour", "10 minutes", codec.event_class(F.col("debugid")).alias("class"))
+        windows.to_parquet(counts, out, checkpoint).awaitTermination()
+    return spark.read.schema("window_start long, class long, n long").parquet(out)
+
+
+@query(
+    "stream_lost_events",
+    f"WITH {EVENTS_SQL} SELECT ts // {HOUR_US} * {HOUR_US} AS window_start, count(*) AS markers FROM ev WHERE event_type = 'error' AND {CLOSED_SQL} GROUP BY 1",
+)
+def stream_lost_events(spark, sf_dir):
+    folder = fresh_path(spark, "stream-lost")
+    source, out, checkpoint = (os.path.join(folder, name) for name in ("in", "out", "checkpoint"))
+    rows = events(spark, sf_dir).select("seq", "ts", "event_type")
+    for number in range(SLICES):
+        land(rows, source, number)
+        stream = stateful.landed(spark, source, "seq long, ts long, event_type string")
+        lost = windows.lost_events(stream, "1 hour", "10 minutes", F.col("event_type") == "error")
+        windows.to_parquet(lost, out, checkpoint).awaitTermination()
+    return spark.read.schema("window_start long, markers long").parquet(out)

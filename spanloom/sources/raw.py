@@ -3,7 +3,7 @@
 ``register(spark)`` adds the format ``rawevents``. Reading is split by byte
 ranges aligned to records; numpy decodes a range, Arrow batches hand it over.
 Options: ``table`` = events | threadmap | cpumap | header, ``bits`` = 64 | 32,
-``splitbytes``. Writing lays down one V1 file per task: the thread map is taken
+``splitbytes``, ``firstfile`` (number of the first file). Writing lays down one V1 file per task: the thread map is taken
 from the column ``command``, the CPU map from the option ``cpus``
 (``id:flags:name`` separated by commas).
 """
@@ -21,7 +21,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -55,7 +55,7 @@ SCHEMAS = {
 }
 BATCH_RECORDS = 1 << 16
 # seq = file number in the high bits, record number below.
-FILE_SHIFT = 40
+FILE_SHIFT = 32
 
 
 def _text(raw: bytes) -> str:
@@ -67,6 +67,21 @@ def _open(path: str):
     return filesystem, inner
 
 
+def _files(path: str) -> list[tuple[str, int]]:
+    """(path, size) of a file, or of the files of a folder in name order."""
+    filesystem, inner = _open(path)
+    info = filesystem.get_file_info(inner)
+    if info.type == pafs.FileType.Directory:
+        found = filesystem.get_file_info(pafs.FileSelector(inner, recursive=True))
+        files = sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", ".")))
+    elif info.type == pafs.FileType.File:
+        files = [(info.path, info.size)]
+    else:
+        raise FileNotFoundError(path)
+    scheme = path.split("://", 1)[0] + "://" if "://" in path and not path.startswith("file") else ""
+    return [(scheme + p, s) for p, s in files]
+
+
 @dataclass
 class Layout:
     version: int
@@ -104,27 +119,19 @@ class RawReader(DataSourceReader):
         self.table = options.get("table", "events")
         self.bits = int(options.get("bits", "64"))
         self.split = int(options.get("splitbytes", str(128 << 20)))
+        self.first_file = int(options.get("firstfile", "0"))
 
     def partitions(self):
         """Byte ranges from the file listing alone; headers are read in the tasks."""
-        filesystem, inner = _open(self.path)
-        info = filesystem.get_file_info(inner)
-        if info.type == pafs.FileType.Directory:
-            found = filesystem.get_file_info(pafs.FileSelector(inner, recursive=True))
-            files = sorted(
-                ((f.path, f.size) for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", "."))),
-            )
-        elif info.type == pafs.FileType.File:
-            files = [(info.path, info.size)]
-        else:
-            raise FileNotFoundError(self.path)
-        scheme = self.path.split("://", 1)[0] + "://" if "://" in self.path else ""
-        if scheme and not scheme.startswith("file"):
-            files = [(scheme + p, s) for p, s in files]
+        files = [f for path in self.path.split("\n") for f in _files(path)]
+        if any(size >> FILE_SHIFT >= RECORD[self.bits].itemsize for _, size in files):
+            raise ValueError("a raw file holds at most 2**32 records")
         if self.table != "events":
-            return [Range(p, i, 0, s, s) for i, (p, s) in enumerate(files)]
+            return [Range(p, i, 0, s, s) for i, (p, s) in enumerate(files, self.first_file)]
         return [
-            Range(p, i, at, min(at + self.split, s), s) for i, (p, s) in enumerate(files) for at in range(0, max(s, 1), self.split)
+            Range(p, i, at, min(at + self.split, s), s)
+            for i, (p, s) in enumerate(files, self.first_file)
+            for at in range(0, max(s, 1), self.split)
         ]
 
     def read(self, part: Range):
@@ -148,7 +155,7 @@ class RawReader(DataSourceReader):
 
     def _batch(self, rows: np.ndarray, at: int, part: Range) -> pa.RecordBatch:
         if self.bits == 64:
-            ts, cpu = rows["ts"].view("<i8") if rows["ts"].flags.c_contiguous else rows["ts"].astype("<u8").view("<i8"), rows["cpu"]
+            ts, cpu = rows["ts"].astype("<u8").view("<i8"), rows["cpu"]
         else:
             ts = (rows["ts"] & np.uint64(0x00FFFFFFFFFFFFFF)).astype("<i8")
             cpu = rows["ts"] >> np.uint64(56)
@@ -290,6 +297,20 @@ def register(spark: SparkSession) -> None:
     spark._spanloom_raw = True
 
 
-def read_raw(spark: SparkSession, path: str, table: str = "events", bits: int = 64, splitbytes: int = 128 << 20):
+def read_raw(
+    spark: SparkSession,
+    path: str | list[str],
+    table: str = "events",
+    bits: int = 64,
+    splitbytes: int = 128 << 20,
+    first_file: int = 0,
+) -> DataFrame:
+    """Records or side tables of raw files; ``path`` is a file, a folder or a list of these.
+
+    Files are numbered from ``first_file`` in the order given; ``seq`` rises
+    along files and records.
+    """
     register(spark)
-    return spark.read.format("rawevents").options(table=table, bits=bits, splitbytes=splitbytes).load(path)
+    joined = path if isinstance(path, str) else "\n".join(path)
+    options = {"table": table, "bits": bits, "splitbytes": splitbytes, "firstfile": first_file, "path": joined}
+    return spark.read.format("rawevents").options(**options).load()
