@@ -51,15 +51,17 @@ def path_assembly(spark, sf_dir):
 
 
 def text_chunks(spark, sf_dir):
-    """documents cut in chunks of 24 characters, the last one NUL padded."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = F.floor(F.length("text") / 24)
-    rows = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), pieces.cast("int"))).alias("j"))
+    """documents cut in chunks of 24 characters, the last one NUL padded.
+
+    One regular expression cuts a text in a single pass, however long it is.
+    """
+    pieces = F.regexp_extract_all(F.concat("text", F.lit("\0")), F.lit(r"[\s\S]{1,24}"), F.lit(0))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces).alias("j", "piece"))
     return rows.select(
         (F.col("doc_id") * (1 << PLACE_BITS) + F.col("j")).alias("seq"),
         (F.col("doc_id") % 8).alias("tid"),
         "doc_id",
-        F.rpad(F.substring("text", F.col("j") * 24 + 1, F.lit(24)), 24, "\0").alias("chunk"),
+        F.rpad("piece", 24, "\0").alias("chunk"),
     )
 
 

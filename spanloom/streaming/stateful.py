@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from spanloom import fixed_values as fv
 from spanloom.functions import codec
 from spanloom.operators import names, spans
+from spanloom.session import settle
 from spanloom.sources.raw import read_raw
 
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
@@ -148,7 +149,8 @@ def name_step(role: Column, is_definition: Column, definition: Column) -> Step:
         threads = rows.select("tid").unionByName(state.select("tid")).distinct()
         probes = threads.select(after.alias("seq"), "tid", F.lit("probe").alias("_role"))
         both = rows.select("seq", "tid", "_role").unionByName(marks).unionByName(probes)
-        named = names.thread_names(both, held.unionByName(told), F.col("_role"), marked="marked")
+        # Output and state both read these names, so they are computed once.
+        named = settle(names.thread_names(both, held.unionByName(told), F.col("_role"), marked="marked"))
         probe = F.coalesce(F.col("_role") == "probe", F.lit(False))
         out = named.filter((F.col("seq") >= 0) & ~probe).select("seq", "tid", "name")
         return out, named.filter(probe & (F.col("name") != "")).select("tid", "name", "marked")
