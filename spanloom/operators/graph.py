@@ -73,14 +73,15 @@ def cluster_check(edges: DataFrame, declared: DataFrame) -> DataFrame:
 def action_boxes(edges: DataFrame, keys: list[str], gid: str, action: str) -> DataFrame:
     """Boxes of consecutive actions of one group; a backtrace stands alone as a note."""
     note = F.col(action).contains("backtrace")
-    cut = runs(edges, keys, "seq", F.col(gid), "box", breaks=note)
+    cut = runs(edges, keys, "seq", gid, "box", breaks=note)
     flagged = cut.withColumn("note", note)
     return ordered_text(flagged, [*keys, "box", gid, "note"], "seq", action, "\\n", "actions")
 
 
 def symbol_runs(steps: DataFrame, keys: list[str], symbol: str) -> DataFrame:
     """Instruction count of each run of steps in one symbol."""
-    return runs(steps, keys, "seq", F.col(symbol)).groupBy(*keys, "run", symbol).agg(F.count(F.lit(1)).alias("insts"))
+    narrow = steps.select(*keys, "seq", symbol)
+    return runs(narrow, keys, "seq", symbol).groupBy(*keys, "run", symbol).agg(F.count(F.lit(1)).alias("insts"))
 
 
 def lane_numbers(names: DataFrame, name: str = "name") -> DataFrame:

@@ -33,19 +33,19 @@ def new_thread_names(df: DataFrame, is_new: Column, is_name: Column, new_tid: Co
     each other.
     """
     rows = df.filter(is_new | is_name).select(
-        "seq",
-        F.col("tid").alias("creator"),
-        F.when(is_new, 1).otherwise(-1).cast("long").alias("_way"),
-        new_tid.alias("_new"),
-        name.alias("name"),
+        "seq", F.col("tid").alias("creator"), F.when(is_new, 1).otherwise(-1).cast("long").alias("_way")
     )
-    summed = scan(rows, ["creator"], "seq", {"_sum": total(F.col("_way"))})
+    # Only position, creator and direction go through the scans; ids and names join at the end.
+    summed = scan(rows, ["creator"], "seq", {"_sum": total(F.col("_way"))}, shared=True)
     lows = scan(summed, ["creator"], "seq", {"_low": low(F.col("_sum"))})
     depth = F.col("_sum") - F.least(F.lit(0), F.col("_low")) + F.when(F.col("_way") == 1, 0).otherwise(1)
-    levels = lows.withColumn("_level", depth)
-    paired = scan(levels, ["creator", "_level"], "seq", {"_pway": prev(F.col("_way")), "_pnew": prev(F.col("_new"))})
-    named = paired.filter((F.col("_way") == -1) & (F.col("_pway") == 1))
-    return named.select("seq", "creator", F.col("_pnew").alias("tid"), codec.command16(F.col("name")).alias("name"))
+    levels = lows.select("seq", "creator", "_way", depth.alias("_level"))
+    paired = scan(levels, ["creator", "_level"], "seq", {"_pway": prev(F.col("_way")), "_pseq": prev(F.col("seq"))}, shared=True)
+    pairs = paired.filter((F.col("_way") == -1) & (F.col("_pway") == 1)).select("seq", "creator", "_pseq")
+    made = df.filter(is_new).select(F.col("seq").alias("_pseq"), new_tid.alias("_new"))
+    told = df.filter(is_name).select("seq", name.alias("name"))
+    named = pairs.join(made, "_pseq").join(told, "seq")
+    return named.select("seq", "creator", F.col("_new").alias("tid"), codec.command16(F.col("name")).alias("name"))
 
 
 def definitions(initial: DataFrame, execs: DataFrame, created: DataFrame | None = None) -> DataFrame:
@@ -69,10 +69,14 @@ def thread_names(df: DataFrame, defined: DataFrame, role: Column, marked: str |
     have no name themselves. ``marked`` names a column telling whether such a
     TERMINATE was seen.
     """
+    # Without further columns, seq is read off the order again and the first scan shares its shuffle.
+    narrow = [c for c in df.columns if c not in ("seq", "tid", "role")] == []
     events = df.withColumns({"_order": F.col("seq") * 2, "_role": role, "_name": F.lit(None).cast("string")})
     defs = defined.select(
         "tid", F.col("order").alias("_order"), F.lit("define").alias("_role"), F.col("name").alias("_name")
     )
+    if narrow:
+        events = events.select("tid", "_order", "_role", "_name")
     both = events.unionByName(defs, allowMissingColumns=True)
     at = F.col("_order")
     known = scan(
@@ -84,6 +88,7 @@ def thread_names(df: DataFrame, defined: DataFrame, role: Column, marked: str |
             "_known": last(F.when(F.col("_role") == "define", F.col("_name"))),
             "_marked": last(F.when(F.col("_role") == TERMINATE, at), before=True),
         },
+        shared=narrow,
     )
     kills = (F.col("_role") == EXIT) | ((F.col("_role") == HANDOFF) & (F.col("_marked") > F.col("_born")))
     dead = scan(known, ["tid"], "_order", {"_killed": last(F.when(kills, at), before=True)})
@@ -92,7 +97,11 @@ def thread_names(df: DataFrame, defined: DataFrame, role: Column, marked: str |
     out = [name.alias("name")]
     if marked:
         out.append(F.coalesce(F.col("_marked") > F.col("_born"), F.lit(False)).alias(marked))
-    return dead.filter(F.col("seq").isNotNull()).select(*df.columns, *out)
+    if not narrow:
+        return dead.filter(F.col("seq").isNotNull()).select(*df.columns, *out)
+    recorded = dead.filter(~F.coalesce(F.col("_role") == "define", F.lit(False)))
+    seq = F.shiftright(F.col("_order"), 1).alias("seq")
+    return recorded.select(seq, "tid", *([F.col("_role").alias("role")] if "role" in df.columns else []), *out)
 
 
 def coprocessor_names(df: DataFrame, cpu_map: DataFrame) -> DataFrame:

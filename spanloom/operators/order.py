@@ -10,6 +10,15 @@ from spanloom.operators.filters import visible
 from spanloom.operators.sequence import last, prev, row_numbers, scan, total
 
 
+def _delta() -> Column:
+    none_before = F.coalesce(F.col("_pts") == 0, F.lit(True))
+    return F.when(none_before, F.col("ts")).otherwise(F.col("ts") - F.col("_pts"))
+
+
+def _wrapped() -> Column:
+    return F.coalesce((F.col("ts") < F.col("_pts")).cast("long"), F.lit(0).cast("long"))
+
+
 def delta_times(df: DataFrame, counted: Column | None = None, verbose: bool = False) -> DataFrame:
     """Time since the previous counted row of the file.
 
@@ -18,16 +27,21 @@ def delta_times(df: DataFrame, counted: Column | None = None, verbose: bool = Fa
     """
     rows = df if counted is None else df.filter(counted)
     seen = scan(rows, [], "seq", {"_pts": prev(F.col("ts"))})
-    none_before = F.coalesce(F.col("_pts") == 0, F.lit(True))
-    out = seen.withColumn("delta", F.when(none_before, F.col("ts")).otherwise(F.col("ts") - F.col("_pts"))).drop("_pts")
+    out = seen.withColumn("delta", _delta()).drop("_pts")
     return out if verbose else out.filter(visible())
 
 
 def ring_segments(df: DataFrame) -> DataFrame:
     """Number the segments of a ring file: a new one begins where time runs backwards."""
-    seen = scan(df, [], "seq", {"_pts": prev(F.col("ts"))})
-    wrapped = F.coalesce((F.col("ts") < F.col("_pts")).cast("long"), F.lit(0).cast("long"))
-    return scan(seen.withColumn("_wrapped", wrapped), [], "seq", {"segment": total(F.col("_wrapped"))}).drop("_pts", "_wrapped")
+    seen = scan(df, [], "seq", {"_pts": prev(F.col("ts"))}, shared=set(df.columns) == {"seq", "ts"})
+    return scan(seen.withColumn("_wrapped", _wrapped()), [], "seq", {"segment": total(F.col("_wrapped"))}).drop("_pts", "_wrapped")
+
+
+def file_times(df: DataFrame) -> DataFrame:
+    """(seq, delta, segment) of each counted row, from its time and the one before."""
+    seen = scan(df.select("seq", "ts"), [], "seq", {"_pts": prev(F.col("ts"))}, shared=True)
+    both = seen.select("seq", _delta().alias("delta"), _wrapped().alias("_wrapped"))
+    return scan(both, [], "seq", {"segment": total(F.col("_wrapped"))}).drop("_wrapped")
 
 
 def carry_header(df: DataFrame, header: Column, order: str = "seq", name: str = "header") -> DataFrame:

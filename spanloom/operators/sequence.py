@@ -88,6 +88,7 @@ def scan(
     span_bits: int | None = None,
     split: str = "all",
     hot_rows: int | None = None,
+    shared: bool = False,
 ) -> DataFrame:
     """Add one column per step, computed along ``order`` within ``keys``.
 
@@ -97,21 +98,29 @@ def scan(
     ``split='hot'`` is for many short keys (message pointers): a narrow count
     finds the keys above ``hot_rows`` and only those are cut, so the hand-over
     side stays empty unless a hot key exists.
+
+    ``shared`` says that the steps use all columns of ``df``. Rows are then
+    shuffled once and both the windows and the block rows read that shuffle,
+    so a chain of scans computes its input once. With further columns the
+    block rows come from the input instead, combined before their shuffle.
     """
     span_bits = SPAN_BITS if span_bits is None else span_bits
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     names = list(steps)
-    rows = df.select("*", *[steps[n].value.alias(f"_v_{n}") for n in names])
     block = F.shiftright(F.col(order), span_bits)
     if split == "hot":
         hot = F.broadcast(_hot_keys(df, keys, hot_rows).withColumn("_hot", F.lit(True)))
-        rows = rows.join(hot, keys, "left").withColumn("_blk", F.when(F.col("_hot"), block)).drop("_hot")
+        rows = df.join(hot, keys, "left").withColumn("_blk", F.when(F.col("_hot"), block)).drop("_hot")
         cut = rows.filter(F.col("_blk").isNotNull())
         # Short keys all sit in one block each; the constant keeps the join key non-null.
         rows = rows.withColumn("_blk", F.coalesce(F.col("_blk"), F.lit(-1).cast("long")))
     else:
-        rows = rows.withColumn("_blk", block)
+        rows = df.withColumn("_blk", block)
+        if shared:
+            rows = rows.repartition(*keys, "_blk")
         cut = rows
+    values = [steps[n].value.alias(f"_v_{n}") for n in names]
+    rows, cut = rows.select("*", *values), cut.select("*", *values)
 
     inside = Window.partitionBy(*keys, "_blk").orderBy(order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -181,14 +190,18 @@ def row_numbers(df: DataFrame, keys: list[str], order: str, name: str = "rn") ->
     return scan(df, keys, order, {name: total(F.lit(1).cast("long"))})
 
 
-def runs(df: DataFrame, keys: list[str], order: str, value: Column, name: str = "run", breaks: Column | None = None) -> DataFrame:
+def runs(df: DataFrame, keys: list[str], order: str, value: str, name: str = "run", breaks: Column | None = None) -> DataFrame:
     """Number runs of equal consecutive ``value``: ``name`` is the position of the run's first row.
 
     ``breaks`` marks rows that stand alone, whatever their neighbours hold.
     """
+    if breaks is None and set(df.columns) == {*keys, order, value}:
+        seen = scan(df, keys, order, {"_px": prev(F.col(value)), "_pat": prev(F.col(order))}, shared=True)
+        starts = F.col("_pat").isNull() | ~F.col("_px").eqNullSafe(F.col(value))
+        return scan(seen, keys, order, {name: last(F.when(starts, F.col(order)))}).drop("_px", "_pat")
     lone = F.lit(False) if breaks is None else breaks
     seen = scan(
-        df.withColumn("_x", value).withColumn("_lone", lone),
+        df.withColumn("_x", F.col(value)).withColumn("_lone", lone),
         keys,
         order,
         {"_px": prev(F.col("_x")), "_plone": prev(F.col("_lone"))},

@@ -78,7 +78,7 @@ def decode(
     found = settle(assemble.paths(records).select(F.col("end_seq").alias("seq"), "dvp", "path"))
     rows = counted(records, found)
 
-    at = order.ring_segments(order.delta_times(rows.select("seq", "ts"), verbose=True)).select("seq", "delta", "segment")
+    at = order.file_times(rows)
     initial = thread_map.select("tid", F.col("command").alias("name"), "entry")
     defined = names.definitions(initial, exec_names(records), created_threads(records))
     roles = rows.select("seq", "tid", names.name_role(F.col("debugid")).alias("role"))

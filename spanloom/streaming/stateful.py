@@ -148,10 +148,10 @@ def name_step(role: Column, is_definition: Column, definition: Column) -> Step:
         after = rows.agg(F.max("seq") + 1).scalar()
         threads = rows.select("tid").unionByName(state.select("tid")).distinct()
         probes = threads.select(after.alias("seq"), "tid", F.lit("probe").alias("_role"))
-        both = rows.select("seq", "tid", "_role").unionByName(marks).unionByName(probes)
+        both = rows.select("seq", "tid", "_role").unionByName(marks).unionByName(probes).withColumnRenamed("_role", "role")
         # Output and state both read these names, so they are computed once.
-        named = settle(names.thread_names(both, held.unionByName(told), F.col("_role"), marked="marked"))
-        probe = F.coalesce(F.col("_role") == "probe", F.lit(False))
+        named = settle(names.thread_names(both, held.unionByName(told), F.col("role"), marked="marked"))
+        probe = F.coalesce(F.col("role") == "probe", F.lit(False))
         out = named.filter((F.col("seq") >= 0) & ~probe).select("seq", "tid", "name")
         return out, named.filter(probe & (F.col("name") != "")).select("tid", "name", "marked")
 
