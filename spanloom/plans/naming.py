@@ -107,7 +107,7 @@ def owner_map(spark, sf_dir):
     return names.owners(owned(spark, sf_dir))
 
 
-LEARNED_SQL = "nm AS (SELECT user_id % 64 AS tid, arg_max('n' || seq, seq) AS name, max(seq) AS o FROM ev WHERE event_type = 'signup' AND user_id % 3 = 0 GROUP BY 1)"
+LEARNED_SQL = "nm AS (SELECT user_id % 64 AS tid, arg_max('n' || seq, seq) AS name, max(seq) AS o FROM ev WHERE event_type = 'signup' AND value > 480 GROUP BY 1)"
 
 RESOLVED_SQL = f"""{EVENTS_SQL}, {OWNED_SQL}, {PROCS_SQL}, {LEARNED_SQL},
  taught AS (SELECT pid, arg_max(name, nm.o) AS name FROM own JOIN nm USING (tid) GROUP BY pid),
@@ -116,7 +116,7 @@ RESOLVED_SQL = f"""{EVENTS_SQL}, {OWNED_SQL}, {PROCS_SQL}, {LEARNED_SQL},
 
 
 def learned(spark, sf_dir):
-    ev = events(spark, sf_dir).filter((F.col("event_type") == "signup") & (F.col("user_id") % 3 == 0))
+    ev = events(spark, sf_dir).filter((F.col("event_type") == "signup") & (F.col("value") > 480))
     return ev.select(F.col("seq").alias("order"), "tid", F.concat(F.lit("n"), F.col("seq").cast("string")).alias("name"))
 
 
@@ -144,12 +144,12 @@ def event_commands(spark, sf_dir):
 
 @query(
     "missing_threads",
-    f"""WITH {RESOLVED_SQL}, asked AS (SELECT DISTINCT user_id % 80 AS tid FROM ev)
+    f"""WITH {RESOLVED_SQL}, asked AS (SELECT DISTINCT user_id * 5 % 160 AS tid FROM ev)
 SELECT 'tid' AS kind, tid AS id FROM asked WHERE tid NOT IN (SELECT tid FROM res) AND tid NOT IN (SELECT tid FROM own)
 UNION ALL SELECT DISTINCT 'pid', pid FROM own WHERE tid IN (SELECT tid FROM asked) AND pid NOT IN (SELECT pid FROM res) AND pid NOT IN (SELECT pid FROM procs)""",
 )
 def missing_threads(spark, sf_dir):
-    asked = events(spark, sf_dir).select((F.col("user_id") % 80).alias("tid"))
+    asked = events(spark, sf_dir).select((F.col("user_id") * 5 % 160).alias("tid"))
     return names.missing(asked, owned(spark, sf_dir), resolved(spark, sf_dir), processes(spark, sf_dir))
 
 

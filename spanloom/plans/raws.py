@@ -12,7 +12,7 @@ from spanloom.sources import raw
 def written(spark, sf_dir):
     """events as raw records, with the customer of each thread number as its command."""
     raw.register(spark)
-    names = table(spark, sf_dir, "customer").filter(F.col("c_custkey") < 64).select(F.col("c_custkey").alias("tid"), F.col("c_name").alias("command"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tid"), F.col("c_name").alias("command"))
     zero = F.lit(0).cast("long")
     rows = kevents(spark, sf_dir).join(names, "tid", "left").select(
         "seq", "ts", "arg1", "arg2", zero.alias("arg3"), (-F.col("seq")).alias("arg4"), "tid", "debugid", F.col("cpu").cast("int").alias("cpu"), "command"

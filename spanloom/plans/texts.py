@@ -70,7 +70,7 @@ def process_file(spark, sf_dir):
 @query(
     "image_list_file",
     """SELECT s_suppkey AS pid, 'x86_64' AS arch, s_name AS comm, 4294967296 + p_partkey * 4096 AS load_addr, '/lib/' || p_name AS path
-FROM part JOIN supplier ON p_partkey % 40 = s_suppkey""",
+FROM part JOIN supplier ON p_partkey % (SELECT count(*) FROM supplier) = s_suppkey""",
 )
 def image_list_file(spark, sf_dir):
     key = F.col("s_suppkey")
@@ -78,7 +78,7 @@ def image_list_file(spark, sf_dir):
     heads = sup.select(
         key.alias("pid"), F.lit(-1).cast("long").alias("at"), F.concat(F.lit("DumpProcess "), codec.hex_text(key), F.lit(" x86_64 "), F.col("s_name")).alias("value")
     )
-    owned = table(spark, sf_dir, "part").withColumn("pid", F.col("p_partkey") % 40).join(sup.select(key.alias("pid")), "pid", "left_semi")
+    owned = table(spark, sf_dir, "part").withColumn("pid", F.col("p_partkey") % sup.agg(F.count(F.lit(1))).scalar())
     entries = owned.select(
         "pid",
         F.col("p_partkey").alias("at"),

@@ -21,9 +21,9 @@ def lost_events(stream: DataFrame, width: str, lateness: str, is_marker: Column
     """Lost-event markers per window."""
     marker = (codec.event_id(F.col("debugid")) == fv.LOST_EVENTS) if is_marker is None else is_marker
     timed = stream.withColumn("_time", F.timestamp_micros(ts)).withWatermark("_time", lateness)
-    # Filtering after the watermark lets every record move it.
-    counted = timed.filter(marker).groupBy(F.window("_time", width)).agg(F.count(F.lit(1)).alias("markers"))
-    return counted.select(F.unix_micros("window.start").alias("window_start"), "markers")
+    # Counted, not filtered: a filter would go below the watermark, which every record is to move.
+    counted = timed.groupBy(F.window("_time", width)).agg(F.count(F.when(marker, 1)).alias("markers"))
+    return counted.filter("markers > 0").select(F.unix_micros("window.start").alias("window_start"), "markers")
 
 
 def to_parquet(counts: DataFrame, path: str, checkpoint: str):
