@@ -99,3 +99,10 @@ LABEL_DIVISOR = 10000
 PAGE_LINES = 64
 PART_ROWS = 40000
 WRAP_MARKER = "Begin the next line"
+
+# Page heading of the report.
+PAGE_GAP = "Number of microsecs since in last page %8.1f"
+PAGE_COLUMNS = (
+    "   AbsTime(Us)      Delta            debugid                       arg1             arg2             arg3             "
+    "arg4              thread         cpu#  command"
+)

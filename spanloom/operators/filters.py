@@ -15,16 +15,15 @@ from spanloom.operators.sequence import high, last, scan
 MOST_RANGES = 24
 
 
-def type_filter(
-    df: DataFrame,
+def type_ranges(
     classes: Iterable[int] = (),
     subclasses: Iterable[tuple[int, int]] = (),
     ranges: Iterable[tuple[int, int]] = (),
     pairs: DataFrame | None = None,
-) -> DataFrame:
-    """Rows of any given class, (class, subclass) or inclusive class range.
+) -> list[tuple[int, int]]:
+    """Inclusive class-subclass ranges of a type filter, merged and in order.
 
-    The tests are plain comparisons on debugid, so they reach a Parquet scan.
+    Any given class, (class, subclass) or inclusive class range counts;
     ``pairs`` adds filters read from a file (columns ``csc_from``, ``csc_to``).
     """
     spans = [(c, c) for c in classes] + list(ranges)
@@ -41,10 +40,19 @@ def type_filter(
     if not wanted:
         raise ValueError("a filter needs at least one class, subclass or range")
     firsts = sorted(n for n in wanted if n - 1 not in wanted)
-    if len(firsts) > MOST_RANGES:
-        return df.filter(codec.class_subclass(F.col("debugid")).isin(sorted(wanted)))
     lasts = sorted(n for n in wanted if n + 1 not in wanted)
-    tests = [F.col("debugid").between(codec.long_lit(a << 16), codec.long_lit((b << 16) + 0xFFFF)) for a, b in zip(firsts, lasts)]
+    return list(zip(firsts, lasts))
+
+
+def type_filter(df: DataFrame, **wanted) -> DataFrame:
+    """Rows of a type filter, see ``type_ranges`` for the arguments.
+
+    Few ranges become comparisons on debugid, which reach a Parquet scan.
+    """
+    merged = type_ranges(**wanted)
+    if len(merged) > MOST_RANGES:
+        return df.filter(codec.class_subclass(F.col("debugid")).isin([n for a, b in merged for n in range(a, b + 1)]))
+    tests = [F.col("debugid").between(codec.long_lit(a << 16), codec.long_lit((b << 16) + 0xFFFF)) for a, b in merged]
     return df.filter(any_of(tests))
 
 

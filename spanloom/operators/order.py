@@ -49,9 +49,21 @@ def carry_header(df: DataFrame, header: Column, order: str = "seq", name: str =
     return scan(df, [], order, {name: last(header)})
 
 
-def part_numbers(df: DataFrame, rows: int = fv.PART_ROWS, order: str = "seq") -> DataFrame:
-    """Part of each data row; the row that fills a part opens the next one."""
-    return row_numbers(df, [], order, "_rn").withColumn("part", F.floor(F.col("_rn") / rows)).drop("_rn")
+def part_numbers(df: DataFrame, rows: int = fv.PART_ROWS, order: str = "seq", section: str | None = None) -> DataFrame:
+    """Part of each data row; the row that fills a part opens the next one.
+
+    Rows are counted over the whole file. With a ``section`` (a column that is
+    constant between two headers) each section starts with part 0 and takes
+    the file's part number from the first row that opens a part in it.
+    """
+    numbered = row_numbers(df, [], order, "_rn")
+    part = F.floor(F.col("_rn") / rows)
+    if section is None:
+        return numbered.withColumn("part", part).drop("_rn")
+    before = row_numbers(df.select(section, order), [], order, "_rn").groupBy(section).agg((F.min("_rn") - 1).alias("_before"))
+    opened = part > F.floor(F.col("_before") / rows)
+    zero = F.lit(0).cast("long")
+    return numbered.join(before, section).withColumn("part", F.when(opened, part).otherwise(zero)).drop("_rn", "_before")
 
 
 def page_times(df: DataFrame, lines: int = fv.PAGE_LINES, order: str = "seq", ts: str = "ts") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom import fixed_values as fv
@@ -10,6 +10,7 @@ from spanloom.functions import codec
 from spanloom.operators import assemble, codes, names, order, spans
 from spanloom.operators.filters import visible
 from spanloom.session import settle
+from spanloom.sources import raw, text
 
 
 def counted(records: DataFrame, found: DataFrame) -> DataFrame:
@@ -53,6 +54,33 @@ def exec_names(records: DataFrame) -> DataFrame:
     return execs.select("seq", "tid", codec.words_text(*[F.col(f"arg{i}") for i in range(1, 5)]).alias("name"))
 
 
+def decode_files(
+    spark: SparkSession,
+    path: str,
+    code_paths: list[str],
+    lists_before: str | None = None,
+    lists_after: str | None = None,
+    bits: int = 64,
+    divisor: float = 1.0,
+    types: list[tuple[int, int]] | None = None,
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """Decode raw files with their side files: (report rows, thread map of the capture).
+
+    The records are settled as Parquet first, so the raw bytes are read once.
+    """
+    records = settle(raw.read_raw(spark, path, bits=bits, types=types).drop("file"))
+    thread_map = raw.read_raw(spark, path, table="threadmap", bits=bits)
+    cpu_map = raw.read_raw(spark, path, table="cpumap", bits=bits)
+    empty = spark.createDataFrame([], "pid long, command string, line long")
+    before, after = (text.read_processes(spark, p) if p else empty for p in (lists_before, lists_after))
+    processes = names.overlay(before, after)
+    shown = decode(records, text.read_codes(spark, code_paths), thread_map, cpu_map, processes, divisor=divisor, **options)
+    shown = settle(shown)
+    learned = shown.select(F.col("seq").alias("order"), "tid", F.col("command").alias("name"))
+    return shown, names.resolved_map(names.owner_events(records), learned, processes)
+
+
 def decode(
     records: DataFrame,
     dictionary: DataFrame,

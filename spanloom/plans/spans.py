@@ -212,12 +212,14 @@ YEAR_US = 365 * 86_400_000_000
 @query(
     "parts",
     f"""WITH r AS (SELECT epoch_us(l_shipdate) // {YEAR_US} AS cluster, l_orderkey,
-  row_number() OVER (ORDER BY {", ".join(LINE_ORDER)}) AS rn FROM lineitem)
-SELECT cluster, rn // 40000 AS part, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM r GROUP BY ALL""",
+  row_number() OVER (ORDER BY {", ".join(LINE_ORDER)}) AS rn FROM lineitem),
+ p AS (SELECT cluster, l_orderkey, CASE WHEN rn // 40000 > (min(rn) OVER (PARTITION BY cluster) - 1) // 40000 THEN rn // 40000 ELSE 0 END AS part FROM r)
+SELECT cluster, part, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM p GROUP BY ALL""",
 )
 def parts(spark, sf_dir):
     rows = sequence(table(spark, sf_dir, "lineitem").select(*LINE_ORDER), *LINE_ORDER)
-    cut = order.part_numbers(rows).withColumn("cluster", F.floor(F.col("l_shipdate") / YEAR_US))
+    clustered = rows.select("seq", "l_orderkey", F.floor(F.col("l_shipdate") / YEAR_US).alias("cluster"))
+    cut = order.part_numbers(clustered, section="cluster")
     return cut.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
 
 

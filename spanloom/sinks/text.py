@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from spanloom import fixed_values as fv
 from spanloom.functions import codec
+from spanloom.operators.names import map_lines
+from spanloom.operators.order import page_times
+from spanloom.operators.sequence import row_numbers
+from spanloom.session import settle
 
 
 def write_lines(df: DataFrame, path: str, order: list[str], parts: list[str] | None = None, value: str = "value") -> None:
@@ -54,9 +58,34 @@ def report_lines(decoded: DataFrame) -> DataFrame:
     return decoded.select("segment", "seq", line.alias("value"))
 
 
-def write_report(decoded: DataFrame, path: str) -> None:
-    """Report text, one folder per ring segment; later segments begin with a marker line."""
-    lines = report_lines(decoded)
+def page_heads(decoded: DataFrame) -> DataFrame:
+    """Heading of each 64-line page: time since the page before, then the column names."""
+    shown = decoded.select("seq", "segment", F.col("us").alias("ts"))
+    pages = page_times(shown)
+    firsts = row_numbers(shown, [], "seq", "_rn").filter((F.col("_rn") - 1) % fv.PAGE_LINES == 0)
+    at = firsts.select(F.floor((F.col("_rn") - 1) / fv.PAGE_LINES).alias("page"), "segment", "seq")
+    since = F.when(
+        F.col("since_last").isNotNull(),
+        F.concat(F.lit("\n\n"), F.format_string(fv.PAGE_GAP, F.col("since_last")), F.lit("\n")),
+    ).otherwise("")
+    return at.join(pages, "page").select("segment", "seq", F.concat(since, F.lit(fv.PAGE_COLUMNS + "\n")).alias("value"))
+
+
+def write_report(decoded: DataFrame, path: str, paged: bool = False) -> None:
+    """Report text, one folder per ring segment; later segments begin with a marker line.
+
+    ``paged`` puts a heading before every 64 lines.
+    """
+    lines = report_lines(decoded).withColumn("seq", F.col("seq") * 2 + 1)
+    if paged:
+        lines = lines.unionByName(page_heads(decoded).withColumn("seq", F.col("seq") * 2))
     marks = lines.filter(F.col("segment") > 0).select("segment").distinct()
     marked = marks.select("segment", F.lit(-1).cast("long").alias("seq"), F.lit(fv.WRAP_MARKER).alias("value"))
     write_lines(lines.unionByName(marked), path, ["seq"], ["segment"])
+
+
+def write_thread_map(resolved: DataFrame, path: str) -> int:
+    """Write the thread map file and return the number of its rows."""
+    lines = settle(map_lines(resolved))
+    write_lines(lines, path, ["value"])
+    return lines.count()

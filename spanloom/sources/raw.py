@@ -3,7 +3,8 @@
 ``register(spark)`` adds the format ``rawevents``. Reading is split by byte
 ranges aligned to records; numpy decodes a range, Arrow batches hand it over.
 Options: ``table`` = events | threadmap | cpumap | header, ``bits`` = 64 | 32,
-``splitbytes``, ``firstfile`` (number of the first file). Writing lays down one V1 file per task: the thread map is taken
+``splitbytes``, ``firstfile`` (number of the first file), ``types``
+(class-subclass ranges ``from-to`` kept, tested before rows leave Python). Writing lays down one V1 file per task: the thread map is taken
 from the column ``command``, the CPU map from the option ``cpus``
 (``id:flags:name`` separated by commas).
 """
@@ -120,6 +121,7 @@ class RawReader(DataSourceReader):
         self.bits = int(options.get("bits", "64"))
         self.split = int(options.get("splitbytes", str(128 << 20)))
         self.first_file = int(options.get("firstfile", "0"))
+        self.types = [tuple(int(n) for n in r.split("-")) for r in options.get("types", "").split(",") if r]
 
     def partitions(self):
         """Byte ranges from the file listing alone; headers are read in the tasks."""
@@ -151,16 +153,24 @@ class RawReader(DataSourceReader):
             count = min(BATCH_RECORDS, stop - at)
             stream.seek(where.data_at + at * width)
             rows = np.frombuffer(stream.read(count * width), dtype=kind)
-            yield self._batch(rows, at, part)
-
-    def _batch(self, rows: np.ndarray, at: int, part: Range) -> pa.RecordBatch:
+            places = np.arange(at, at + len(rows), dtype="<i8")
+            if self.types:
+                csc = rows["debugid"] >> np.uint32(16)
+                keep = np.zeros(len(rows), dtype=bool)
+                for low, high in self.types:
+                    keep |= (csc >= low) & (csc <= high)
+                rows, places = rows[keep], places[keep]
+            if len(rows):
+                yield self._batch(rows, places, part)
+
+    def _batch(self, rows: np.ndarray, places: np.ndarray, part: Range) -> pa.RecordBatch:
         if self.bits == 64:
             ts, cpu = rows["ts"].astype("<u8").view("<i8"), rows["cpu"]
         else:
             ts = (rows["ts"] & np.uint64(0x00FFFFFFFFFFFFFF)).astype("<i8")
             cpu = rows["ts"] >> np.uint64(56)
         wide = lambda name: pa.array(rows[name].astype("<u8").view("<i8"))
-        seq = (np.int64(part.number) << FILE_SHIFT) + np.arange(at, at + len(rows), dtype="<i8")
+        seq = (np.int64(part.number) << FILE_SHIFT) + places
         columns = [pa.array([part.path] * len(rows)), pa.array(seq), pa.array(ts)]
         columns += [wide(n) for n in ("arg1", "arg2", "arg3", "arg4", "tid", "debugid")]
         columns.append(pa.array(cpu.astype("<i4")))
@@ -304,13 +314,15 @@ def read_raw(
     bits: int = 64,
     splitbytes: int = 128 << 20,
     first_file: int = 0,
+    types: list[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Records or side tables of raw files; ``path`` is a file, a folder or a list of these.
 
     Files are numbered from ``first_file`` in the order given; ``seq`` rises
-    along files and records.
+    along files and records. ``types`` keeps the ranges of a type filter only.
     """
     register(spark)
     joined = path if isinstance(path, str) else "\n".join(path)
-    options = {"table": table, "bits": bits, "splitbytes": splitbytes, "firstfile": first_file, "path": joined}
+    kept = ",".join(f"{a}-{b}" for a, b in types or [])
+    options = {"types": kept, "table": table, "bits": bits, "splitbytes": splitbytes, "firstfile": first_file, "path": joined}
     return spark.read.format("rawevents").options(**options).load()
