@@ -46,14 +46,14 @@ def chunk_texts(df: DataFrame, tag: Column, chunk: Column, framing: Column | Non
 
     Rows marked by ``framing`` carry no text. Returns (tid, start_seq, tag, text, n).
     """
-    rows = df.withColumns({"tag": tag, "_chunk": chunk})
-    if framing is not None:
-        rows = rows.filter(~framing)
+    rows = df if framing is None else df.filter(~framing)
+    rows = rows.select("tid", "seq", tag.alias("tag"), chunk.alias("_chunk"))
     seen = scan(
-        rows.withColumn("_nul", F.col("_chunk").contains("\0")),
+        rows,
         ["tid"],
         "seq",
-        {"_ptag": prev(F.col("tag")), "_pnul": prev(F.col("_nul"))},
+        {"_ptag": prev(F.col("tag")), "_pnul": prev(F.col("_chunk").contains("\0"))},
+        shared=True,
     )
     begins = F.coalesce(F.col("_pnul"), F.lit(True)) | (~F.col("_ptag").eqNullSafe(F.col("tag")))
     texts = scan(seen, ["tid"], "seq", {"start_seq": last(F.when(begins, F.col("seq")))})

@@ -69,15 +69,17 @@ def thread_names(df: DataFrame, defined: DataFrame, role: Column, marked: str |
     have no name themselves. ``marked`` names a column telling whether such a
     TERMINATE was seen.
     """
-    # Without further columns, seq is read off the order again and the first scan shares its shuffle.
-    narrow = [c for c in df.columns if c not in ("seq", "tid", "role")] == []
-    events = df.withColumns({"_order": F.col("seq") * 2, "_role": role, "_name": F.lit(None).cast("string")})
+    if any(c not in ("seq", "tid", "role") for c in df.columns):
+        # Only position, thread and role go through the scans; wide rows are shuffled once, by seq.
+        slim = thread_names(df.select("seq", "tid", role.alias("role")), defined, F.col("role"), marked)
+        return df.join(slim.drop("tid", "role"), "seq")
+    events = df.select(
+        "tid", (F.col("seq") * 2).alias("_order"), role.alias("_role"), F.lit(None).cast("string").alias("_name")
+    )
     defs = defined.select(
         "tid", F.col("order").alias("_order"), F.lit("define").alias("_role"), F.col("name").alias("_name")
     )
-    if narrow:
-        events = events.select("tid", "_order", "_role", "_name")
-    both = events.unionByName(defs, allowMissingColumns=True)
+    both = events.unionByName(defs)
     at = F.col("_order")
     known = scan(
         both,
@@ -88,7 +90,7 @@ def thread_names(df: DataFrame, defined: DataFrame, role: Column, marked: str |
             "_known": last(F.when(F.col("_role") == "define", F.col("_name"))),
             "_marked": last(F.when(F.col("_role") == TERMINATE, at), before=True),
         },
-        shared=narrow,
+        shared=True,
     )
     kills = (F.col("_role") == EXIT) | ((F.col("_role") == HANDOFF) & (F.col("_marked") > F.col("_born")))
     dead = scan(known, ["tid"], "_order", {"_killed": last(F.when(kills, at), before=True)})
@@ -97,8 +99,6 @@ def thread_names(df: DataFrame, defined: DataFrame, role: Column, marked: str |
     out = [name.alias("name")]
     if marked:
         out.append(F.coalesce(F.col("_marked") > F.col("_born"), F.lit(False)).alias(marked))
-    if not narrow:
-        return dead.filter(F.col("seq").isNotNull()).select(*df.columns, *out)
     recorded = dead.filter(~F.coalesce(F.col("_role") == "define", F.lit(False)))
     seq = F.shiftright(F.col("_order"), 1).alias("seq")
     return recorded.select(seq, "tid", *([F.col("_role").alias("role")] if "role" in df.columns else []), *out)

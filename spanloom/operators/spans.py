@@ -89,17 +89,21 @@ def named_pairs(df: DataFrame, name: str = "name") -> DataFrame:
     return pair(rows, ["tid", "stem"], opens=begins, closes=ends).drop("_ending")
 
 
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """How often each value occurs per key; all statistics below read these counts."""
+    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, permille: dict[str, int], span_bits: int | None = None
+    counts: DataFrame, keys: list[str], value: str, permille: dict[str, int], span_bits: int | None = None
 ) -> DataFrame:
     """Discrete percentiles per key: the least value with at least that share at or below it.
 
-    Values are counted first, so a key is summed over its distinct values in
-    blocks instead of being sorted as one group.
+    ``counts`` come from ``value_counts``, so a key is summed over its distinct
+    values in blocks instead of being sorted as one group.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    reached = scan(counts, keys, value, {"_upto": total(F.col("_n"))}, span_bits=span_bits)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    reached = scan(counts, keys, value, {"_upto": total(F.col("_n"))}, span_bits=span_bits, shared=True)
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     return (
         reached.join(sizes, keys)
         .groupBy(*keys)
@@ -114,7 +118,8 @@ def exact_percentiles(
 
 def span_stats(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Count, total, maximum, median and 95th percentile of ``elapsed``."""
-    sums = spans.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("elapsed").alias("total_us"), F.max("elapsed").alias("max_us")
+    counts = value_counts(spans, keys, "elapsed")
+    sums = counts.groupBy(*keys).agg(
+        F.sum("_n").alias("n"), F.sum(F.col("elapsed") * F.col("_n")).alias("total_us"), F.max("elapsed").alias("max_us")
     )
-    return sums.join(exact_percentiles(spans, keys, "elapsed", {"p50_us": 500, "p95_us": 950}), keys)
+    return sums.join(exact_percentiles(counts, keys, "elapsed", {"p50_us": 500, "p95_us": 950}), keys)

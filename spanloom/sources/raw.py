@@ -55,8 +55,9 @@ SCHEMAS = {
     "header": HEADER_SCHEMA,
 }
 BATCH_RECORDS = 1 << 16
-# seq = file number in the high bits, record number below.
-FILE_SHIFT = 32
+# seq = file number in the high bits, record number below. 2**28 records are twice what a recorder
+# writes to one file; the bits left over let operators interleave positions (seq * 4).
+FILE_SHIFT = 28
 
 
 def _text(raw: bytes) -> str:
@@ -127,7 +128,7 @@ class RawReader(DataSourceReader):
         """Byte ranges from the file listing alone; headers are read in the tasks."""
         files = [f for path in self.path.split("\n") for f in _files(path)]
         if any(size >> FILE_SHIFT >= RECORD[self.bits].itemsize for _, size in files):
-            raise ValueError("a raw file holds at most 2**32 records")
+            raise ValueError("a raw file holds at most 2**28 records")
         if self.table != "events":
             return [Range(p, i, 0, s, s) for i, (p, s) in enumerate(files, self.first_file)]
         return [

@@ -31,9 +31,10 @@ def landed(spark: SparkSession, path: str, schema: str, files_per_trigger: int |
     return reader.parquet(path)
 
 
-def landed_raw(spark: SparkSession, path: str) -> DataFrame:
+def landed_raw(spark: SparkSession, path: str, files_per_trigger: int = 1 << 12) -> DataFrame:
     """Stream of raw file arrivals (path, length); contents are read by ``raw_records``."""
     reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.option("pathGlobFilter", "*.raw").load(path).select("path", "length")
 
 
@@ -41,10 +42,12 @@ def raw_records(arrivals: DataFrame, number: int) -> DataFrame:
     """Records of the raw files that arrived in one micro-batch.
 
     Only the file names are collected, which the trigger bounds. Files are
-    numbered on from those of earlier micro-batches, up to 2**16 in each.
+    numbered on from those of earlier micro-batches, up to 2**12 in each.
     """
     paths = sorted(r.path for r in arrivals.select("path").collect())
-    return read_raw(arrivals.sparkSession, paths, first_file=number << 16)
+    if len(paths) > 1 << 12:
+        raise ValueError("limit the files of a micro-batch to 4096 with maxFilesPerTrigger")
+    return read_raw(arrivals.sparkSession, paths, first_file=number << 12)
 
 
 def run(
