@@ -54,6 +54,7 @@ def chunk_texts(df: DataFrame, tag: Column, chunk: Column, framing: Column | Non
         "seq",
         {"_ptag": prev(F.col("tag")), "_pnul": prev(F.col("_chunk").contains("\0"))},
         shared=True,
+        keep=True,
     )
     begins = F.coalesce(F.col("_pnul"), F.lit(True)) | (~F.col("_ptag").eqNullSafe(F.col("tag")))
     texts = scan(seen, ["tid"], "seq", {"start_seq": last(F.when(begins, F.col("seq")))})

@@ -36,7 +36,7 @@ def new_thread_names(df: DataFrame, is_new: Column, is_name: Column, new_tid: Co
         "seq", F.col("tid").alias("creator"), F.when(is_new, 1).otherwise(-1).cast("long").alias("_way")
     )
     # Only position, creator and direction go through the scans; ids and names join at the end.
-    summed = scan(rows, ["creator"], "seq", {"_sum": total(F.col("_way"))}, shared=True)
+    summed = scan(rows, ["creator"], "seq", {"_sum": total(F.col("_way"))}, shared=True, keep=True)
     lows = scan(summed, ["creator"], "seq", {"_low": low(F.col("_sum"))})
     depth = F.col("_sum") - F.least(F.lit(0), F.col("_low")) + F.when(F.col("_way") == 1, 0).otherwise(1)
     levels = lows.select("seq", "creator", "_way", depth.alias("_level"))
@@ -91,6 +91,7 @@ def thread_names(df: DataFrame, defined: DataFrame, role: Column, marked: str |
             "_marked": last(F.when(F.col("_role") == TERMINATE, at), before=True),
         },
         shared=True,
+        keep=True,
     )
     kills = (F.col("_role") == EXIT) | ((F.col("_role") == HANDOFF) & (F.col("_marked") > F.col("_born")))
     dead = scan(known, ["tid"], "_order", {"_killed": last(F.when(kills, at), before=True)})

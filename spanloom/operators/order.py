@@ -33,14 +33,14 @@ def delta_times(df: DataFrame, counted: Column | None = None, verbose: bool = Fa
 
 def ring_segments(df: DataFrame) -> DataFrame:
     """Number the segments of a ring file: a new one begins where time runs backwards."""
-    seen = scan(df, [], "seq", {"_pts": prev(F.col("ts"))}, shared=set(df.columns) == {"seq", "ts"})
+    seen = scan(df, [], "seq", {"_pts": prev(F.col("ts"))}, shared=set(df.columns) == {"seq", "ts"}, keep=True)
     return scan(seen.withColumn("_wrapped", _wrapped()), [], "seq", {"segment": total(F.col("_wrapped"))}).drop("_pts", "_wrapped")
 
 
 def file_times(df: DataFrame) -> DataFrame:
     """(seq, delta, segment) of each counted row, from its time and the one before."""
-    seen = scan(df.select("seq", "ts"), [], "seq", {"_pts": prev(F.col("ts"))}, shared=True)
-    both = seen.select("seq", _delta().alias("delta"), _wrapped().alias("_wrapped"))
+    seen = scan(df.select("seq", "ts"), [], "seq", {"_pts": prev(F.col("ts"))}, shared=True, keep=True)
+    both = seen.select("seq", "_blk", _delta().alias("delta"), _wrapped().alias("_wrapped"))
     return scan(both, [], "seq", {"segment": total(F.col("_wrapped"))}).drop("_wrapped")
 
 

@@ -89,6 +89,7 @@ def scan(
     split: str = "all",
     hot_rows: int | None = None,
     shared: bool = False,
+    keep: bool = False,
 ) -> DataFrame:
     """Add one column per step, computed along ``order`` within ``keys``.
 
@@ -103,6 +104,10 @@ def scan(
     shuffled once and both the windows and the block rows read that shuffle,
     so a chain of scans computes its input once. With further columns the
     block rows come from the input instead, combined before their shuffle.
+
+    ``keep`` leaves the block number in the result. A next scan over the same
+    keys, order and span takes it up: its rows already lie where it needs
+    them, so the whole chain shuffles them once.
     """
     span_bits = SPAN_BITS if span_bits is None else span_bits
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
@@ -114,6 +119,8 @@ def scan(
         cut = rows.filter(F.col("_blk").isNotNull())
         # Short keys all sit in one block each; the constant keeps the join key non-null.
         rows = rows.withColumn("_blk", F.coalesce(F.col("_blk"), F.lit(-1).cast("long")))
+    elif "_blk" in df.columns:
+        rows = cut = df
     else:
         rows = df.withColumn("_blk", block)
         if shared:
@@ -171,7 +178,8 @@ def scan(
         ).alias(n)
         for n in names
     ]
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *out)
+    kept = [c for c in df.columns if c not in names and c != "_blk"]
+    return joined.select(*[F.col(f"`{c}`") for c in kept], *(["_blk"] if keep else []), *out)
 
 
 def sequence(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
@@ -196,7 +204,7 @@ def runs(df: DataFrame, keys: list[str], order: str, value: str, name: str = "ru
     ``breaks`` marks rows that stand alone, whatever their neighbours hold.
     """
     if breaks is None and set(df.columns) == {*keys, order, value}:
-        seen = scan(df, keys, order, {"_px": prev(F.col(value)), "_pat": prev(F.col(order))}, shared=True)
+        seen = scan(df, keys, order, {"_px": prev(F.col(value)), "_pat": prev(F.col(order))}, shared=True, keep=True)
         starts = F.col("_pat").isNull() | ~F.col("_px").eqNullSafe(F.col(value))
         return scan(seen, keys, order, {name: last(F.when(starts, F.col(order)))}).drop("_px", "_pat")
     lone = F.lit(False) if breaks is None else breaks
@@ -205,6 +213,7 @@ def runs(df: DataFrame, keys: list[str], order: str, value: str, name: str = "ru
         keys,
         order,
         {"_px": prev(F.col("_x")), "_plone": prev(F.col("_lone"))},
+        keep=True,
     )
     starts = (~F.col("_px").eqNullSafe(F.col("_x"))) | F.col("_lone") | F.coalesce("_plone", F.lit(True))
     return scan(seen, keys, order, {name: last(F.when(starts, F.col(order)))}).drop("_x", "_lone", "_px", "_plone")
