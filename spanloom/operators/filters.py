@@ -69,12 +69,17 @@ def code_filter(df: DataFrame, codes: list[int]) -> DataFrame:
     return df.filter(codec.event_id(F.col("debugid")).isin([c & fv.EVENTID_MASK for c in codes]))
 
 
-def process_filter(df: DataFrame, include: list[int] | None = None, exclude: list[int] | None = None) -> DataFrame:
+def process_filter(
+    df: DataFrame, include: list[int] | None = None, exclude: list[int] | None = None, pid: str = "pid"
+) -> DataFrame:
+    """Rows of the processes given, or of all others; rows of no known process count as others."""
     if include and exclude:
         raise ValueError("include or exclude processes, not both")
     if include:
-        return df.filter(F.col("pid").isin(include))
-    return df.filter(~F.coalesce(F.col("pid").isin(exclude or []), F.lit(False)))
+        return df.filter(F.col(pid).isin(include))
+    if not exclude:
+        return df
+    return df.filter(~F.coalesce(F.col(pid).isin(exclude), F.lit(False)))
 
 
 def visible() -> Column:

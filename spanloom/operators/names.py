@@ -144,6 +144,20 @@ def owners(told: DataFrame) -> DataFrame:
     return told.groupBy("tid").agg(F.max_by("pid", "order").alias("pid"))
 
 
+def owner_as_of(df: DataFrame, told: DataFrame, name: str = "owner_pid") -> DataFrame:
+    """Process of each record's thread as told by the records up to and including it.
+
+    A record may tell its own thread at order seq * 2 + 1, so events are placed
+    between: told orders are doubled, events come right after.
+    """
+    events = df.select("tid", (F.col("seq") * 4 + 3).alias("_at"), F.lit(None).cast("long").alias("pid"))
+    changes = told.groupBy("tid", "order").agg(F.max("pid").alias("pid"))
+    both = events.unionByName(changes.select("tid", (F.col("order") * 2).alias("_at"), "pid"))
+    seen = scan(both, ["tid"], "_at", {name: last(F.col("pid"))}, shared=True)
+    at = seen.filter(F.col("_at") % 4 == 3).select(F.shiftright("_at", 2).alias("seq"), name)
+    return df.join(at, "seq")
+
+
 def overlay(before: DataFrame, after: DataFrame) -> DataFrame:
     """One process list from the lists before and after a capture; the later one wins."""
     both = before.withColumn("_list", F.lit(0)).unionByName(after.withColumn("_list", F.lit(1)))
@@ -185,8 +199,8 @@ def resolved_map(owned: DataFrame, learned: DataFrame, processes: DataFrame, fir
 
 
 def command_of(df: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Command per record: the thread's name, else that of its process, else ''."""
-    side = resolved.select("tid", F.col("command").alias("_command"))
+    """Add ``owner_pid`` and ``command``: the thread's name, else the command of its process, else ''."""
+    side = resolved.select("tid", F.col("pid").alias("owner_pid"), F.col("command").alias("_command"))
     command = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("_command"), F.lit(""))
     return df.join(side, "tid", "left").withColumn("command", command).drop("_command")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom import fixed_values as fv
 from spanloom.functions import codec
 from spanloom.operators import assemble, codes, names, order, spans
-from spanloom.operators.filters import visible
+from spanloom.operators.filters import process_filter, visible
 from spanloom.session import settle
 from spanloom.sources import raw, text
 
@@ -90,12 +90,15 @@ def decode(
     divisor: float = 1.0,
     verbose: bool = False,
     relative: bool = False,
+    include: list[int] | None = None,
+    exclude: list[int] | None = None,
 ) -> DataFrame:
     """Decoded records in report form, one row per shown record.
 
     ``records`` are raw records (schema EVENT), ``dictionary`` the codes,
     ``thread_map`` (entry, tid, command), ``cpu_map`` and ``processes`` the
-    side tables. ``relative`` counts time from the first record.
+    side tables. ``relative`` counts time from the first record; ``include``
+    and ``exclude`` choose processes among the shown rows.
 
     Every scan works on the few columns it needs and gives (seq, value); all
     of them meet the whole records in joins on ``seq``, so the wide rows are
@@ -124,7 +127,8 @@ def decode(
         .join(found, "seq", "left")
         .withColumn("eventid", codec.event_id(F.col("debugid")))
     )
-    commands = names.command_of(timed, resolved).drop("name").withColumnRenamed("command", "name")
+    owned = process_filter(names.command_of(timed, resolved), include, exclude, pid="owner_pid")
+    commands = owned.drop("name").withColumnRenamed("command", "name")
     labelled = codes.name_codes(names.coprocessor_names(commands, cpu_map), dictionary, name="label")
     return labelled.withColumns(
         {

@@ -107,6 +107,15 @@ def owner_map(spark, sf_dir):
     return names.owners(owned(spark, sf_dir))
 
 
+@query(
+    "owner_as_of",
+    f"""WITH {EVENTS_SQL}, {OWNED_SQL}, t AS (SELECT tid, o, max(pid) AS pid FROM ow GROUP BY 1, 2)
+SELECT seq, ev.tid AS tid, t.pid AS owner_pid FROM ev ASOF LEFT JOIN t ON ev.tid = t.tid AND ev.seq * 2 + 1 >= t.o""",
+)
+def owner_as_of(spark, sf_dir):
+    return names.owner_as_of(events(spark, sf_dir).select("seq", "tid"), owned(spark, sf_dir))
+
+
 LEARNED_SQL = "nm AS (SELECT user_id % 64 AS tid, arg_max('n' || seq, seq) AS name, max(seq) AS o FROM ev WHERE event_type = 'signup' AND value > 480 GROUP BY 1)"
 
 RESOLVED_SQL = f"""{EVENTS_SQL}, {OWNED_SQL}, {PROCS_SQL}, {LEARNED_SQL},

@@ -64,6 +64,14 @@ def test_decode_verbose_and_relative(spark, tmp_path):
     assert (rows[0].us, rows[0].delta_us, rows[3].us) == (0.0, 0.0, 30.0)
 
 
+def test_decode_of_some_processes(spark, tmp_path):
+    raw_path, codes, before, after = capture(tmp_path)
+    only, _ = decode.decode_files(spark, raw_path, codes, before, after, include=[42])
+    assert sorted(r.seq for r in only.collect()) == [8, 9]
+    others, _ = decode.decode_files(spark, raw_path, codes, before, after, exclude=[42])
+    assert sorted(r.seq for r in others.collect()) == [0, 2, 3, 6, 7, 10]
+
+
 def test_raw_type_filter(spark, tmp_path):
     raw_path, *_ = capture(tmp_path)
     kept = raw.read_raw(spark, raw_path, types=type_ranges(classes=[4], subclasses=[(1, 2)]), splitbytes=100)
