@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from spanloom import fixed_values as fv
 from spanloom.functions import codec
 from spanloom.operators import names, spans
-from spanloom.session import settle
 from spanloom.sources.raw import read_raw
 
-Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+# (rows, state, settle) -> (output, new state); settle writes a table read more than once.
+Step = Callable[[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]], tuple[DataFrame, DataFrame]]
+
+# A repeated micro-batch needs the state before it; one more is kept.
+STATES_KEPT = 2
 
 
 def landed(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -74,21 +77,36 @@ def run(
             state = initial(spark) if initial else spark.createDataFrame([], state_schema)
         else:
             state = spark.read.schema(state_schema).parquet(numbered("state", number - 1))
+
+        def settle(df: DataFrame) -> DataFrame:
+            path = numbered("work", number)
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
         rows = prepare(batch, number)
         # Output and state both come from these rows, which are read once from their files.
         rows = rows.persist()
         try:
-            out, new_state = step(rows, state)
+            out, new_state = step(rows, state, settle)
             out.write.mode("overwrite").parquet(numbered("out", number))
             new_state.write.mode("overwrite").parquet(numbered("state", number))
         finally:
             rows.unpersist()
+        for kind in ("state", "work"):
+            if number >= STATES_KEPT:
+                remove(spark, numbered(kind, number - STATES_KEPT))
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", os.path.join(folder, "checkpoint"))
     writer = writer.trigger(processingTime=processing_time) if processing_time else writer.trigger(availableNow=True)
     return writer.start()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder this module wrote, on whatever file system it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def output(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.option("basePath", os.path.join(folder, "out")).parquet(os.path.join(folder, "out", "batch=*")).drop("batch")
@@ -104,7 +122,7 @@ def span_step(ttl_us: int | None = None) -> Step:
     put out as ``expired`` and forgotten.
     """
 
-    def step(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def step(rows: DataFrame, state: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
         debugid = F.col("debugid")
         eventid = codec.event_id(debugid)
         new = rows.select("seq", "ts", "tid", eventid.alias("eventid"), debugid.alias("debugid")).filter(eventid != fv.VFS_LOOKUP)
@@ -141,7 +159,7 @@ NAME_STATE = "tid long, name string, marked boolean"
 def name_step(role: Column, is_definition: Column, definition: Column) -> Step:
     """Thread naming; the state is each living thread's name and whether it was marked."""
 
-    def step(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def step(rows: DataFrame, state: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
         rows = rows.withColumn("_role", role)
         # State lies before the batch: the name first, then the mark as a TERMINATE row.
         held = state.select(F.lit(-9).cast("long").alias("order"), "tid", "name")

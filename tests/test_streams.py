@@ -29,6 +29,12 @@ def test_span_stream(spark, tmp_path, small_blocks):
     assert sorted(map(tuple, out.select("seq", "elapsed").collect())) == sorted(map(tuple, batch.select("seq", "elapsed").collect()))
 
 
+def test_old_states_go(spark, tmp_path):
+    feed(spark, events(2, 40), "seq long, ts long, tid long, debugid long", str(tmp_path), stateful.span_step(), stateful.SPAN_STATE)
+    assert sorted(p.name[-1] for p in (tmp_path / "state").glob("batch=*")) == ["2", "3"]
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 4
+
+
 def test_span_stream_forgets_old_starts(spark, tmp_path):
     rows = [(0, 0, 1, 0x040C0011), (1, 10, 2, 0x040C0011), (2, 1000, 3, 0x040C0011), (3, 1001, 2, 0x040C0012)]
     out = feed(spark, rows, "seq long, ts long, tid long, debugid long", str(tmp_path), stateful.span_step(ttl_us=100), stateful.SPAN_STATE)
