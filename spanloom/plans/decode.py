@@ -69,7 +69,7 @@ def decode_files(
 
     The records are settled as Parquet first, so the raw bytes are read once.
     """
-    records = settle(raw.read_raw(spark, path, bits=bits, types=types).drop("file"))
+    records = settle(raw.read_raw(spark, path, bits=bits, types=types))
     thread_map = raw.read_raw(spark, path, table="threadmap", bits=bits)
     cpu_map = raw.read_raw(spark, path, table="cpumap", bits=bits)
     empty = spark.createDataFrame([], "pid long, command string, line long")

@@ -28,7 +28,7 @@ def written(spark, sf_dir):
     f"WITH {KEVENTS_SQL} SELECT ts, arg1, arg2, CAST(0 AS BIGINT) AS arg3, -seq AS arg4, tid, debugid, CAST(cpu AS INTEGER) AS cpu FROM k",
 )
 def raw_roundtrip(spark, sf_dir):
-    return raw.read_raw(spark, written(spark, sf_dir), splitbytes=1 << 20).drop("file", "seq")
+    return raw.read_raw(spark, written(spark, sf_dir), splitbytes=1 << 20).drop("seq")
 
 
 @query(
@@ -54,8 +54,9 @@ def raw_cpumap(spark, sf_dir):
     """Records per CPU of the map in their own file."""
     path = written(spark, sf_dir)
     cpus = raw.read_raw(spark, path, table="cpumap").withColumnRenamed("cpu_id", "cpu")
-    counted = raw.read_raw(spark, path).groupBy("file", F.col("cpu").cast("long").alias("cpu")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(cpus, ["file", "cpu"], "left").groupBy("name", "flags").agg(F.sum("n").alias("n"))
+    number = raw.file_number(F.col("seq")).alias("number")
+    counted = raw.read_raw(spark, path).groupBy(number, F.col("cpu").cast("long").alias("cpu")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(cpus, ["number", "cpu"], "left").groupBy("name", "flags").agg(F.sum("n").alias("n"))
 
 
 @query("raw_header", "SELECT CAST(1 AS INTEGER) AS version, CAST(1700000000 AS BIGINT) AS secs, count(*) AS records FROM events")

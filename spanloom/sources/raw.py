@@ -22,7 +22,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -47,12 +48,11 @@ MAP_ENTRY = {64: np.dtype([("tid", "<u8"), ("valid", "<i4"), ("command", "S20")]
 CPU_ENTRY = np.dtype([("cpu_id", "<u4"), ("flags", "<u4"), ("name", "S8")])
 HEADER = {64: struct.Struct("<IIQI4x"), 32: struct.Struct("<IIQI")}
 
-HEADER_SCHEMA = "file string, version int, thread_count long, secs long, usecs long, records long"
 SCHEMAS = {
-    "events": "file string, " + schema.EVENT,
-    "threadmap": "file string, entry long, " + schema.THREAD_MAP,
-    "cpumap": "file string, " + schema.CPU_MAP,
-    "header": HEADER_SCHEMA,
+    "events": schema.EVENT,
+    "threadmap": "number long, entry long, " + schema.THREAD_MAP,
+    "cpumap": "number long, " + schema.CPU_MAP,
+    "header": "number long, file string, version int, thread_count long, secs long, usecs long, records long",
 }
 BATCH_RECORDS = 1 << 16
 # seq = file number in the high bits, record number below. 2**28 records are twice what a recorder
@@ -172,10 +172,10 @@ class RawReader(DataSourceReader):
             cpu = rows["ts"] >> np.uint64(56)
         wide = lambda name: pa.array(rows[name].astype("<u8").view("<i8"))
         seq = (np.int64(part.number) << FILE_SHIFT) + places
-        columns = [pa.array([part.path] * len(rows)), pa.array(seq), pa.array(ts)]
+        columns = [pa.array(seq), pa.array(ts)]
         columns += [wide(n) for n in ("arg1", "arg2", "arg3", "arg4", "tid", "debugid")]
         columns.append(pa.array(cpu.astype("<i4")))
-        names = ["file", "seq", "ts", "arg1", "arg2", "arg3", "arg4", "tid", "debugid", "cpu"]
+        names = ["seq", "ts", "arg1", "arg2", "arg3", "arg4", "tid", "debugid", "cpu"]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def _threadmap(self, stream, where: Layout, part: Range):
@@ -187,7 +187,8 @@ class RawReader(DataSourceReader):
             for i, row in enumerate(rows):
                 if row["tid"]:
                     tid = int(np.uint64(row["tid"]).astype(np.int64))
-                    yield (part.path, at + i, tid, int(row["valid"]), _text(bytes(row["command"])))
+                    entry = (part.number << FILE_SHIFT) + at + i
+                    yield (part.number, entry, tid, int(row["valid"]), _text(bytes(row["command"])))
 
     def _cpumap(self, stream, where: Layout, part: Range):
         """The CPU map lies in the padding before the records and carries the magic itself."""
@@ -203,11 +204,11 @@ class RawReader(DataSourceReader):
             return
         count = min(count, (len(padding) - 8) // CPU_ENTRY.itemsize)
         for row in np.frombuffer(padding, dtype=CPU_ENTRY, count=count, offset=8):
-            yield (part.path, int(row["cpu_id"]), int(row["flags"]), _text(bytes(row["name"])))
+            yield (part.number, int(row["cpu_id"]), int(row["flags"]), _text(bytes(row["name"])))
 
     def _header(self, stream, where: Layout, part: Range):
         records = max(0, part.size - where.data_at) // RECORD[self.bits].itemsize
-        yield (part.path, where.version, where.threads, where.secs, where.usecs, records)
+        yield (part.number, part.path, where.version, where.threads, where.secs, where.usecs, records)
 
 
 @dataclass
@@ -308,6 +309,10 @@ def register(spark: SparkSession) -> None:
     spark._spanloom_raw = True
 
 
+def file_number(seq: Column) -> Column:
+    return F.shiftright(seq, FILE_SHIFT)
+
+
 def read_raw(
     spark: SparkSession,
     path: str | list[str],
@@ -320,7 +325,8 @@ def read_raw(
     """Records or side tables of raw files; ``path`` is a file, a folder or a list of these.
 
     Files are numbered from ``first_file`` in the order given; ``seq`` rises
-    along files and records. ``types`` keeps the ranges of a type filter only.
+    along files and records, ``file_number`` reads the file's number off it.
+    ``types`` keeps the ranges of a type filter only.
     """
     register(spark)
     joined = path if isinstance(path, str) else "\n".join(path)
