@@ -85,5 +85,6 @@ def window_counts(df: DataFrame, window_us: int, by: Column, ts: str = "ts") ->
     return df.groupBy(start, by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_spans(stats: DataFrame, count: int = 10) -> DataFrame:
-    return stats.orderBy(F.desc("total_us")).limit(count)
+def top_spans(stats: DataFrame, keys: list[str], count: int = 10) -> DataFrame:
+    """The keys with the greatest total, in order; ties go by key."""
+    return stats.orderBy(F.desc("total_us"), *keys).limit(count)

@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from spanloom.functions import codec
-from spanloom.operators import filters, order, spans
+from spanloom.operators import codes, filters, order, spans
 from spanloom.operators.sequence import sequence
 from spanloom.plans.registry import query
-from spanloom.plans.tables import EVENTS_SQL, KEVENTS_SQL, events, kevents, longs, per_type, table
+from spanloom.plans.tables import EVENTS_SQL, KEVENTS_SQL, events, kevents, per_type, table
 
 SPANS_SQL = (
     KEVENTS_SQL
@@ -38,6 +38,18 @@ def thread_span_stats(spark, sf_dir):
     return spans.span_stats(spans.code_spans(kevents(spark, sf_dir)), ["tid", "eventid"])
 
 
+@query(
+    "top_spans",
+    f"WITH {SPANS_SQL} SELECT tid, eventid, count(*) AS n, CAST(sum(elapsed) AS BIGINT) AS total_us FROM sp GROUP BY tid, eventid ORDER BY total_us DESC, tid, eventid LIMIT 10",
+)
+def top_spans(spark, sf_dir):
+    """The ten operations that took longest in sum, by thread."""
+    sums = spans.code_spans(kevents(spark, sf_dir)).groupBy("tid", "eventid").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("elapsed").alias("total_us")
+    )
+    return codes.top_spans(sums, ["tid", "eventid"])
+
+
 @query(
     "runqueue_latency",
     f"""WITH {EVENTS_SQL}, s AS (SELECT seq, ts, tid, event_type AS side FROM ev WHERE event_type IN ('view', 'click')),

@@ -66,7 +66,3 @@ KEVENTS_SQL = (
       WHEN seq % 2 = 0 THEN 117571600 ELSE 117440516 END + seq % 3 AS debugid
   FROM ev), k AS (SELECT *, debugid & 4294967292 AS eventid FROM kevents)"""
 )
-
-
-def longs(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("long") for n in names})

@@ -158,6 +158,33 @@ def test_paths(spark, small_blocks, seed):
     assert got == paths_of(data)
 
 
+def test_chunk_texts(spark, small_blocks):
+    rows = [
+        (0, 1, 5, "abc"), (1, 1, 5, "def"), (2, 2, 5, "other thread\0"), (3, 1, 6, "new tag"), (4, 1, 5, "old tag"),
+        (5, 1, 5, "end\0junk"), (6, 1, 5, "next"), (7, 2, 9, "x"),
+    ]
+    df = spark.createDataFrame(rows, "seq long, tid long, tag long, chunk string")
+    got = assemble.chunk_texts(df, F.col("tag"), F.col("chunk")).collect()
+    assert sorted((r.tid, r.start_seq, r.tag, r.text, r.n) for r in got) == [
+        (1, 0, 5, "abcdef", 2),
+        (1, 3, 6, "new tag", 1),
+        (1, 4, 5, "old tagend", 2),
+        (1, 6, 5, "next", 1),
+        (2, 2, 5, "other thread", 1),
+        (2, 7, 9, "x", 1),
+    ]
+
+
+def test_library_dump_frames(spark):
+    rows = [(0, 0, 0, 0, 0), (1, *text_words("/usr/lib/one.dylib")), (2, -1, -1, -1, -1), (3, 0, 1, 0, 0)]
+    df = spark.createDataFrame(rows, "seq long, arg1 long, arg2 long, arg3 long, arg4 long").withColumn("tid", F.lit(1))
+    kept = [r.seq for r in df.filter(~assemble.is_frame_marker()).orderBy("seq").collect()]
+    assert kept == [1, 3]
+    words = codec.words_text(*[F.col(f"arg{i}") for i in range(1, 5)])
+    framed = assemble.chunk_texts(df.filter("seq < 3"), F.lit(7), words, assemble.is_frame_marker()).collect()
+    assert [r.text for r in framed] == ["/usr/lib/one.dylib"]
+
+
 def test_ring_and_delta(spark, small_blocks):
     times = [5, 9, 9, 20, 3, 4, 8, 1, 2]
     df = spark.createDataFrame(list(enumerate(times)), "seq long, ts long").withColumn("debugid", F.lit(0x040C0000).cast("long"))
