@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, packing, topk, winnow
+from spanloom.llm import bpe, packing, quality, secrets, topk, urls, winnow
 from spanloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -30,12 +31,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "position", F.length("token").cast("long").alias("n_chars"), F.sha2("token", 256).alias("token_sha256"), "probability", "is_secret")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_fingerprints, op4_packing, op10_bpe)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_fingerprints, op4_packing, op5_url_filter, op7_secret_scan, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
