@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, packing, quality, secrets, topk, urls, winnow
+from spanloom.llm import bpe, licenses, packing, quality, secrets, topk, urls, winnow, wrappers
 from spanloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -35,11 +35,24 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths, so each gets one from its source and id; every 64th is named as its folder's licence file."""
+    at = F.col("doc_id")
+    name = F.when(at % 64 == 0, F.lit("LICENSE")).otherwise(F.concat(at.cast("string"), F.lit(".txt")))
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(at / 512).cast("string"), (F.floor(at / 64) % 8).cast("string"))
+    files = table(spark, sf_dir, "documents").select(F.concat_ws("/", folder, name).alias("path"), "text")
+    return licenses.scan(files, "path")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "position", F.length("token").cast("long").alias("n_chars"), F.sha2("token", 256).alias("token_sha256"), "probability", "is_secret")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +62,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_fingerprints, op4_packing, op5_url_filter, op7_secret_scan, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_fingerprints, op4_packing, op5_url_filter, op6_licenses, op7_secret_scan, op8_main_text, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
