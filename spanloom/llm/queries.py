@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, licenses, packing, quality, secrets, topk, urls, winnow, wrappers
+from spanloom.llm import bpe, hyperminhash, licenses, packing, quality, secrets, topk, urls, winnow, wrappers
 from spanloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -62,8 +66,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_fingerprints, op4_packing, op5_url_filter, op6_licenses, op7_secret_scan, op8_main_text, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_fingerprints, op3_near_duplicates, op4_packing, op5_url_filter, op6_licenses, op7_secret_scan, op8_main_text, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": topk.ORACLE_SQL}
+    return {"op1_exact_topk": topk.ORACLE_SQL, "op3_near_duplicates": hyperminhash.ORACLE_SQL}
