@@ -28,6 +28,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,12 +86,20 @@ def pieces(path: str) -> list[bytes]:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """Four byte planes, the low one first: the upper ones are nearly constant, so shuffles compress them away."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Numbers as four compressed byte planes, the low one first: the upper ones are nearly constant."""
+    return _small(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(_full(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _small(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _full(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 class _Numbers(dict):
@@ -101,14 +111,13 @@ class _Numbers(dict):
 def _split_blocks(batches, buckets: int, block_chars: int, wanted: str):
     """Rows of the wanted kind for each block of documents."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        ends = np.cumsum(pc.utf8_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
         at = 0
-        while at < len(ids):
-            end, chars = at, 0
-            while end < len(ids) and (end == at or chars + len(texts[end] or "") <= block_chars):
-                chars += len(texts[end] or "")
-                end += 1
-            yield from _block_rows(ids[at:end], texts[at:end], buckets, wanted)
+        while at < batch.num_rows:
+            past = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, past + block_chars, "right")))
+            part = batch.slice(at, end - at)
+            yield from _block_rows(part.column(0).to_pylist(), part.column(1).to_pylist(), buckets, wanted)
             at = end
 
 
@@ -130,14 +139,14 @@ def _block_rows(ids: list, texts: list, buckets: int, wanted: str):
         for lo, hi in spans(bucket_of[order]):
             chosen = [raw[i] for i in order[lo:hi]]
             sizes = np.fromiter(map(len, chosen), np.uint32, len(chosen))
-            yield block, int(bucket_of[order[lo]]), _planes(sizes), b"".join(chosen)
+            yield block, int(bucket_of[order[lo]]), _planes(sizes), _small(b"".join(chosen))
     else:
         yield block, 1, None, _planes(bucket_of), b""
         for doc_id, code in zip(ids, coded):
             yield block, 2, doc_id, _planes(code), b""
 
 
-def _batched(rows, names: list[str], kinds: list[pa.DataType], most_bytes: int = 8 << 20):
+def _batched(rows, names: list[str], kinds: list[pa.DataType], most_bytes: int = 4 << 20):
     held, size = [], 0
     for row in rows:
         held.append(row)
@@ -185,7 +194,7 @@ def encode(docs: DataFrame, path: str, block_chars: int = 8 << 20, id_col: str =
                 for block, bucket, sizes, data in zip(*(c.to_pylist() for c in batch.columns)):
                     if bucket != now:
                         known, now = {}, bucket
-                    ends = np.cumsum(_unplaned(sizes)).tolist()
+                    ends, data = np.cumsum(_unplaned(sizes)).tolist(), _full(data)
                     listed = [data[a:b] for a, b in zip([0, *ends], ends)]
                     fresh = [w for w in listed if w not in known]
                     if fresh:
