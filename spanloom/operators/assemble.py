@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom import fixed_values as fv
@@ -67,19 +67,23 @@ def is_frame_marker() -> Column:
     return F.array_min(F.array(*ARGS)).eqNullSafe(F.array_max(F.array(*ARGS))) & F.col("arg1").isin(0, -1)
 
 
-def backtraces(df: DataFrame, opens: Column, closes: Column, most_frames: int = 64) -> DataFrame:
+def backtraces(df: DataFrame, opens: Column, closes: Column) -> DataFrame:
     """Backtraces: first record (tag, n, frame, frame), later ones three frames and a spare word.
 
-    Frames beyond n, and zeros, are dropped.
+    Frames beyond n, and zeros, are dropped. How many records a trace has
+    follows from its own n; there is no other bound.
     """
-    records = 1 + -(-(most_frames - 2) // 3)
-    parts = first_rows(episodes(df, ["tid"], "seq", opens, closes, "start_seq"), ["tid", "start_seq"], "seq", records)
+    along = Window.partitionBy("tid", "start_seq").orderBy("seq")
+    parts = episodes(df, ["tid"], "seq", opens, closes, "start_seq").withColumns(
+        {"idx": F.row_number().over(along) - 1, "_n": F.first("arg2").over(along)}
+    )
+    parts = parts.filter((F.col("idx") == 0) | (F.col("idx") <= F.ceil((F.col("_n") - 2) / 3)))
     head = F.col("idx") == 0
     frames = F.when(head, F.array("arg3", "arg4")).otherwise(F.array("arg2", "arg3", "arg4"))
     whole = parts.groupBy("tid", "start_seq").agg(
         F.max(F.when(head, F.col("arg1"))).alias("tag"),
         F.max(F.when(head, F.col("arg2"))).alias("n"),
-        # At most ``records`` entries per trace.
+        # No more entries than n needs.
         F.array_sort(F.collect_list(F.struct("idx", frames.alias("f")))).alias("_parts"),
     )
     flat = F.flatten(F.transform("_parts", lambda p: p["f"]))

@@ -34,9 +34,11 @@ def type_ranges(
         raise ValueError("classes and subclasses lie between 0 and 255")
     wanted = {n for a, b in spans for n in range(a << 8, (b << 8) + 0x100)} | {(c << 8) + s for c, s in subs}
     if pairs is not None:
-        # A type filter has 2**16 bits, so the driver never sees more than that many numbers.
+        if not pairs.filter(~F.expr("coalesce(csc_from BETWEEN 0 AND csc_to AND csc_to <= 65535, false)")).isEmpty():
+            raise ValueError("class-subclass numbers lie between 0 and 65535, ranges run upwards")
+        # So there are 2**16 different numbers at most.
         csc = F.explode(F.sequence("csc_from", "csc_to")).alias("csc")
-        wanted |= {r.csc for r in pairs.select(csc).distinct().limit(1 << 16).collect()}
+        wanted |= {r.csc for r in pairs.select(csc).distinct().collect()}
     if not wanted:
         raise ValueError("a filter needs at least one class, subclass or range")
     firsts = sorted(n for n in wanted if n - 1 not in wanted)
@@ -51,7 +53,10 @@ def type_filter(df: DataFrame, **wanted) -> DataFrame:
     """
     merged = type_ranges(**wanted)
     if len(merged) > MOST_RANGES:
-        return df.filter(codec.class_subclass(F.col("debugid")).isin([n for a, b in merged for n in range(a, b + 1)]))
+        # A table of 2**15 ranges at most, 2**16 numbers in all: small enough for a broadcast by construction.
+        ranges = df.sparkSession.createDataFrame(merged, "low long, high long")
+        wanted_csc = F.broadcast(ranges.select(F.explode(F.sequence("low", "high")).alias("_csc")))
+        return df.join(wanted_csc, codec.class_subclass(F.col("debugid")) == F.col("_csc"), "left_semi")
     tests = [F.col("debugid").between(codec.long_lit(a << 16), codec.long_lit((b << 16) + 0xFFFF)) for a, b in merged]
     return df.filter(any_of(tests))
 

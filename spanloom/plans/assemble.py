@@ -72,12 +72,12 @@ def chunk_text(spark, sf_dir):
 
 
 def trace_records(spark, sf_dir):
-    """Each event leaves a backtrace of up to ten frames, 16 threads at once."""
-    ev = events(spark, sf_dir).select("seq", (F.col("arg1") % 10 + 1).alias("n"))
+    """Each event leaves a backtrace of up to 100 frames, 16 threads at once."""
+    ev = events(spark, sf_dir).select("seq", (F.col("arg1") % 100 + 1).alias("n"))
     records = F.when(F.col("n") <= 2, 1).otherwise(1 + F.ceil((F.col("n") - 2) / 3))
     rows = ev.withColumn("records", records).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1)))
     j = F.col("j")
-    frame = lambda i: F.col("seq") * 64 + i + 1
+    frame = lambda i: F.col("seq") * 128 + i + 1
     rest = lambda i: frame(2 + (j - 1) * 3 + i)
     return rows.select(
         (F.floor(F.col("seq") / 16) * 1024 + j * 16 + F.col("seq") % 16).alias("at"),
@@ -93,8 +93,8 @@ def trace_records(spark, sf_dir):
 
 @query(
     "backtraces",
-    f"""WITH {EVENTS_SQL} SELECT seq % 16 AS tid, seq AS tag, arg1 % 10 + 1 AS n,
-  array_to_string(list_transform(range(arg1 % 10 + 1), lambda i : seq * 64 + i + 1), ',') AS frames FROM ev""",
+    f"""WITH {EVENTS_SQL} SELECT seq % 16 AS tid, seq AS tag, arg1 % 100 + 1 AS n,
+  array_to_string(list_transform(range(arg1 % 100 + 1), lambda i : seq * 128 + i + 1), ',') AS frames FROM ev""",
 )
 def backtraces(spark, sf_dir):
     traces = assemble.backtraces(trace_records(spark, sf_dir), F.col("opens"), F.col("closes"))

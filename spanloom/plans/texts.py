@@ -227,7 +227,7 @@ REPORT_SQL = (
  tm AS (SELECT c_custkey % 64 * 2 AS tid, substr(arg_max(c_name, c_custkey), 1, 16) AS nm FROM customer WHERE c_custkey % 64 <> 0 GROUP BY 1),
  rw AS (SELECT v.*, elapsed, coalesce(label, lower(to_hex(v.eventid))) AS label, CASE WHEN v.cpu = 3 THEN 'IOP' ELSE coalesce(nm, '') END AS command
    FROM vis v LEFT JOIN el ON v.seq = el.seq LEFT JOIN cn ON cn.eventid = v.eventid LEFT JOIN tm ON tm.tid = v.tid)
-SELECT seq, CAST(0 AS BIGINT) AS segment, printf('%13.1f %10.1f', ts / 1.0::DOUBLE, delta / 1.0::DOUBLE) || rpad(CASE WHEN elapsed IS NULL THEN '' ELSE printf('(%.1f)', elapsed / 1.0::DOUBLE) END, 12, ' ') || ' '
+SELECT seq, CAST(0 AS BIGINT) AS segment, printf('%13.1f %10.1f', ts / 1.0::DOUBLE, delta / 1.0::DOUBLE) || printf('%-12s', CASE WHEN elapsed IS NULL THEN '' ELSE printf('(%.1f)', elapsed / 1.0::DOUBLE) END) || ' '
   || printf('%-28s  ', label) || CASE WHEN debugid = 117571600 THEN rpad(CASE WHEN arg1 = 0 THEN '' ELSE chr(CAST(arg1 AS INTEGER)) END, 68, ' ') || ' '
     ELSE printf('%-16s %-16s %-16s %-16s  ', lower(to_hex(arg1)), lower(to_hex(arg2)), '0', '0') END || printf('%-16s  %-2d %s', lower(to_hex(tid)), cpu, command) AS value FROM rw"""
 )

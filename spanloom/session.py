@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,8 +31,10 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where that is unset (a test session) a temporary folder is made and
-    registered, so every later caller sees the same one.
+    Only where that is unset in a local session (a test) a temporary folder is
+    made and registered, so every later caller sees the same one. On a cluster
+    each machine would see a folder of its own, so there an unset folder is an
+    error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -40,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

@@ -28,7 +28,7 @@ def write_lines(df: DataFrame, path: str, order: list[str], parts: list[str] | N
 
 
 def _elapsed_text(elapsed: Column) -> Column:
-    return F.when(elapsed.isNull(), F.lit(" " * 12)).otherwise(F.rpad(F.format_string("(%.1f)", elapsed), 12, " "))
+    return F.when(elapsed.isNull(), F.lit(" " * 12)).otherwise(F.format_string("%-12s", F.format_string("(%.1f)", elapsed)))
 
 
 def report_lines(decoded: DataFrame) -> DataFrame:
@@ -52,9 +52,7 @@ def report_lines(decoded: DataFrame) -> DataFrame:
     body = (
         F.when(F.col("path").isNotNull(), looked_up).when(F.col("debugid") == fv.INFO_STRING, told).otherwise(plain)
     )
-    # Look-up rows have one blank before the CPU.
-    path_tail = F.format_string("%-16s %-2d %s", hexed("tid"), "cpu", "command")
-    line = F.concat(head, body, F.when(F.col("path").isNotNull(), path_tail).otherwise(tail))
+    line = F.concat(head, body, tail)
     return decoded.select("segment", "seq", line.alias("value"))
 
 

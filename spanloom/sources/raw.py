@@ -15,9 +15,11 @@ import os
 import struct
 import tempfile
 import time
+import uuid
 import zipfile
 from dataclasses import dataclass
 from pathlib import Path
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +82,10 @@ def _files(path: str) -> list[tuple[str, int]]:
         files = [(info.path, info.size)]
     else:
         raise FileNotFoundError(path)
-    scheme = path.split("://", 1)[0] + "://" if "://" in path and not path.startswith("file") else ""
-    return [(scheme + p, s) for p, s in files]
+    # Absolute paths come back without the host of the store, others with their bucket.
+    place = urlsplit(path) if "://" in path and not path.startswith("file") else None
+    prefix = lambda p: f"{place.scheme}://{place.netloc if p.startswith('/') else ''}" if place else ""
+    return [(prefix(p) + p, s) for p, s in files]
 
 
 @dataclass
@@ -224,6 +228,8 @@ class RawWriter(DataSourceArrowWriter):
         self.path = options["path"]
         self.secs = int(options.get("secs", "0"))
         self.usecs = int(options.get("usecs", "0"))
+        # Names rise along writes and tasks, at any number of tasks, so reading in name order is the order of writing.
+        self.write_id = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         self.cpus = [c.split(":") for c in options.get("cpus", "").split(",") if c]
         if overwrite:
             raise ValueError("raw files are only added to a folder")
@@ -236,7 +242,7 @@ class RawWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        name = f"part-{context.partitionId():05d}.raw"
+        name = f"part-{self.write_id}-{context.partitionId():010d}.raw"
         names: dict[int, bytes] = {}
         with tempfile.TemporaryFile() as body:
             for batch in iterator:
@@ -256,7 +262,7 @@ class RawWriter(DataSourceArrowWriter):
             room = RAW_PAGE - len(head) % RAW_PAGE
             cpus = self._cpu_map()
             if len(cpus) > room:
-                cpus = b""
+                raise ValueError(f"a CPU map of {len(cpus)} bytes doesn't fit in the {room} bytes before the records")
             filesystem, inner = _open(self.path)
             filesystem.create_dir(inner, recursive=True)
             temporary = f"{inner}/_{name}-{context.taskAttemptId()}"
@@ -271,6 +277,8 @@ class RawWriter(DataSourceArrowWriter):
         filesystem, _ = _open(self.path)
         for m in messages:
             if m is not None:
+                if filesystem.get_file_info(m.final).type != pafs.FileType.NotFound:
+                    raise FileExistsError(m.final)
                 filesystem.move(m.temporary, m.final)
 
     def abort(self, messages):

@@ -25,7 +25,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     splits = raw.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     placed = splits.select("file", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    joined = raw.join(F.broadcast(placed), ["file", "_start"])
+    joined = raw.join(placed, ["file", "_start"])
     return joined.select("file", (F.col("_base") + F.col("_id") - F.col("_first")).alias("seq"), "line")
 
 
@@ -67,7 +67,7 @@ def read_processes(spark: SparkSession, path: str) -> DataFrame:
     pattern = r"^\s*(-?[0-9]+)\s+(\S.*)$"
     return (
         read_lines(spark, path)
-        .select(_group(pattern, 1).cast("long").alias("pid"), codec.command16(_group(pattern, 2)).alias("command"), F.col("seq").alias("line"))
+        .select(_group(pattern, 1).try_cast("long").alias("pid"), codec.command16(_group(pattern, 2)).alias("command"), F.col("seq").alias("line"))
         .filter(F.col("pid").isNotNull())
     )
 
@@ -99,16 +99,20 @@ def read_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
         "seq", F.regexp_extract("line", head, 1).alias("cluster"), codec.parse_hex(_group(head, 2)).alias("declared")
     )
     words = carried.filter(~is_head & F.col("cluster").isNotNull()).withColumn("w", F.split(F.rtrim("line"), r"\s+"))
-    known = F.size("w").isin(4, 7)
     w = lambda i: F.get("w", F.lit(i))
+    # A row with a number that does not parse is rejected like one with another count of words.
+    number = lambda i: w(i).try_cast("double")
+    hexed = lambda i: w(i).rlike("^(0[xX])?[0-9a-fA-F]{1,16}$")
+    four = (F.size("w") == 4) & number(0).isNotNull() & hexed(1)
+    known = F.coalesce(four | ((F.size("w") == 7) & number(0).isNotNull() & hexed(1) & number(4).isNotNull() & hexed(5)), F.lit(False))
     edges = words.filter(known).select(
         "seq",
         "cluster",
-        w(0).cast("double").alias("ts"),
+        number(0).alias("ts"),
         codec.parse_hex(w(1)).alias("host_gid"),
         w(2).alias("host_name"),
         w(3).alias("action"),
-        w(4).cast("double").alias("peer_ts"),
+        number(4).alias("peer_ts"),
         codec.parse_hex(w(5)).alias("peer_gid"),
         w(6).alias("peer_name"),
     )
@@ -125,12 +129,12 @@ def read_chart_clusters(spark: SparkSession, path: str, header_has: str | None =
     if header_has is not None:
         chosen = chosen & F.col("cluster").contains(header_has)
     rows = carried.filter(chosen & ~is_head)
-    checked = scan(rows, ["file"], "seq", {"_ended": high(F.when(F.col("line").rlike(row), 0).otherwise(1))})
+    checked = scan(rows, ["file"], "seq", {"_ended": high(F.when(F.col("line").rlike(row) & _group(row, 2).try_cast("double").isNotNull(), 0).otherwise(1))})
     return checked.filter(F.col("_ended") == 0).select(
         "seq",
         "cluster",
         codec.parse_hex(_group(row, 1)).alias("gid"),
-        _group(row, 2).cast("double").alias("ts"),
+        _group(row, 2).try_cast("double").alias("ts"),
         codec.parse_hex(_group(row, 3)).alias("tid"),
         _group(row, 4).alias("proc"),
         _group(row, 5).alias("action"),
@@ -148,17 +152,20 @@ def read_message_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     w = lambda i: F.get("w", F.lit(i))
     op = w(1)
     sent, asked, got, made = (op == o for o in ("mach_msg_send", "mach_msg_kernel_request", "mach_msg_recv", "voucher_create"))
-    messages = rows.filter(sent | asked | got | made).select(
+    # A message needs its time, sent and asked ones their delay; rows without count as unknown.
+    timed = w(2).try_cast("double").isNotNull() & (got | made | w(8).try_cast("double").isNotNull())
+    known = F.coalesce((sent | asked | got | made) & timed, F.lit(False))
+    messages = rows.filter(known).select(
         "seq",
         (F.col("section") - 1).alias("section"),
         op.alias("op"),
-        w(2).cast("double").alias("ts"),
+        w(2).try_cast("double").alias("ts"),
         F.when(got, w(5)).otherwise(w(3)).alias("from_name"),
         F.when(got | asked, w(3)).otherwise(w(5)).alias("to_name"),
         F.when(sent, F.concat_ws(" ", w(7), w(8))).when(asked, F.concat_ws(" ", w(6), w(7), w(8))).otherwise(w(7)).alias("label"),
-        F.when(sent | asked, w(8).cast("double")).alias("delay"),
+        F.when(sent | asked, w(8).try_cast("double")).alias("delay"),
     )
-    unknown = rows.filter(~F.coalesce(sent | asked | got | made, F.lit(False))).select("seq", "line")
+    unknown = rows.filter(~known).select("seq", "line")
     return messages, unknown
 
 

@@ -166,7 +166,8 @@ def name_step(role: Column, is_definition: Column, definition: Column) -> Step:
         marks = state.filter("marked").select(F.lit(-1).cast("long").alias("seq"), "tid", F.lit(names.TERMINATE).alias("_role"))
         told = rows.filter(is_definition).select((F.col("seq") * 2 + 1).alias("order"), "tid", definition.alias("name"))
         # One more row per thread after the batch shows what is left of its name.
-        after = rows.agg(F.max("seq") + 1).scalar()
+        # A batch without rows keeps all state: its probes lie just behind that.
+        after = rows.agg(F.coalesce(F.max("seq") + 1, F.lit(0).cast("long"))).scalar()
         threads = rows.select("tid").unionByName(state.select("tid")).distinct()
         probes = threads.select(after.alias("seq"), "tid", F.lit("probe").alias("_role"))
         both = rows.select("seq", "tid", "_role").unionByName(marks).unionByName(probes).withColumnRenamed("_role", "role")

@@ -87,3 +87,19 @@ def test_write_then_read(spark, tmp_path):
     assert got == [r[1:9] for r in rows]
     named = raw.read_raw(spark, str(tmp_path / "out"), table="threadmap")
     assert named.count() == 100 and named.filter(F.col("command") != "cmd").count() == 0
+
+
+def test_appends_add_up(spark, tmp_path):
+    from spanloom.sources.raw import read_raw, register
+
+    register(spark)
+    names = "ts long, arg1 long, arg2 long, arg3 long, arg4 long, tid long, debugid long, cpu int"
+    folder = str(tmp_path / "twice")
+    for first, count in ((0, 100), (1000, 200)):
+        rows = spark.range(first, first + count, 1, 3).selectExpr(
+            "id AS ts", "id AS arg1", "0L AS arg2", "0L AS arg3", "0L AS arg4", "7L AS tid", "16L AS debugid", "CAST(0 AS INT) AS cpu"
+        )
+        assert set(rows.columns) == {n.split()[0] for n in names.split(", ")}
+        rows.write.format("rawevents").mode("append").save(folder)
+    got = [r.arg1 for r in read_raw(spark, folder).orderBy("seq").collect()]
+    assert got == [*range(100), *range(1000, 1200)]

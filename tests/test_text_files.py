@@ -154,7 +154,7 @@ def decoded(spark):
         (0, 0, 12.34, 12.34, None, "0x name", None, None, 1, 2, 3, 255, 16, 1, 0x040C0000, "cmd"),
         (1, 0, 20.0, 7.66, 5.25, "a" * 40, None, None, -1, 0, 0, 0, 16, 12, 0x040C0002, ""),
         (2, 1, 3.0, -17.0, None, "lookup", 10, "/" + "p" * 60, 0, 0, 0, 0, 17, 0, 0x03010092, "cmd"),
-        (3, 1, 4.0, 1.0, None, "info", None, None, 0x6F6C6C6568, 0, 0, 0, 17, 0, 0x07020010, "cmd"),
+        (3, 1, 4.0, 1.0, 24448749356.25, "info", None, None, 0x6F6C6C6568, 0, 0, 0, 17, 0, 0x07020010, "cmd"),
     ]
     names = "seq long, segment long, us double, delta_us double, elapsed_us double, label string, dvp long, path string"
     return spark.createDataFrame(rows, names + ", arg1 long, arg2 long, arg3 long, arg4 long, tid long, cpu long, debugid long, command string")
@@ -167,8 +167,8 @@ def test_report_lines(spark, tmp_path):
     assert got == [
         f"{12.3:13.1f} {12.3:10.1f}{blank}{'0x name':<28}  " + args("1", "2", "3", "ff") + f"{'10':<16}  1  cmd",
         f"{20.0:13.1f} {7.7:10.1f}{'(5.3)':<12} {'a' * 28}  " + args("f" * 16, "0", "0", "0") + f"{'10':<16}  12 ",
-        f"{3.0:13.1f} {-17.0:10.1f}{blank}{'lookup':<28}  {'a':<16} {'p' * 51} {'11':<16} 0  cmd",
-        f"{4.0:13.1f} {1.0:10.1f}{blank}{'info':<28}  {'hello':<32}{'':<36} {'11':<16}  0  cmd",
+        f"{3.0:13.1f} {-17.0:10.1f}{blank}{'lookup':<28}  {'a':<16} {'p' * 51} {'11':<16}  0  cmd",
+        f"{4.0:13.1f} {1.0:10.1f}(24448749356.3) {'info':<28}  {'hello':<32}{'':<36} {'11':<16}  0  cmd",
     ]
     write_report(decoded(spark), str(tmp_path / "report"))
     tail = "".join(f.read_text() for f in sorted((tmp_path / "report" / "segment=1").glob("part-*"))).splitlines()
