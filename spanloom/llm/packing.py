@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -49,22 +50,34 @@ def _encoder(path: str):
 
 
 class _Coded(dict):
-    """Ids of words as bytes; forgets all when it is full, which costs time only."""
+    """Ids of words as bytes. When it is full, words not met since it was last full are forgotten, which costs time only."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.earlier: dict[str, bytes] = {}
         self.encoder = _encoder(path)
+        self.kind = "H" if len(pieces(path)) <= 1 << 16 else "I"
         self.special = set(self.encoder.special_tokens_set)
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= CACHED_WORDS:
+            self.earlier = dict(self)
             self.clear()
-        word = spelled(key)
-        ids = self.encoder.encode(word, allowed_special="all") if word in self.special else self.encoder.encode_ordinary(word)
-        self[key] = data = np.array(ids, "<u4").tobytes()
+        data = self.earlier.get(key)
+        if data is None:
+            word = spelled(key)
+            ids = self.encoder.encode(word, allowed_special="all") if word in self.special else self.encoder.encode_ordinary(word)
+            data = array(self.kind, ids).tobytes()
+        self[key] = data
         return data
 
 
+@lru_cache(maxsize=1)
+def _coded(path: str) -> _Coded:
+    """One for all tasks of a worker process."""
+    return _Coded(path)
+
+
 def tokens(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """Ids of every document with ``end_id`` behind them, and the document's place among its task's documents of one source.
 
@@ -74,19 +87,16 @@ def tokens(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
 
     def encode(batches):
-        coded, part, before = _Coded(path), TaskContext.get().partitionId(), {}
-        end = np.array([end_id], "<u4").tobytes()
-        narrow = len(pieces(path)) <= 1 << 16
+        coded, part, before = _coded(path), TaskContext.get().partitionId(), {}
+        end = array(coded.kind, [end_id]).tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 ids, names, texts = (c.to_pylist() for c in batch.slice(lo, 512).columns)
                 data = [b"".join([*map(coded.__getitem__, units(t or "")), end]) for t in texts]
-                sizes, starts = [len(d) // 4 for d in data], []
+                sizes, starts = [len(d) // len(end) for d in data], []
                 for name, size in zip(names, sizes):
                     starts.append(before.get(name, 0))
                     before[name] = starts[-1] + size
-                if narrow:
-                    data = [np.frombuffer(d, "<u4").astype("<u2").tobytes() for d in data]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
@@ -110,11 +120,26 @@ class Rounds:
         self.upto = [0]
         for w in weights:
             self.upto.append(self.upto[-1] + w)
+        # Rounds before any queue runs dry; in these a place follows from the cumulated shares alone.
+        low, high = 0, sum(totals) // length + 2
+        while low < high:
+            j = (low + high + 1) // 2
+            low, high = (j, high) if all(self._owed(s, j) <= n for s, n in enumerate(totals)) else (low, j - 1)
+        self.full_rounds = low
 
     def served(self, s: int, j: int) -> int:
         """Tokens queue s has been served before round j, as long as it lasts."""
-        own = j * self.length * self.upto[s + 1] // self.weight - j * self.length * self.upto[s] // self.weight
-        return min(self.totals[s], own)
+        return min(self.totals[s], self._owed(s, j))
+
+    def _owed(self, s: int, j: int) -> int:
+        return j * self.length * self.upto[s + 1] // self.weight - j * self.length * self.upto[s] // self.weight
+
+    def before(self, s: int, j: int) -> int:
+        """Tokens all queues have been served when queue s has its turn in round j."""
+        if j < self.full_rounds:
+            share = self.length * self.upto[s]
+            return j * self.length + (j + 1) * share // self.weight - j * share // self.weight
+        return sum(self.served(x, j + (x < s)) for x in range(len(self.totals)))
 
     def pieces(self, s: int, start: int, stop: int):
         """(position in the queue, length, position in the packed stream) of the tokens [start, stop) of queue s."""
@@ -122,17 +147,17 @@ class Rounds:
         j = max(0, start * self.weight // (share * self.length) - 2)
         while self.served(s, j + 1) <= start:
             j += 1
-        at = start
+        at, begun, ended = start, self.served(s, j), self.served(s, j + 1)
         while at < stop:
-            end = min(stop, self.served(s, j + 1))
+            end = min(stop, ended)
             if end > at:
-                before = sum(self.served(x, j + (x < s)) for x in range(len(self.totals)))
-                place = before + at - self.served(s, j)
+                place = self.before(s, j) + at - begun
                 while at < end:
                     size = min(end - at, self.length - place % self.length)
                     yield at, size, place
                     at, place = at + size, place + size
             j += 1
+            begun, ended = ended, self.served(s, j + 1)
 
 
 def pack(
