@@ -139,6 +139,10 @@ def text_of_hex(digits: Column) -> Column:
     return F.make_valid_utf8(F.unhex(before_nul).cast("string"))
 
 
+def words_bytes(*words: Column) -> Column:
+    return F.unhex(F.concat(*[word_hex(w) for w in words]))
+
+
 def words_text(*words: Column) -> Column:
     return text_of_hex(F.concat(*[word_hex(w) for w in words]))
 

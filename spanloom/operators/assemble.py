@@ -44,10 +44,14 @@ def paths(df: DataFrame) -> DataFrame:
 def chunk_texts(df: DataFrame, tag: Column, chunk: Column, framing: Column | None = None) -> DataFrame:
     """Texts written in chunks: a new tag, or a chunk after one with a NUL, begins the next text.
 
-    Rows marked by ``framing`` carry no text. Returns (tid, start_seq, tag, text, n).
+    ``chunk`` holds bytes (``codec.words_bytes`` of a record's words). They are
+    joined first and decoded once, so a character may cross two records;
+    broken bytes become U+FFFD. Rows marked by ``framing`` carry no text.
+    Returns (tid, start_seq, tag, text, n).
     """
     rows = df if framing is None else df.filter(~framing)
-    rows = rows.select("tid", "seq", tag.alias("tag"), chunk.alias("_chunk"))
+    # One character for each byte until the text is whole.
+    rows = rows.select("tid", "seq", tag.alias("tag"), F.decode(chunk.cast("binary"), "ISO-8859-1").alias("_chunk"))
     seen = scan(
         rows,
         ["tid"],
@@ -59,7 +63,8 @@ def chunk_texts(df: DataFrame, tag: Column, chunk: Column, framing: Column | Non
     begins = F.coalesce(F.col("_pnul"), F.lit(True)) | (~F.col("_ptag").eqNullSafe(F.col("tag")))
     texts = scan(seen, ["tid"], "seq", {"start_seq": last(F.when(begins, F.col("seq")))})
     cut = texts.withColumn("_chunk", F.substring_index("_chunk", "\0", 1))
-    return ordered_text(cut, ["tid", "start_seq", "tag"], "seq", "_chunk", "", "text")
+    whole = ordered_text(cut, ["tid", "start_seq", "tag"], "seq", "_chunk", "", "text")
+    return whole.withColumn("text", F.make_valid_utf8(F.encode("text", "ISO-8859-1").cast("string")))
 
 
 def is_frame_marker() -> Column:

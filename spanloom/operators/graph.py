@@ -118,10 +118,9 @@ def hit_test(arrows: DataFrame, points: list[tuple[float, float]], tolerance: fl
     listed = F.array(
         *[F.struct(F.lit(i).cast("long").alias("point"), F.lit(float(x)).alias("px"), F.lit(float(y)).alias("py")) for i, (x, y) in enumerate(points)]
     )
-    rows = arrows.select("*", F.inline(listed))
-    inside = rows.filter(
-        (F.col("px") >= F.col("x0")) & (F.col("px") <= F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") <= F.col("y1"))
-    )
+    # Points outside the arrow's box go before rows are made of them.
+    within = lambda p: (p["px"] >= F.col("x0")) & (p["px"] <= F.col("x1")) & (p["py"] >= F.col("y0")) & (p["py"] <= F.col("y1"))
+    inside = arrows.select("*", F.inline(F.filter(listed, within)))
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     along = ((F.col("px") - F.col("x0")) * dx + (F.col("py") - F.col("y0")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
     share = F.coalesce(along, F.lit(0.0))

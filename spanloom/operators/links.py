@@ -45,13 +45,10 @@ def link_next(
 
 def stitch_parts(df: DataFrame, key: str = "arg1") -> DataFrame:
     """Join two-part records: part B has 1 in the high half of ``key`` and the
-    same variant in the low half as part A just before it on its thread."""
-    seen = scan(
-        df,
-        ["tid", "eventid"],
-        "seq",
-        {"a_seq": prev(F.col("seq")), "_a_key": prev(F.col(key)), "a_arg2": prev(F.col("arg2"))},
-    )
+    same variant in the low half as part A just before it on its thread. All
+    arguments of part A come along as ``a_arg1`` to ``a_arg4``."""
+    held = {f"a_{c}": prev(F.col(c)) for c in ("seq", "arg1", "arg2", "arg3", "arg4")}
+    seen = scan(df, ["tid", "eventid"], "seq", held | {"_a_key": prev(F.col(key))})
     is_b = codec.high_half(F.col(key)) == 1
     is_a = codec.high_half(F.col("_a_key")) == 0
     same = codec.low_half(F.col(key)) == codec.low_half(F.col("_a_key"))

@@ -25,7 +25,7 @@ def name_role(debugid: Column) -> Column:
 
 
 def new_thread_names(df: DataFrame, is_new: Column, is_name: Column, new_tid: Column, name: Column) -> DataFrame:
-    """Names given to threads being created: (seq, creator, tid, name).
+    """Names given to threads being created: (seq, creator, tid, name, new_seq).
 
     A creator's newest pending thread takes the next name, so announcements
     and names nest like brackets. Depth is the running balance above its
@@ -45,7 +45,9 @@ def new_thread_names(df: DataFrame, is_new: Column, is_name: Column, new_tid: Co
     made = df.filter(is_new).select(F.col("seq").alias("_pseq"), new_tid.alias("_new"))
     told = df.filter(is_name).select("seq", name.alias("name"))
     named = pairs.join(made, "_pseq").join(told, "seq")
-    return named.select("seq", "creator", F.col("_new").alias("tid"), codec.command16(F.col("name")).alias("name"))
+    return named.select(
+        "seq", "creator", F.col("_new").alias("tid"), codec.command16(F.col("name")).alias("name"), F.col("_pseq").alias("new_seq")
+    )
 
 
 def definitions(initial: DataFrame, execs: DataFrame, created: DataFrame | None = None) -> DataFrame:
@@ -189,13 +191,33 @@ def resolved_map(owned: DataFrame, learned: DataFrame, processes: DataFrame, fir
     """
     pick = F.min_by if first_told else F.max_by
     owner = owned.groupBy("tid").agg(pick("pid", "order").alias("pid"))
+    commands = process_commands(owner, owner.select("pid").distinct(), learned, processes)
+    return owner.join(commands, "pid").select("tid", "pid", "command")
+
+
+def process_commands(owner: DataFrame, pids: DataFrame, learned: DataFrame, processes: DataFrame) -> DataFrame:
+    """(pid, command) of those of ``pids`` with a known command; ``owner`` is (tid, pid), one row a thread."""
     named = learned.filter(F.col("name") != "").groupBy("tid").agg(
         F.max_by("name", "order").alias("name"), F.max("order").alias("order")
     )
     taught = owner.join(named, "tid").groupBy("pid").agg(F.max_by("name", "order").alias("_taught"))
-    known = owner.select("pid").distinct().join(processes, "pid", "left").join(taught, "pid", "left")
-    commands = known.select("pid", F.coalesce("command", "_taught").alias("command")).filter(F.col("command").isNotNull())
-    return owner.join(commands, "pid").select("tid", "pid", "command")
+    known = pids.join(processes, "pid", "left").join(taught, "pid", "left")
+    return known.select("pid", F.coalesce("command", "_taught").alias("command")).filter(F.col("command").isNotNull())
+
+
+def command_as_of(df: DataFrame, told: DataFrame, learned: DataFrame, processes: DataFrame) -> DataFrame:
+    """Add ``owner_pid``, the process of a record's thread as of the record, and ``command`` as in ``command_of``.
+
+    A thread number may pass to another process in a capture. Records before
+    the first word on their thread belong to the process told first.
+    """
+    first = told.groupBy("tid").agg(F.min_by("pid", "order").alias("_first"))
+    commands = process_commands(owners(told), told.select("pid").distinct(), learned, processes)
+    at = owner_as_of(df.select("seq", "tid"), told).join(first, "tid", "left")
+    at = at.select("seq", F.coalesce("owner_pid", "_first").alias("owner_pid"))
+    side = commands.select(F.col("pid").alias("owner_pid"), F.col("command").alias("_command"))
+    command = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("_command"), F.lit(""))
+    return df.join(at.join(side, "owner_pid", "left"), "seq").withColumn("command", command).drop("_command")
 
 
 def command_of(df: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -8,10 +8,6 @@ from spanloom.operators import assemble
 from spanloom.plans.registry import query
 from spanloom.plans.tables import EVENTS_SQL, events, table
 
-# Up to 2**20 records per page or text: room in seq below the key.
-PLACE_BITS = 20
-
-
 def lookup_records(spark, sf_dir):
     """Page addresses written as path look-up records, 16 threads at once.
 
@@ -20,8 +16,10 @@ def lookup_records(spark, sf_dir):
     """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.length("url") + 7).alias("_len"))
     words = F.floor(F.col("_len") / 8)
-    records = F.when(words <= 3, 1).otherwise(1 + F.ceil((words - 3) / 4))
-    rows = pages.withColumn("records", records).withColumn("j", F.explode(F.sequence(F.lit(-1), F.col("records") - 1)))
+    pages = pages.withColumn("records", F.when(words <= 3, 1).otherwise(1 + F.ceil((words - 3) / 4)))
+    # Room for the longest page's records between two groups of pages.
+    room = pages.agg(F.max("records") + 1).scalar()
+    rows = pages.withColumn("j", F.explode(F.sequence(F.lit(-1), F.col("records") - 1)))
     rows = rows.filter((F.col("j") >= 0) | (F.col("page_id") % 5 == 0))
     j = F.col("j")
     aborted = j == -1
@@ -30,7 +28,7 @@ def lookup_records(spark, sf_dir):
     word = lambda i: codec.text_word(F.col("url"), first_word + i)
     start = j <= 0
     return rows.select(
-        (F.floor(F.col("page_id") / 16) * (1 << PLACE_BITS) + (j + 1) * 16 + F.col("page_id") % 16).alias("seq"),
+        ((F.floor(F.col("page_id") / 16) * room + j + 1) * 16 + F.col("page_id") % 16).alias("seq"),
         (F.col("page_id") % 16).alias("tid"),
         F.col("page_id").alias("ts"),
         (F.lit(fv.VFS_LOOKUP) + F.when(start, 1).otherwise(0) + F.when(~aborted & (j == F.col("records") - 1), 2).otherwise(0))
@@ -51,21 +49,26 @@ def path_assembly(spark, sf_dir):
 
 
 def text_chunks(spark, sf_dir):
-    """documents cut in chunks of 24 characters, the last one NUL padded.
+    """documents cut in chunks of 24 bytes, the last one NUL padded.
 
-    One regular expression cuts a text in a single pass, however long it is.
+    One regular expression cuts a text in a single pass, however long it is;
+    until then each byte is one character.
     """
-    pieces = F.regexp_extract_all(F.concat("text", F.lit("\0")), F.lit(r"[\s\S]{1,24}"), F.lit(0))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces).alias("j", "piece"))
+    docs = table(spark, sf_dir, "documents")
+    flat = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    pieces = F.regexp_extract_all(F.concat(flat, F.lit("\0")), F.lit(r"[\s\S]{1,24}"), F.lit(0))
+    rows = docs.select("doc_id", F.posexplode(pieces).alias("j", "piece"))
+    # Room for the longest text's chunks between two documents.
+    room = docs.agg(F.max(F.octet_length("text")).cast("long") + 1).scalar()
     return rows.select(
-        (F.col("doc_id") * (1 << PLACE_BITS) + F.col("j")).alias("seq"),
+        (F.col("doc_id") * room + F.col("j")).alias("seq"),
         (F.col("doc_id") % 8).alias("tid"),
         "doc_id",
-        F.rpad("piece", 24, "\0").alias("chunk"),
+        F.encode(F.rpad("piece", 24, "\0"), "ISO-8859-1").alias("chunk"),
     )
 
 
-@query("chunk_text", "SELECT doc_id, text, length(text) // 24 + 1 AS n FROM documents")
+@query("chunk_text", "SELECT doc_id, text, strlen(text) // 24 + 1 AS n FROM documents")
 def chunk_text(spark, sf_dir):
     whole = assemble.chunk_texts(text_chunks(spark, sf_dir), F.col("doc_id"), F.col("chunk"))
     return whole.select(F.col("tag").alias("doc_id"), "text", "n")

@@ -49,14 +49,14 @@ def code_sort(spark, sf_dir):
 @query(
     "code_diff",
     """WITH v AS (SELECT p_partkey // 4 AS debugid, p_name AS name, p_type AS source, p_partkey AS line, p_size AS size FROM part),
- o AS (SELECT debugid, arg_max(name, (source, line)) AS old_name FROM v WHERE line % 2 = 0 AND size > 20 GROUP BY debugid),
- n AS (SELECT debugid, arg_max(name, (source, line)) AS new_name FROM v WHERE line % 2 = 1 AND size > 10 GROUP BY debugid)
+ o AS (SELECT debugid, arg_max(name, (source, line)) AS old_name FROM v WHERE size > 25 GROUP BY debugid),
+ n AS (SELECT debugid, arg_max(name, (source, line)) AS new_name FROM v WHERE size <= 25 GROUP BY debugid)
 SELECT coalesce(o.debugid, n.debugid) AS debugid, old_name, new_name,
   CASE WHEN old_name IS NULL THEN 'added' WHEN new_name IS NULL THEN 'removed' ELSE 'renamed' END AS change
 FROM o FULL JOIN n ON o.debugid = n.debugid WHERE old_name IS DISTINCT FROM new_name""",
 )
 def code_diff(spark, sf_dir):
-    """Two dictionary versions, told apart by part number and size."""
+    """Two dictionary versions; every part is in one of them, by its size."""
     rows = table(spark, sf_dir, "part").select(
         F.floor(F.col("p_partkey") / 4).alias("debugid"),
         F.col("p_name").alias("name"),
@@ -64,8 +64,7 @@ def code_diff(spark, sf_dir):
         F.col("p_partkey").alias("line"),
         "p_size",
     )
-    old = rows.filter((F.col("line") % 2 == 0) & (F.col("p_size") > 20))
-    new = rows.filter((F.col("line") % 2 == 1) & (F.col("p_size") > 10))
+    old, new = rows.filter("p_size > 25"), rows.filter("p_size <= 25")
     return codes.difference(old, new)
 
 

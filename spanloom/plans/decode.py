@@ -114,9 +114,7 @@ def decode(
     defined = names.definitions(initial, exec_names(records), created_threads(records))
     roles = rows.select("seq", "tid", names.name_role(F.col("debugid")).alias("role"))
     named = settle(names.thread_names(roles, defined, F.col("role")).select("seq", "tid", "name"))
-    resolved = names.resolved_map(
-        names.owner_events(records), named.select(F.col("seq").alias("order"), "tid", "name"), processes
-    )
+    learned = named.select(F.col("seq").alias("order"), "tid", "name")
     shown = rows if verbose else rows.filter(visible())
     ended = all_spans(records if verbose else records.filter(visible()))
 
@@ -127,7 +125,8 @@ def decode(
         .join(found, "seq", "left")
         .withColumn("eventid", codec.event_id(F.col("debugid")))
     )
-    owned = process_filter(names.command_of(timed, resolved), include, exclude, pid="owner_pid")
+    commanded = names.command_as_of(timed, settle(names.owner_events(records)), learned, processes)
+    owned = process_filter(commanded, include, exclude, pid="owner_pid")
     commands = owned.drop("name").withColumnRenamed("command", "name")
     labelled = codes.name_codes(names.coprocessor_names(commands, cpu_map), dictionary, name="label")
     return labelled.withColumns(

@@ -9,13 +9,15 @@ from spanloom.plans.tables import EVENTS_SQL, events, table
 
 
 def turns(spark, sf_dir):
-    """conversations in file order; turns of one conversation stay below 2**16."""
-    return table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 65536 + F.col("turn")).alias("seq"), "conv_id", "turn", "role", "text"
+    """conversations in file order, with room for the longest one's turns between two of them."""
+    rows = table(spark, sf_dir, "conversations")
+    room = rows.agg(F.max("turn").cast("long") + 1).scalar()
+    return rows.select(
+        (F.col("conv_id") * room + F.col("turn")).alias("seq"), "conv_id", "turn", "role", "text"
     )
 
 
-@query("carry_header", "SELECT conv_id * 65536 + turn AS seq, turn, conv_id AS header FROM conversations")
+@query("carry_header", "SELECT conv_id * (SELECT max(turn) + 1 FROM conversations) + turn AS seq, turn, conv_id AS header FROM conversations")
 def carry_header(spark, sf_dir):
     """Only a conversation's first row names it; the others take it from above."""
     rows = turns(spark, sf_dir).withColumn("_id", F.when(F.col("turn") == 0, F.col("conv_id")))

@@ -84,9 +84,9 @@ def queue_wait(spark, sf_dir):
 
 @query(
     "record_stitch",
-    f"""WITH {EVENTS_SQL}, r AS (SELECT seq, tid, event_type, seq % 2 AS part, arg1 % 3 AS variant, user_id AS arg2 FROM ev),
- p AS (SELECT *, lag(seq) OVER w AS a_seq, lag(part) OVER w AS pp, lag(variant) OVER w AS pv, lag(arg2) OVER w AS a_arg2 FROM r WINDOW w AS (PARTITION BY tid, event_type ORDER BY seq))
-SELECT seq, tid, a_seq, variant, a_arg2, arg2 FROM p WHERE part = 1 AND pp = 0 AND pv = variant""",
+    f"""WITH {EVENTS_SQL}, r AS (SELECT seq, tid, event_type, seq % 2 AS part, arg1 % 3 AS variant, user_id AS arg2, ts AS arg3, arg1 AS arg4 FROM ev),
+ p AS (SELECT *, lag(seq) OVER w AS a_seq, lag(part) OVER w AS pp, lag(variant) OVER w AS pv, lag(variant) OVER w AS a_arg1, lag(arg2) OVER w AS a_arg2, lag(arg3) OVER w AS a_arg3, lag(arg4) OVER w AS a_arg4 FROM r WINDOW w AS (PARTITION BY tid, event_type ORDER BY seq))
+SELECT seq, tid, a_seq, variant, a_arg1, a_arg2, a_arg3, a_arg4, arg2, arg3, arg4 FROM p WHERE part = 1 AND pp = 0 AND pv = variant""",
 )
 def record_stitch(spark, sf_dir):
     rows = events(spark, sf_dir).select(
@@ -95,8 +95,10 @@ def record_stitch(spark, sf_dir):
         F.col("event_type").alias("eventid"),
         codec.pack_halves(F.col("seq") % 2, F.col("arg1") % 3).alias("arg1"),
         F.col("user_id").alias("arg2"),
+        F.col("ts").alias("arg3"),
+        F.col("arg1").alias("arg4"),
     )
-    return links.stitch_parts(rows).select("seq", "tid", "a_seq", "variant", "a_arg2", "arg2")
+    return links.stitch_parts(rows).select("seq", "tid", "a_seq", "variant", "a_arg1", "a_arg2", "a_arg3", "a_arg4", "arg2", "arg3", "arg4")
 
 
 @query(

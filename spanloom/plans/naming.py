@@ -71,7 +71,7 @@ def thread_creation(spark, sf_dir):
         kind == "signup",
         F.col("seq") + 1000,
         F.concat(F.lit("c"), F.col("seq").cast("string")),
-    )
+    ).drop("new_seq")
 
 
 OWNED_SQL = """ow AS (
@@ -116,7 +116,7 @@ def owner_as_of(spark, sf_dir):
     return names.owner_as_of(events(spark, sf_dir).select("seq", "tid"), owned(spark, sf_dir))
 
 
-LEARNED_SQL = "nm AS (SELECT user_id % 64 AS tid, arg_max('n' || seq, seq) AS name, max(seq) AS o FROM ev WHERE event_type = 'signup' AND value > 480 GROUP BY 1)"
+LEARNED_SQL = "nm AS (SELECT user_id % 64 AS tid, arg_max('n' || seq, seq) AS name, max(seq) AS o FROM ev WHERE event_type = 'signup' GROUP BY 1)"
 
 RESOLVED_SQL = f"""{EVENTS_SQL}, {OWNED_SQL}, {PROCS_SQL}, {LEARNED_SQL},
  taught AS (SELECT pid, arg_max(name, nm.o) AS name FROM own JOIN nm USING (tid) GROUP BY pid),
@@ -125,7 +125,7 @@ RESOLVED_SQL = f"""{EVENTS_SQL}, {OWNED_SQL}, {PROCS_SQL}, {LEARNED_SQL},
 
 
 def learned(spark, sf_dir):
-    ev = events(spark, sf_dir).filter((F.col("event_type") == "signup") & (F.col("value") > 480))
+    ev = events(spark, sf_dir).filter(F.col("event_type") == "signup")
     return ev.select(F.col("seq").alias("order"), "tid", F.concat(F.lit("n"), F.col("seq").cast("string")).alias("name"))
 
 

@@ -70,7 +70,8 @@ def stream_names(spark, sf_dir):
 
     def first_names(session):
         named = initial_map(session, sf_dir).groupBy("tid").agg(codec.command16(F.max_by("name", "entry")).alias("name"))
-        return named.filter(F.col("tid") != 0).withColumn("marked", F.lit(False))
+        none = F.lit(None).cast("long")
+        return named.filter(F.col("tid") != 0).withColumns({"marked": F.lit(False), "creator": none, "new_seq": none})
 
     for number in range(SLICES):
         land(rows, source, number)
@@ -79,6 +80,31 @@ def stream_names(spark, sf_dir):
     return stateful.output(spark, folder).select("seq", "tid", "name")
 
 
+@query(
+    "stream_creation",
+    f"""WITH {EVENTS_SQL}, c AS (SELECT seq, tid AS creator, CASE WHEN event_type = 'click' THEN 1 ELSE -1 END AS way FROM ev WHERE event_type IN ('click', 'signup')),
+ s AS (SELECT *, sum(way) OVER (PARTITION BY creator ORDER BY seq) AS sm FROM c),
+ l AS (SELECT *, sm - least(0, min(sm) OVER (PARTITION BY creator ORDER BY seq)) + CASE WHEN way = 1 THEN 0 ELSE 1 END AS lvl FROM s),
+ p AS (SELECT *, lag(way) OVER w AS pway, lag(seq) OVER w AS pseq FROM l WINDOW w AS (PARTITION BY creator, lvl ORDER BY seq)),
+ d AS (SELECT pseq * 7 % 64 AS tid, seq AS o, 'c' || seq AS name FROM p WHERE way = -1 AND pway = 1)
+SELECT ev.seq AS seq, ev.tid AS tid, coalesce(d.name, '') AS name FROM ev ASOF LEFT JOIN d ON ev.tid = d.tid AND ev.seq > d.o""",
+)
+def stream_creation(spark, sf_dir):
+    """Threads are announced in one slice and may be named in a later one."""
+    folder = fresh_path(spark, "stream-creation")
+    source = os.path.join(folder, "in")
+    rows = events(spark, sf_dir).select("seq", "tid", "event_type")
+    kind, text = F.col("event_type"), F.concat(F.lit("c"), F.col("seq").cast("string"))
+    step = stateful.name_step(
+        F.lit(None).cast("string"), F.lit(False), text, is_new=kind == "click", is_name=kind == "signup", new_tid=F.col("seq") * 7 % 64, new_name=text
+    )
+    for number in range(SLICES):
+        land(rows, source, number)
+        stream = stateful.landed(spark, source, "seq long, tid long, event_type string")
+        stateful.run(stream, step, stateful.NAME_STATE, folder).awaitTermination()
+    return stateful.output(spark, folder).select("seq", "tid", "name")
+
+
 HOUR_US = 3_600_000_000
 # A window is out once it ends at or before the newest time less the lateness, in whole milliseconds.
 CLOSED_SQL = f"ts // {HOUR_US} * {HOUR_US} + {HOUR_US} <= ((SELECT max(ts) FROM ev) // 1000 - 600000) * 1000"

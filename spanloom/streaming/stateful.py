@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,8 +79,10 @@ def run(
         else:
             state = spark.read.schema(state_schema).parquet(numbered("state", number - 1))
 
+        settled = count()
+
         def settle(df: DataFrame) -> DataFrame:
-            path = numbered("work", number)
+            path = os.path.join(numbered("work", number), f"step={next(settled)}")
             df.write.mode("overwrite").parquet(path)
             return spark.read.schema(df.schema).parquet(path)
 
@@ -153,28 +156,66 @@ def span_step(ttl_us: int | None = None) -> Step:
     return step
 
 
-NAME_STATE = "tid long, name string, marked boolean"
+NAME_STATE = "tid long, name string, marked boolean, creator long, new_seq long"
+
+
+def name_step(
+    role: Column,
+    is_definition: Column,
+    definition: Column,
+    is_new: Column | None = None,
+    is_name: Column | None = None,
+    new_tid: Column | None = None,
+    new_name: Column | None = None,
+) -> Step:
+    """Thread naming; the state is each living thread's name and whether it was marked.
 
+    With the last four, names of threads being created count as well; then
+    announced threads without a name yet are state too (``creator`` and the
+    announcement's ``new_seq`` are set).
+    """
 
-def name_step(role: Column, is_definition: Column, definition: Column) -> Step:
-    """Thread naming; the state is each living thread's name and whether it was marked."""
+    def creation(rows: DataFrame, pending: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+        kinds = [is_new.alias("_new"), is_name.alias("_name"), new_tid.alias("_tid"), new_name.alias("_text")]
+        held = pending.select(
+            F.col("new_seq").alias("seq"),
+            F.col("creator").alias("tid"),
+            F.lit(True).alias("_new"),
+            F.lit(False).alias("_name"),
+            F.col("tid").alias("_tid"),
+            F.lit(None).cast("string").alias("_text"),
+        )
+        both = rows.filter(is_new | is_name).select("seq", "tid", *kinds).unionByName(held)
+        made = settle(names.new_thread_names(both, F.col("_new"), F.col("_name"), F.col("_tid"), F.col("_text")))
+        open_ones = both.filter("_new").join(made.select(F.col("new_seq").alias("seq")), "seq", "left_anti")
+        left = open_ones.select(
+            F.col("_tid").alias("tid"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("marked"), F.col("tid").alias("creator"), F.col("seq").alias("new_seq")
+        )
+        return made.select((F.col("seq") * 2 + 1).alias("order"), "tid", "name"), left
 
     def step(rows: DataFrame, state: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+        pending, state = state.filter("creator is not null"), state.filter("creator is null")
+        created, left = creation(rows, pending, settle) if is_new is not None else (None, pending)
         rows = rows.withColumn("_role", role)
         # State lies before the batch: the name first, then the mark as a TERMINATE row.
         held = state.select(F.lit(-9).cast("long").alias("order"), "tid", "name")
         marks = state.filter("marked").select(F.lit(-1).cast("long").alias("seq"), "tid", F.lit(names.TERMINATE).alias("_role"))
         told = rows.filter(is_definition).select((F.col("seq") * 2 + 1).alias("order"), "tid", definition.alias("name"))
+        if created is not None:
+            told = told.unionByName(created)
         # One more row per thread after the batch shows what is left of its name.
         # A batch without rows keeps all state: its probes lie just behind that.
         after = rows.agg(F.coalesce(F.max("seq") + 1, F.lit(0).cast("long"))).scalar()
-        threads = rows.select("tid").unionByName(state.select("tid")).distinct()
+        threads = rows.select("tid").unionByName(state.select("tid"))
+        threads = (threads if created is None else threads.unionByName(created.select("tid"))).distinct()
         probes = threads.select(after.alias("seq"), "tid", F.lit("probe").alias("_role"))
         both = rows.select("seq", "tid", "_role").unionByName(marks).unionByName(probes).withColumnRenamed("_role", "role")
         # Output and state both read these names, so they are computed once.
         named = settle(names.thread_names(both, held.unionByName(told), F.col("role"), marked="marked"))
         probe = F.coalesce(F.col("role") == "probe", F.lit(False))
         out = named.filter((F.col("seq") >= 0) & ~probe).select("seq", "tid", "name")
-        return out, named.filter(probe & (F.col("name") != "")).select("tid", "name", "marked")
+        none = F.lit(None).cast("long")
+        kept = named.filter(probe & (F.col("name") != "")).select("tid", "name", "marked", none.alias("creator"), none.alias("new_seq"))
+        return out, kept.unionByName(left)
 
     return step

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom import fixed_values as fv
 from spanloom.functions import codec
-from spanloom.operators import assemble, filters, names, order, spans
+from spanloom.operators import assemble, filters, links, names, order, spans
 from spanloom.plans import decode
 
 IDS = [0x040C0010, fv.MAKE_RUNNABLE, fv.THREAD_TERMINATE, fv.SYSCALL_EXIT, fv.SCHEDULED, fv.STACK_HANDOFF]
@@ -175,12 +175,41 @@ def test_chunk_texts(spark, small_blocks):
     ]
 
 
+def test_characters_cross_records(spark, small_blocks):
+    text = "x" * 31 + "\u00e9" + "y" * 30 + "\u6f22\U0001f600 end"
+    data = text.encode()
+    rows = [(k, 1, data[32 * k : 32 * k + 32].ljust(32, b"\0")) for k in range(len(data) // 32 + 1)]
+    rows.append((90, 2, b"broken \xff\xc3\0"))
+    df = spark.createDataFrame([(s, t, bytearray(c)) for s, t, c in rows], "seq long, tid long, chunk binary")
+    got = assemble.chunk_texts(df, F.lit(1), F.col("chunk")).collect()
+    assert {r.tid: r.text for r in got} == {1: text, 2: "broken \ufffd\ufffd"}
+
+
+def test_stitched_parts_keep_all_arguments(spark):
+    rows = [(0, 1, 8, 2, 5, 6, 7), (1, 1, 8, (1 << 32) + 2, 15, 16, 17), (2, 1, 8, (1 << 32) + 2, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "seq long, tid long, eventid long, arg1 long, arg2 long, arg3 long, arg4 long")
+    got = links.stitch_parts(df).collect()
+    assert [(r.seq, r.a_seq, r.variant, r.a_arg1, r.a_arg2, r.a_arg3, r.a_arg4, r.arg4) for r in got] == [(1, 0, 2, 2, 5, 6, 7, 17)]
+
+
+def test_command_as_of(spark, small_blocks):
+    told = spark.createDataFrame([(11, 1, 100), (41, 1, 200), (51, 2, 300)], "order long, tid long, pid long")
+    listed = spark.createDataFrame([(100, "one"), (200, "two"), (900, "none")], "pid long, command string")
+    learned = spark.createDataFrame([(60, 2, "taught"), (9, 1, "")], "order long, tid long, name string")
+    rows = [(1, 1, ""), (5, 1, ""), (19, 1, ""), (20, 1, ""), (30, 1, "own"), (31, 2, ""), (32, 3, "")]
+    df = spark.createDataFrame(rows, "seq long, tid long, name string")
+    got = names.command_as_of(df, told, learned, listed).orderBy("seq").collect()
+    assert [(r.owner_pid, r.command) for r in got] == [
+        (100, "one"), (100, "one"), (100, "one"), (200, "two"), (200, "own"), (300, "taught"), (None, ""),
+    ]
+
+
 def test_library_dump_frames(spark):
     rows = [(0, 0, 0, 0, 0), (1, *text_words("/usr/lib/one.dylib")), (2, -1, -1, -1, -1), (3, 0, 1, 0, 0)]
     df = spark.createDataFrame(rows, "seq long, arg1 long, arg2 long, arg3 long, arg4 long").withColumn("tid", F.lit(1))
     kept = [r.seq for r in df.filter(~assemble.is_frame_marker()).orderBy("seq").collect()]
     assert kept == [1, 3]
-    words = codec.words_text(*[F.col(f"arg{i}") for i in range(1, 5)])
+    words = codec.words_bytes(*[F.col(f"arg{i}") for i in range(1, 5)])
     framed = assemble.chunk_texts(df.filter("seq < 3"), F.lit(7), words, assemble.is_frame_marker()).collect()
     assert [r.text for r in framed] == ["/usr/lib/one.dylib"]
 

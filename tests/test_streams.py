@@ -59,3 +59,23 @@ def test_name_stream(spark, tmp_path, small_blocks):
     execs = df.filter(kind == "exec").select("seq", "tid", text.alias("name"))
     batch = names.thread_names(df, names.definitions(none, execs), role)
     assert sorted(map(tuple, out.select("seq", "name").collect())) == sorted(map(tuple, batch.select("seq", "name").collect()))
+
+
+def test_creation_stream(spark, tmp_path, small_blocks):
+    """Announcements wait for their names over micro-batches, an empty one among them."""
+    pick = random.Random(4)
+    rows = [(s, 0 if pick.random() < 0.34 else pick.randrange(1, 5), pick.choice(["new", "new", "name", "other"])) for s in range(160)]
+    schema = "seq long, tid long, kind string"
+    kind, text, new_tid = F.col("kind"), F.concat(F.lit("n"), F.col("seq").cast("string")), F.col("seq") * 3 % 5
+    step = stateful.name_step(F.lit(None).cast("string"), F.lit(False), text, is_new=kind == "new", is_name=kind == "name", new_tid=new_tid, new_name=text)
+    for part in (rows[:50], [], rows[50:51], rows[51:]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stateful.run(stateful.landed(spark, f"{tmp_path}/in", schema), step, stateful.NAME_STATE, str(tmp_path)).awaitTermination()
+    df = spark.createDataFrame(rows, schema)
+    none = spark.createDataFrame([], "entry long, tid long, name string")
+    execs = df.filter("false").select("seq", "tid", text.alias("name"))
+    created = names.new_thread_names(df, kind == "new", kind == "name", new_tid, text)
+    batch = names.thread_names(df, names.definitions(none, execs, created), F.lit(None).cast("string"))
+    want = sorted(map(tuple, batch.select("seq", "name").collect()))
+    assert sum(name != "" for _, name in want) > 50
+    assert sorted(map(tuple, stateful.output(spark, str(tmp_path)).select("seq", "name").collect())) == want
