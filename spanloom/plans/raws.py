@@ -9,6 +9,43 @@ from spanloom.session import fresh_path
 from spanloom.sources import raw
 
 
+def narrow(spark, sf_dir, path, by=None, **options):
+    """events whose values fit in 32 bits, added to a folder of raw files."""
+    raw.register(spark)
+    rows = kevents(spark, sf_dir)
+    rows = (rows if by is None else rows.filter(by)).select(
+        "seq", "ts", "arg1", "arg2", F.lit(0).cast("long").alias("arg3"), F.col("seq").alias("arg4"), "tid", "debugid", F.col("cpu").cast("int").alias("cpu")
+    )
+    placed = rows.repartitionByRange("seq").sortWithinPartitions("seq").drop("seq")
+    placed.write.format("rawevents").mode("append").options(**options).save(path)
+    return path
+
+
+NARROW_SQL = f"WITH {KEVENTS_SQL} SELECT ts, arg1, arg2, CAST(0 AS BIGINT) AS arg3, seq AS arg4, tid, debugid, CAST(cpu AS INTEGER) AS cpu FROM k"
+
+
+@query("raw_oldest", NARROW_SQL)
+def raw_oldest(spark, sf_dir):
+    """The oldest layout: no magic, no padding before the records."""
+    return raw.read_raw(spark, narrow(spark, sf_dir, fresh_path(spark, "raw"), version=0), splitbytes=1 << 20).drop("seq")
+
+
+@query("raw_32bit", NARROW_SQL)
+def raw_32bit(spark, sf_dir):
+    """32-bit records, which carry the CPU in the upper byte of the clock."""
+    return raw.read_raw(spark, narrow(spark, sf_dir, fresh_path(spark, "raw"), bits=32), bits=32, splitbytes=1 << 20).drop("seq")
+
+
+@query("raw_append", f"WITH {KEVENTS_SQL} SELECT row_number() OVER (ORDER BY seq % 3 = 0 DESC, seq) - 1 AS at, seq AS event FROM k")
+def raw_append(spark, sf_dir):
+    """Two writes into one folder: all rows are there, those of the first write before the others."""
+    path = fresh_path(spark, "raw")
+    narrow(spark, sf_dir, path, F.col("seq") % 3 == 0)
+    narrow(spark, sf_dir, path, F.col("seq") % 3 != 0)
+    rows = raw.read_raw(spark, path).select("seq", F.col("arg4").alias("event"))
+    return row_numbers(rows, [], "seq", "at").select((F.col("at") - 1).alias("at"), "event")
+
+
 def written(spark, sf_dir):
     """events as raw records, with the customer of each thread number as its command."""
     raw.register(spark)

@@ -70,8 +70,7 @@ def stream_names(spark, sf_dir):
 
     def first_names(session):
         named = initial_map(session, sf_dir).groupBy("tid").agg(codec.command16(F.max_by("name", "entry")).alias("name"))
-        none = F.lit(None).cast("long")
-        return named.filter(F.col("tid") != 0).withColumns({"marked": F.lit(False), "creator": none, "new_seq": none})
+        return named.filter(F.col("tid") != 0).withColumn("marked", F.lit(False))
 
     for number in range(SLICES):
         land(rows, source, number)
@@ -101,7 +100,7 @@ def stream_creation(spark, sf_dir):
     for number in range(SLICES):
         land(rows, source, number)
         stream = stateful.landed(spark, source, "seq long, tid long, event_type string")
-        stateful.run(stream, step, stateful.NAME_STATE, folder).awaitTermination()
+        stateful.run(stream, step, stateful.CREATION_STATE, folder).awaitTermination()
     return stateful.output(spark, folder).select("seq", "tid", "name")
 
 

@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from spanloom import fixed_values as fv
 from spanloom.functions import codec
-from spanloom.operators import codes, filters, graph
+from spanloom.operators import codes, filters, graph, order
 from spanloom.plans import decode
 from spanloom.plans.registry import query
 from spanloom.plans.tables import KEVENTS_SQL, kevents, table
 from spanloom.session import fresh_path
-from spanloom.sinks.text import report_lines, write_lines
+from spanloom.sinks.text import report_lines, write_lines, write_report
 from spanloom.sources import text
 
 
@@ -251,3 +252,40 @@ def report_text(spark, sf_dir):
     processes = cust.select((F.col("c_custkey") + 1000).alias("pid"), F.col("c_name").alias("command"))
     plan = decode.decode(records, dictionary, thread_map, cpu_map, processes)
     return report_lines(plan).select("seq", "segment", "value")
+
+
+DAY_US = 86_400_000_000
+
+
+@query(
+    "report_segments",
+    f"""WITH {KEVENTS_SQL}, t AS (SELECT seq, ts % {DAY_US} AS t FROM k), l AS (SELECT *, lag(t) OVER (ORDER BY seq) AS p FROM t),
+ g AS (SELECT *, CAST(sum(CASE WHEN t < p THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS BIGINT) AS segment FROM l)
+SELECT segment, count(*) + CASE WHEN segment > 0 THEN 1 ELSE 0 END AS lines, CAST(CASE WHEN segment > 0 THEN 1 ELSE 0 END AS BIGINT) AS marks,
+  min(printf('%13.1f', t / 1.0::DOUBLE)) AS first, max(printf('%13.1f', t / 1.0::DOUBLE)) AS last FROM g GROUP BY segment""",
+)
+def report_segments(spark, sf_dir):
+    """A ring file whose clock begins anew every day, written as a report and read back: lines of each segment and its marker."""
+    none = F.lit(None)
+    rows = kevents(spark, sf_dir).withColumns({"ts": F.col("ts") % DAY_US, "arg1": F.col("seq") % 26 + 65})
+    cut = order.ring_segments(rows).withColumns(
+        {
+            "us": F.col("ts").cast("double"),
+            "delta_us": F.lit(0.0),
+            "elapsed_us": none.cast("double"),
+            "label": codec.hex_text(F.col("eventid")),
+            "dvp": none.cast("long"),
+            "path": none.cast("string"),
+            "arg3": F.lit(0).cast("long"),
+            "arg4": F.lit(0).cast("long"),
+            "command": F.lit(""),
+        }
+    )
+    path = fresh_path(spark, "report")
+    write_report(cut, path)
+    lines = spark.read.schema("value string, segment long").text(path)
+    mark = F.col("value") == fv.WRAP_MARKER
+    time = F.when(~mark, F.substring("value", 1, 13))
+    return lines.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(mark).alias("marks"), F.min(time).alias("first"), F.max(time).alias("last")
+    )

@@ -55,6 +55,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+#: Tables this process has settled and not removed yet.
+_SETTLED: list[str] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder this package wrote, on whatever file system it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def remove_settled(spark: SparkSession) -> int:
+    """Remove all settled tables once the results that read them are written; gives their number."""
+    paths = [_SETTLED.pop() for _ in range(len(_SETTLED))]
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder once and go on from there.
 
@@ -63,5 +81,6 @@ def settle(df: DataFrame) -> DataFrame:
     Later readers prune columns and rows, and a lost executor costs nothing.
     """
     path = fresh_path(df.sparkSession, "settled")
+    _SETTLED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,9 +4,10 @@
 ranges aligned to records; numpy decodes a range, Arrow batches hand it over.
 Options: ``table`` = events | threadmap | cpumap | header, ``bits`` = 64 | 32,
 ``splitbytes``, ``firstfile`` (number of the first file), ``types``
-(class-subclass ranges ``from-to`` kept, tested before rows leave Python). Writing lays down one V1 file per task: the thread map is taken
+(class-subclass ranges ``from-to`` kept, tested before rows leave Python). Writing lays down one file per task: the thread map is taken
 from the column ``command``, the CPU map from the option ``cpus``
-(``id:flags:name`` separated by commas).
+(``id:flags:name`` separated by commas). Its options ``bits`` (64 | 32) and
+``version`` (1 | 0) choose the layout.
 """
 
 from __future__ import annotations
@@ -222,10 +223,15 @@ class Written(WriterCommitMessage):
 
 
 class RawWriter(DataSourceArrowWriter):
-    """One V1 file per task, renamed into place when the whole write commits."""
+    """One file per task, renamed into place when the whole write commits.
+
+    The thread map lies before the records but is known after them, so records
+    go to a file beside the target first and are copied behind the finished map.
+    """
 
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path = options["path"]
+        self.bits, self.version = int(options.get("bits", "64")), int(options.get("version", "1"))
         self.secs = int(options.get("secs", "0"))
         self.usecs = int(options.get("usecs", "0"))
         # Names rise along writes and tasks, at any number of tasks, so reading in name order is the order of writing.
@@ -233,6 +239,35 @@ class RawWriter(DataSourceArrowWriter):
         self.cpus = [c.split(":") for c in options.get("cpus", "").split(",") if c]
         if overwrite:
             raise ValueError("raw files are only added to a folder")
+        if self.cpus and self.version == 0:
+            raise ValueError("the oldest layout has no CPU map")
+
+    def _records(self, batch: pa.RecordBatch) -> np.ndarray:
+        rows = np.zeros(batch.num_rows, dtype=RECORD[self.bits])
+        for field in ("ts", "arg1", "arg2", "arg3", "arg4", "tid", "debugid", "cpu"):
+            values = batch.column(field).to_numpy(zero_copy_only=False).astype("<i8").view("<u8")
+            if field == "cpu" and self.bits == 32:
+                # The CPU is the clock's upper byte.
+                if (values >> np.uint64(8)).any() or (rows["ts"] >> np.uint64(56)).any():
+                    raise ValueError("clock or CPU too large for 32-bit records")
+                rows["ts"] |= values << np.uint64(56)
+                continue
+            room = 8 * rows.dtype[field].itemsize
+            if room < 64 and (values >> np.uint64(room)).any():
+                raise ValueError(f"{field} too large for {self.bits}-bit records")
+            rows[field] = values
+        return rows
+
+    def _head(self, names: dict[int, bytes]) -> bytes:
+        entries = [(t & ((1 << self.bits) - 1), 1, c) for t, c in sorted(names.items())]
+        threads = np.array(entries, dtype=MAP_ENTRY[self.bits]).tobytes()
+        if self.version == 0:
+            return struct.pack("<I", len(entries)) + threads
+        head = HEADER[self.bits].pack(RAW_MAGIC, len(entries), self.secs, self.usecs) + threads
+        room, cpus = RAW_PAGE - len(head) % RAW_PAGE, self._cpu_map()
+        if len(cpus) > room:
+            raise ValueError(f"a CPU map of {len(cpus)} bytes doesn't fit in the {room} bytes before the records")
+        return head + cpus + b"\0" * (room - len(cpus))
 
     def _cpu_map(self) -> bytes:
         rows = np.array([(int(i), int(f), n.encode()[:7]) for i, f, n in self.cpus], dtype=CPU_ENTRY)
@@ -244,33 +279,22 @@ class RawWriter(DataSourceArrowWriter):
         context = TaskContext.get()
         name = f"part-{self.write_id}-{context.partitionId():010d}.raw"
         names: dict[int, bytes] = {}
-        with tempfile.TemporaryFile() as body:
+        filesystem, inner = _open(self.path)
+        filesystem.create_dir(inner, recursive=True)
+        temporary = f"{inner}/_{name}-{context.taskAttemptId()}"
+        with filesystem.open_output_stream(f"{temporary}-body") as body:
             for batch in iterator:
-                rows = np.zeros(batch.num_rows, dtype=RECORD[64])
-                for field in ("ts", "arg1", "arg2", "arg3", "arg4", "tid"):
-                    rows[field] = batch.column(field).to_numpy(zero_copy_only=False).astype("<i8").view("<u8")
-                for field in ("debugid", "cpu"):
-                    rows[field] = batch.column(field).to_numpy(zero_copy_only=False).astype("<u4")
-                body.write(rows.tobytes())
+                body.write(self._records(batch).tobytes())
                 if "command" in batch.schema.names:
                     pairs = pa.table({"t": batch.column("tid"), "c": batch.column("command")}).group_by(["t", "c"]).aggregate([])
                     for row in pairs.to_pylist():
                         if row["c"]:
                             names[row["t"]] = row["c"].encode()[:19]
-            threads = np.array([(t & 0xFFFFFFFFFFFFFFFF, 1, c) for t, c in sorted(names.items())], dtype=MAP_ENTRY[64])
-            head = HEADER[64].pack(RAW_MAGIC, len(threads), self.secs, self.usecs) + threads.tobytes()
-            room = RAW_PAGE - len(head) % RAW_PAGE
-            cpus = self._cpu_map()
-            if len(cpus) > room:
-                raise ValueError(f"a CPU map of {len(cpus)} bytes doesn't fit in the {room} bytes before the records")
-            filesystem, inner = _open(self.path)
-            filesystem.create_dir(inner, recursive=True)
-            temporary = f"{inner}/_{name}-{context.taskAttemptId()}"
-            body.seek(0)
-            with filesystem.open_output_stream(temporary) as out:
-                out.write(head + cpus + b"\0" * (room - len(cpus)))
-                while chunk := body.read(8 << 20):
-                    out.write(chunk)
+        with filesystem.open_output_stream(temporary) as out, filesystem.open_input_stream(f"{temporary}-body") as body:
+            out.write(self._head(names))
+            while chunk := body.read(8 << 20):
+                out.write(chunk)
+        filesystem.delete_file(f"{temporary}-body")
         return Written(temporary, f"{inner}/{name}")
 
     def commit(self, messages):

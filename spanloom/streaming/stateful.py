@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from spanloom import fixed_values as fv
 from spanloom.functions import codec
 from spanloom.operators import names, spans
+from spanloom.session import remove
 from spanloom.sources.raw import read_raw
 
 # (rows, state, settle) -> (output, new state); settle writes a table read more than once.
@@ -104,12 +105,6 @@ def run(
     return writer.start()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Remove a folder this module wrote, on whatever file system it lies."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
-
-
 def output(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.option("basePath", os.path.join(folder, "out")).parquet(os.path.join(folder, "out", "batch=*")).drop("batch")
@@ -156,7 +151,8 @@ def span_step(ttl_us: int | None = None) -> Step:
     return step
 
 
-NAME_STATE = "tid long, name string, marked boolean, creator long, new_seq long"
+NAME_STATE = "tid long, name string, marked boolean"
+CREATION_STATE = NAME_STATE + ", creator long, new_seq long"
 
 
 def name_step(
@@ -170,9 +166,9 @@ def name_step(
 ) -> Step:
     """Thread naming; the state is each living thread's name and whether it was marked.
 
-    With the last four, names of threads being created count as well; then
-    announced threads without a name yet are state too (``creator`` and the
-    announcement's ``new_seq`` are set).
+    With the last four, names of threads being created count as well; the
+    state is then CREATION_STATE, as announced threads without a name yet are
+    state too (``creator`` and the announcement's ``new_seq`` are set).
     """
 
     def creation(rows: DataFrame, pending: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -194,8 +190,10 @@ def name_step(
         return made.select((F.col("seq") * 2 + 1).alias("order"), "tid", "name"), left
 
     def step(rows: DataFrame, state: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-        pending, state = state.filter("creator is not null"), state.filter("creator is null")
-        created, left = creation(rows, pending, settle) if is_new is not None else (None, pending)
+        created = left = None
+        if is_new is not None:
+            created, left = creation(rows, state.filter("creator is not null"), settle)
+            state = state.filter("creator is null").drop("creator", "new_seq")
         rows = rows.withColumn("_role", role)
         # State lies before the batch: the name first, then the mark as a TERMINATE row.
         held = state.select(F.lit(-9).cast("long").alias("order"), "tid", "name")
@@ -214,8 +212,7 @@ def name_step(
         named = settle(names.thread_names(both, held.unionByName(told), F.col("role"), marked="marked"))
         probe = F.coalesce(F.col("role") == "probe", F.lit(False))
         out = named.filter((F.col("seq") >= 0) & ~probe).select("seq", "tid", "name")
-        none = F.lit(None).cast("long")
-        kept = named.filter(probe & (F.col("name") != "")).select("tid", "name", "marked", none.alias("creator"), none.alias("new_seq"))
-        return out, kept.unionByName(left)
+        kept = named.filter(probe & (F.col("name") != "")).select("tid", "name", "marked")
+        return out, kept if left is None else left.unionByName(kept, allowMissingColumns=True).select("tid", "name", "marked", "creator", "new_seq")
 
     return step

@@ -42,3 +42,17 @@ def test_empty_batch_keeps_names(spark):
     out, kept = step(rows, state, lambda df: df)
     assert out.collect() == []
     assert sorted(tuple(r) for r in kept.collect()) == [(5, "nm", False), (6, "other", True)]
+
+
+def test_settled_tables_are_removed(spark):
+    import os
+
+    from spanloom import session
+
+    df = session.settle(spark.range(5))
+    path = session._SETTLED[-1]
+    assert os.path.isdir(path) and df.count() == 5
+    kept = list(session._SETTLED)
+    session._SETTLED[:] = [path]
+    assert session.remove_settled(spark) == 1 and not os.path.exists(path)
+    session._SETTLED[:] = [p for p in kept if p != path]

@@ -103,3 +103,22 @@ def test_appends_add_up(spark, tmp_path):
         rows.write.format("rawevents").mode("append").save(folder)
     got = [r.arg1 for r in read_raw(spark, folder).orderBy("seq").collect()]
     assert got == [*range(100), *range(1000, 1200)]
+
+
+@pytest.mark.parametrize("bits, version", [(64, 0), (32, 1), (32, 0)])
+def test_other_layouts_are_written(spark, tmp_path, bits, version):
+    raw.register(spark)
+    schema = "ts long, arg1 long, arg2 long, arg3 long, arg4 long, tid long, debugid long, cpu int, command string"
+    data = [((1 << 40) + i, i, (1 << 32) - 1, 0, 5, 7 + i % 2, 0xFFFFFFFF, i % 200, f"c{i % 2}") for i in range(500)]
+    folder = str(tmp_path / "out")
+    rows = spark.createDataFrame(data, schema)
+    rows.coalesce(1).write.format("rawevents").mode("append").options(bits=bits, version=version).save(folder)
+    got = raw.read_raw(spark, folder, bits=bits, splitbytes=1000).orderBy("seq").drop("seq").collect()
+    assert [tuple(r) for r in got] == [r[:-1] for r in data]
+    threads = raw.read_raw(spark, folder, table="threadmap", bits=bits)
+    assert sorted((r.tid, r.command) for r in threads.collect()) == [(7, "c0"), (8, "c1")]
+    assert all(not f.name.endswith("-body") for f in (tmp_path / "out").iterdir())
+    if bits == 32:
+        for column, value in (("arg1", 1 << 32), ("tid", -1), ("cpu", 256), ("ts", 1 << 56)):
+            with pytest.raises(Exception, match="too large"):
+                rows.limit(1).withColumn(column, F.lit(value).cast("int" if column == "cpu" else "long")).write.format("rawevents").mode("append").options(bits=32).save(folder)

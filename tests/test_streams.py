@@ -70,7 +70,7 @@ def test_creation_stream(spark, tmp_path, small_blocks):
     step = stateful.name_step(F.lit(None).cast("string"), F.lit(False), text, is_new=kind == "new", is_name=kind == "name", new_tid=new_tid, new_name=text)
     for part in (rows[:50], [], rows[50:51], rows[51:]):
         spark.createDataFrame(part, schema).write.mode("append").parquet(f"{tmp_path}/in")
-        stateful.run(stateful.landed(spark, f"{tmp_path}/in", schema), step, stateful.NAME_STATE, str(tmp_path)).awaitTermination()
+        stateful.run(stateful.landed(spark, f"{tmp_path}/in", schema), step, stateful.CREATION_STATE, str(tmp_path)).awaitTermination()
     df = spark.createDataFrame(rows, schema)
     none = spark.createDataFrame([], "entry long, tid long, name string")
     execs = df.filter("false").select("seq", "tid", text.alias("name"))
