@@ -29,7 +29,7 @@ FEATURES = ["size", "digits", "upper", "lower", "other", "changes", "runs", "cov
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """One row for each candidate token: id, word position, token and features.
+    """One row for each candidate token: id, hash of its text, word position, token and features.
 
     A candidate is the first run of 16 or more token characters of a word, if
     it has a digit. The whole text is read; null texts have none, a null path
@@ -51,7 +51,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
 
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.inline(let(word_list, found))
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.inline(let(word_list, found))
     )
     rows = rows.withColumn("token", F.regexp_extract("word", _TOKEN, 0)).filter(F.col("token").rlike("[0-9]"))
     size = F.length("token")
@@ -59,6 +59,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     around = F.concat_ws(" ", "before", F.expr("substring_index(word, token, 1)"))
     return rows.select(
         "doc_id",
+        "text_hash",
         "position",
         "token",
         size.cast("double").alias("size"),
@@ -114,9 +115,14 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path_col: str = "so
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """The same documents with every found secret replaced by a mask and ``n_chars`` set anew; columns stay as they are."""
-    hits = scan(docs, labelled).filter("is_secret").groupBy("doc_id").agg(F.collect_set("token").alias("_secrets")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & F.col("_secrets").isNotNull(), "left")
+    """The same documents with every found secret replaced by a mask and ``n_chars`` set anew; columns stay as they are.
+
+    Secrets are gathered by id and text, so however many documents have no id
+    or share one, a group holds no more tokens than one text has.
+    """
+    hits = scan(docs, labelled).filter("is_secret").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    hits = hits.agg(F.collect_set("token").alias("_secrets"))
+    joined = docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
     longest_first = F.array_sort("_secrets", lambda a, b: F.length(b) - F.length(a))
     clean = F.when(
         F.col("_secrets").isNotNull(), F.aggregate(longest_first, F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK)))

@@ -266,6 +266,11 @@ def test_secrets(spark):
         assert clean[i].text == want
         assert clean[i].n_chars == (len(want) if i < 60 and i % 2 else 0)
     assert secrets.scan(rows.limit(0)).collect() == [] and secrets.redact(rows.limit(0)).collect() == []
+    # Without ids, and with one id for all, each text loses its own secrets only and no row is lost or doubled.
+    want = sorted(c.text or "" for c in clean.values())
+    for shared in (None, 7):
+        same = rows.withColumn("doc_id", F.lit(shared).cast("long"))
+        assert sorted(r.text or "" for r in secrets.redact(same).collect()) == want
 
 
 # 8 -------------------------------------------------------------------------------------------------
