@@ -22,6 +22,8 @@ SAMPLE = 20_000
 LEAST_CHARS = 16
 MASK = "[SECRET]"
 _TOKEN = r"[A-Za-z0-9_+/=.~-]{16,}"
+#: Texts are cut at white space and behind every long run of token characters, so a piece has one such run at most, at its end.
+_CUT = r"\s+|(?=[^A-Za-z0-9_+/=.~\s-])(?<=[A-Za-z0-9_+/=.~-]{16})"
 _KEYWORD = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|credential|auth|bearer)"
 #: Frequent parts of words; what they cover of a token is not random.
 _PARTS = "the|and|ing|ion|ent|tion|her|for|tha|nth|int|ere|ter|est|ers|ati|hat|ate|all|eth|hes|ver|his|user|file|name|page|http|www|com|html|image|index|test|data"
@@ -29,13 +31,14 @@ FEATURES = ["size", "digits", "upper", "lower", "other", "changes", "runs", "cov
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """One row for each candidate token: id, hash of its text, word position, token and features.
+    """One row for each candidate token: id, hash of its text, position, token and features.
 
-    A candidate is the first run of 16 or more token characters of a word, if
-    it has a digit. The whole text is read; null texts have none, a null path
-    is empty.
+    A candidate is any run of 16 or more token characters that has a digit,
+    however many a word holds. Positions count pieces: words, cut once more
+    behind each such run. The whole text is read; null texts have none, a null
+    path is empty.
     """
-    word_list = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+")
+    word_list = F.split(F.coalesce(F.col(text_col), F.lit("")), _CUT)
 
     def found(words: Column) -> Column:
         places = F.filter(

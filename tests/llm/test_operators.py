@@ -273,6 +273,19 @@ def test_secrets(spark):
         assert sorted(r.text or "" for r in secrets.redact(same).collect()) == want
 
 
+def test_secrets_of_long_words(spark):
+    rng = np.random.default_rng(3)
+    word = lambda k: "".join(rng.choice(list("0123456789abcdefXYZ_/"), k))
+    texts = [";".join(word(k) for k in rng.integers(10, 24, 300)) + "!" for _ in range(4)]
+    texts += ['{"text":"' + "abcdefghijklmnop" * 3 + '","token":"' + word(40) + '"}', "no_digit_in_this_long_run", "a" * 15 + "1", "b" * 15 + ",1"]
+    want = sorted((i, t) for i, text in enumerate(texts) for t in re.findall(r"[A-Za-z0-9_+/=.~-]{16,}", text) if re.search("[0-9]", t))
+    found = secrets.candidates(docs(spark, texts)).collect()
+    assert sorted((r.doc_id, r.token) for r in found) == want
+    assert len({(r.doc_id, r.position) for r in found}) == len(want)
+    last = next(r for r in found if r.doc_id == 4)
+    assert (last.keyword, last.assigned) == (1.0, 1.0)
+
+
 # 8 -------------------------------------------------------------------------------------------------
 
 
