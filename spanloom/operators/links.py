@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import codec
 from spanloom.operators.sequence import last, prev, scan
 from spanloom.operators.spans import pair
+from spanloom.session import settle
 
 
 def link_next(
@@ -15,7 +16,6 @@ def link_next(
     targets: DataFrame,
     keys: list[str],
     source_values: list[str],
-    span_bits: int | None = None,
     ts: str = "ts",
 ) -> DataFrame:
     """Each target with the source just before it under the same key, one to one.
@@ -23,8 +23,8 @@ def link_next(
     Keys are pointers that recur, so time decides: a later source replaces an
     unmatched one and a target consumes it. Sources and targets have one row
     per key and time; at the same time the source comes first. Keys are many
-    and short, so only hot ones are cut. Targets without a source keep nulls
-    in the source columns.
+    and short and times sparse, so hot keys alone are cut, by row numbers.
+    Targets without a source keep nulls in the source columns.
     """
     both = sources.withColumn("_way", F.lit(0)).unionByName(targets.withColumn("_way", F.lit(1)), allowMissingColumns=True)
     both = both.withColumn("_at", F.col(ts) * 2 + F.col("_way"))
@@ -37,7 +37,6 @@ def link_next(
         order="_at",
         ts=ts,
         split="hot",
-        span_bits=span_bits,
         carry=carried,
     )
     return paired.drop("_way", "_at", *[c for c in source_values if c not in targets.columns])
@@ -62,7 +61,7 @@ def delayed_calls(df: DataFrame, keys: list[str], step: Column) -> DataFrame:
     create just before it, an end to the start just before it.
     """
     rows = df.withColumn("step", step).filter(F.col("step").isNotNull())
-    seen = scan(rows, keys, "seq", {"_pstep": prev(F.col("step")), "from_seq": prev(F.col("seq")), "_pts": prev(F.col("ts"))})
+    seen = scan(rows, keys, "seq", {"_pstep": prev(F.col("step")), "from_seq": prev(F.col("seq")), "_pts": prev(F.col("ts"))}, split="hot")
     outcome = (
         F.when((F.col("step") == "cancel") & (F.col("_pstep") == "create"), "cancelled")
         .when((F.col("step") == "start") & (F.col("_pstep") == "create"), "called")
@@ -125,11 +124,12 @@ def symbol_addresses(requests: DataFrame, symbols: DataFrame, images: DataFrame)
     return found.withColumn("address", address).withColumn("offset", F.col("address") - F.col("base")).drop("base", "slide", "vm_offset")
 
 
-def image_of_address(addresses: DataFrame, images: DataFrame, span_bits: int | None = None) -> DataFrame:
+def image_of_address(addresses: DataFrame, images: DataFrame) -> DataFrame:
     """Image with the greatest load address at or below each address of a process.
 
     Equal (pid, address) pairs are counted together first, so what is placed
-    among the images is unique and a hot address is one row. Returns
+    among the images is unique and a hot address is one row. Addresses are
+    sparse, so a process with many of them is cut by row numbers. Returns
     (pid, address, n, image, load_addr, offset).
     """
     wanted = addresses.groupBy("pid", "address").agg(F.count(F.lit(1)).alias("n"))
@@ -138,11 +138,11 @@ def image_of_address(addresses: DataFrame, images: DataFrame, span_bits: int | N
         placed.withColumn("_at", F.col("load_addr") * 2), allowMissingColumns=True
     )
     seen = scan(
-        both.withColumnsRenamed({"image": "_image", "load_addr": "_load"}),
+        settle(both.withColumnsRenamed({"image": "_image", "load_addr": "_load"})),
         ["pid"],
         "_at",
         {"image": last(F.col("_image")), "load_addr": last(F.col("_load"))},
-        span_bits=span_bits,
+        split="hot",
     )
     return (
         seen.filter(F.col("address").isNotNull())
@@ -157,7 +157,7 @@ def observer_lives(df: DataFrame, key: str, step: Column) -> DataFrame:
     An observer pointer may be used again, so each create begins a new life.
     """
     rows = df.withColumn("_step", step).filter(F.col("_step").isNotNull())
-    lives = scan(rows, [key], "seq", {"life": last(F.when(F.col("_step") == "create", F.col("seq")))})
+    lives = scan(rows, [key], "seq", {"life": last(F.when(F.col("_step") == "create", F.col("seq")))}, split="hot")
     at = lambda kind: F.when(F.col("_step") == kind, F.col("ts"))
     return (
         lives.filter(F.col("life").isNotNull())
@@ -198,5 +198,5 @@ def value_changes(values: DataFrame) -> DataFrame:
     """Rows where a watched address holds another value than before."""
     # Several slots of one trap may watch the same address; position is made unique by the slot.
     placed = values.withColumn("_at", F.col("seq") * 4 + F.col("slot"))
-    seen = scan(placed, ["address"], "_at", {"old": prev(F.col("watched"))})
+    seen = scan(placed, ["address"], "_at", {"old": prev(F.col("watched"))}, split="hot")
     return seen.filter(F.col("old") != F.col("watched")).drop("_at")

@@ -13,7 +13,9 @@ consecutive positions instead:
    window already has.
 
 A position is a unique LONG within its key, so a block holds at most
-``2**span_bits`` rows, whatever share of the log one key has.
+``2**span_bits`` rows, whatever share of the log one key has. Positions of one
+key should also be dense, or blocks are too many; where they are times or
+addresses, or keys are many and short, ``split='hot'`` cuts by row numbers.
 """
 
 from __future__ import annotations
@@ -96,9 +98,11 @@ def scan(
     ``order`` is a LONG, unique within ``keys``; keys are never null.
     ``split='all'`` cuts every key into blocks, right for the few, long keys
     of an event log (threads, thread and code, the whole file).
-    ``split='hot'`` is for many short keys (message pointers): a narrow count
-    finds the keys above ``hot_rows`` and only those are cut, so the hand-over
-    side stays empty unless a hot key exists.
+    ``split='hot'`` is for many short keys (message pointers) and for sparse
+    positions (times, addresses): a narrow count, settled, finds the keys above
+    ``hot_rows``. Only their rows are numbered along ``order`` and cut by that
+    number, so blocks are full whatever the positions are. Without hot keys the
+    scan is one bare window and nothing is handed over.
 
     ``shared`` says that the steps use all columns of ``df``. Rows are then
     shuffled once and both the windows and the block rows read that shuffle,
@@ -114,11 +118,13 @@ def scan(
     names = list(steps)
     block = F.shiftright(F.col(order), span_bits)
     if split == "hot":
-        hot = F.broadcast(_hot_keys(df, keys, hot_rows).withColumn("_hot", F.lit(True)))
-        rows = df.join(hot, keys, "left").withColumn("_blk", F.when(F.col("_hot"), block)).drop("_hot")
-        cut = rows.filter(F.col("_blk").isNotNull())
+        hot = settle(_hot_keys(df, keys, hot_rows))
         # Short keys all sit in one block each; the constant keeps the join key non-null.
-        rows = rows.withColumn("_blk", F.coalesce(F.col("_blk"), F.lit(-1).cast("long")))
+        rows, cut = df.withColumn("_blk", F.lit(-1).cast("long")), None
+        if not hot.isEmpty():
+            placed = sequence(df.join(F.broadcast(hot), keys, "left_semi"), *keys, order, name="_place")
+            cut = placed.withColumn("_blk", F.shiftright("_place", span_bits)).drop("_place")
+            rows = rows.join(F.broadcast(hot), keys, "left_anti").unionByName(cut)
     elif "_blk" in df.columns:
         rows = cut = df
     else:
@@ -127,7 +133,7 @@ def scan(
             rows = rows.repartition(*keys, "_blk")
         cut = rows
     values = [steps[n].value.alias(f"_v_{n}") for n in names]
-    rows, cut = rows.select("*", *values), cut.select("*", *values)
+    rows = rows.select("*", *values)
 
     inside = Window.partitionBy(*keys, "_blk").orderBy(order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -153,23 +159,26 @@ def scan(
             return F.max_by(v, F.when(v.isNotNull(), F.col(order)))
         return _WINDOW_FN[kind](v)
 
-    blocks = cut.groupBy(*keys, "_blk").agg(*[block_value(n).alias(f"_b_{n}") for n in names])
-    # One row per block, so the window below is 2**span_bits times shorter than the log.
-    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_blk")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(
-        *keys,
-        "_blk",
-        *[
-            (
-                F.lag(f"_b_{n}").over(along)
-                if steps[n].kind == "prev"
-                else _WINDOW_FN[steps[n].kind](F.col(f"_b_{n}")).over(earlier)
-            ).alias(f"_c_{n}")
-            for n in names
-        ],
-    )
-    joined = local.join(carried, [*keys, "_blk"], "left")
+    def handed_over() -> DataFrame:
+        blocks = cut.select("*", *values).groupBy(*keys, "_blk").agg(*[block_value(n).alias(f"_b_{n}") for n in names])
+        # One row per block, so the window below is 2**span_bits times shorter than the log.
+        along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_blk")
+        earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+        carried = blocks.select(
+            *keys,
+            "_blk",
+            *[
+                (
+                    F.lag(f"_b_{n}").over(along)
+                    if steps[n].kind == "prev"
+                    else _WINDOW_FN[steps[n].kind](F.col(f"_b_{n}")).over(earlier)
+                ).alias(f"_c_{n}")
+                for n in names
+            ],
+        )
+        return local.join(carried, [*keys, "_blk"], "left")
+
+    joined = local.withColumns({f"_c_{n}": F.lit(None) for n in names}) if cut is None else handed_over()
     out = [
         (
             F.when(F.col("_rn") == 1, F.col(f"_c_{n}")).otherwise(F.col(f"_l_{n}"))

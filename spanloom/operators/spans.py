@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom import fixed_values as fv
 from spanloom.functions import codec
 from spanloom.operators.sequence import prev, scan, total
+from spanloom.session import settle
 
 OPEN, CLOSE = 1, 2
 
@@ -20,7 +21,6 @@ def pair(
     order: str = "seq",
     ts: str = "ts",
     split: str = "all",
-    span_bits: int | None = None,
     carry: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Closing rows with the time since the opening row just before them in their key.
@@ -35,7 +35,7 @@ def pair(
     rows = df.withColumn("_side", side).filter(F.col("_side").isNotNull())
     steps = {"_pside": prev(F.col("_side")), "_pts": prev(F.col(ts))}
     steps |= {f"_p_{name}": prev(value) for name, value in carry.items()}
-    seen = scan(rows, keys, order, steps, span_bits=span_bits, split=split)
+    seen = scan(rows, keys, order, steps, split=split)
     was_open = F.coalesce(F.col("_pside") == OPEN, F.lit(False))
     return (
         seen.filter(F.col("_side") == CLOSE)
@@ -94,15 +94,14 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def exact_percentiles(
-    counts: DataFrame, keys: list[str], value: str, permille: dict[str, int], span_bits: int | None = None
-) -> DataFrame:
+def exact_percentiles(counts: DataFrame, keys: list[str], value: str, permille: dict[str, int]) -> DataFrame:
     """Discrete percentiles per key: the least value with at least that share at or below it.
 
     ``counts`` come from ``value_counts``, so a key is summed over its distinct
-    values in blocks instead of being sorted as one group.
+    values in blocks instead of being sorted as one group. Values are sparse,
+    so keys with very many of them are cut by row numbers.
     """
-    reached = scan(counts, keys, value, {"_upto": total(F.col("_n"))}, span_bits=span_bits, shared=True)
+    reached = scan(counts, keys, value, {"_upto": total(F.col("_n"))}, split="hot")
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     return (
         reached.join(sizes, keys)
@@ -118,7 +117,8 @@ def exact_percentiles(
 
 def span_stats(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Count, total, maximum, median and 95th percentile of ``elapsed``."""
-    counts = value_counts(spans, keys, "elapsed")
+    # Written once: three readers would pair the spans anew.
+    counts = settle(value_counts(spans, keys, "elapsed"))
     sums = counts.groupBy(*keys).agg(
         F.sum("_n").alias("n"), F.sum(F.col("elapsed") * F.col("_n")).alias("total_us"), F.max("elapsed").alias("max_us")
     )

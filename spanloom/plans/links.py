@@ -28,7 +28,7 @@ def messages(spark, sf_dir):
         .groupBy(F.col("l_orderkey").alias("kmsg"), F.col("l_shipdate").alias("ts"))
         .agg(F.min("l_suppkey").alias("receiver"), F.count(F.lit(1)).alias("n"))
     )
-    return links.link_next(sends, receives, ["kmsg"], ["sender", "msg_id"], span_bits=30)
+    return links.link_next(sends, receives, ["kmsg"], ["sender", "msg_id"])
 
 
 @query("msg_latency", f"WITH {MSG_SQL} SELECT kmsg, ts, receiver, n, source_sender AS sender, elapsed, CASE WHEN source_sender IS NOT NULL THEN mig END AS mig, CASE WHEN source_sender IS NOT NULL THEN from_kernel END AS from_kernel, CASE WHEN source_sender IS NOT NULL THEN kmsg END AS plain_id FROM msg")
@@ -76,7 +76,7 @@ def queue_wait(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("n"))
     )
     puts, takes = rows.filter("way = 0").drop("way"), rows.filter("way = 1").drop("way")
-    linked = links.link_next(puts, takes, ["queue", "item"], ["ts"], span_bits=30)
+    linked = links.link_next(puts, takes, ["queue", "item"], ["ts"])
     return linked.filter(F.col("source_ts").isNotNull()).select(
         "queue", "item", "ts", "n", F.col("source_ts").alias("enqueued"), F.col("elapsed").alias("waited")
     )

@@ -1,6 +1,7 @@
 """Scans against a sequential walk, with one key holding a third of all rows."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,21 @@ def test_ordered_text(spark):
     df = spark.createDataFrame(data, "seq long, k int, v string")
     got = {r.k: (r.text, r.n) for r in ordered_text(df, ["k"], "seq", "v", "", "text", piece_bits=4).collect()}
     assert got == {k: ("".join(f"<{i}>" for i in range(k, 300, 3)), 100) for k in range(3)}
+
+
+def test_hot_keys_of_sparse_positions_fill_their_blocks(spark, small_blocks):
+    """Times in microseconds and addresses far apart: a hot key still lies in full blocks of 8 rows, a cold one in one."""
+    pick = random.Random(9)
+    data = [("hot" if i % 3 else f"k{i % 90}", i * 10**12 + pick.randrange(10**11), i % 7) for i in range(600)]
+    df = spark.createDataFrame(data, "k string, at long, v long")
+    seen = scan(df, ["k"], "at", {"sum": total(F.col("v")), "before": prev(F.col("v"))}, split="hot", keep=True).collect()
+    walk, before, want = {}, {}, []
+    for k, at, v in sorted(data, key=lambda r: r[1]):
+        walk[k] = walk.get(k, 0) + v
+        want.append((k, at, walk[k], before.get(k)))
+        before[k] = v
+    assert sorted((r.k, r.at, r["sum"], r.before) for r in seen) == sorted(want, key=lambda r: r[:2])
+    blocks = Counter((r.k, r._blk) for r in seen)
+    hot = [n for (k, _), n in blocks.items() if k == "hot"]
+    assert max(hot) <= 8 and len(hot) <= 400 // 8 + 2 * 8
+    assert all(b == -1 for k, b in blocks if k != "hot")
