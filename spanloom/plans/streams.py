@@ -105,37 +105,41 @@ def stream_creation(spark, sf_dir):
 
 
 HOUR_US = 3_600_000_000
-# A window is out once it ends at or before the newest time less the lateness, in whole milliseconds.
-CLOSED_SQL = f"ts // {HOUR_US} * {HOUR_US} + {HOUR_US} <= ((SELECT max(ts) FROM ev) // 1000 - 600000) * 1000"
+WIDTH, LATENESS = "1 hour", "10 minutes"
+
+
+def land_to_the_end(rows, folder):
+    """Land slice after slice, then the end marker; yields after each, for the stream to take it."""
+    for number in range(SLICES):
+        land(rows, folder, number)
+        yield
+    windows.end_marker(rows, WIDTH, LATENESS).write.mode("append").parquet(folder)
+    yield
 
 
 @query(
     "stream_window_counts",
-    f"WITH {KEVENTS_SQL} SELECT ts // {HOUR_US} * {HOUR_US} AS window_start, debugid >> 24 AS class, count(*) AS n FROM k WHERE {CLOSED_SQL} GROUP BY 1, 2",
+    f"WITH {KEVENTS_SQL} SELECT ts // {HOUR_US} * {HOUR_US} AS window_start, debugid >> 24 AS class, count(*) AS n FROM k GROUP BY 1, 2",
 )
 def stream_window_counts(spark, sf_dir):
     folder = fresh_path(spark, "stream-windows")
     source, out, checkpoint = (os.path.join(folder, name) for name in ("in", "out", "checkpoint"))
-    rows = kevents(spark, sf_dir).select("seq", "ts", "debugid")
-    for number in range(SLICES):
-        land(rows, source, number)
+    for _ in land_to_the_end(kevents(spark, sf_dir).select("seq", "ts", "debugid"), source):
         stream = stateful.landed(spark, source, "seq long, ts long, debugid long")
-        counts = windows.window_counts(stream, "1 hour", "10 minutes", codec.event_class(F.col("debugid")).alias("class"))
+        counts = windows.window_counts(stream, WIDTH, LATENESS, codec.event_class(F.col("debugid")).alias("class"))
         windows.to_parquet(counts, out, checkpoint).awaitTermination()
     return spark.read.schema("window_start long, class long, n long").parquet(out)
 
 
 @query(
     "stream_lost_events",
-    f"WITH {EVENTS_SQL} SELECT ts // {HOUR_US} * {HOUR_US} AS window_start, count(*) AS markers FROM ev WHERE event_type = 'error' AND {CLOSED_SQL} GROUP BY 1",
+    f"WITH {EVENTS_SQL} SELECT ts // {HOUR_US} * {HOUR_US} AS window_start, count(*) AS markers FROM ev WHERE event_type = 'error' GROUP BY 1",
 )
 def stream_lost_events(spark, sf_dir):
     folder = fresh_path(spark, "stream-lost")
     source, out, checkpoint = (os.path.join(folder, name) for name in ("in", "out", "checkpoint"))
-    rows = events(spark, sf_dir).select("seq", "ts", "event_type")
-    for number in range(SLICES):
-        land(rows, source, number)
+    for _ in land_to_the_end(events(spark, sf_dir).select("seq", "ts", "event_type"), source):
         stream = stateful.landed(spark, source, "seq long, ts long, event_type string")
-        lost = windows.lost_events(stream, "1 hour", "10 minutes", F.col("event_type") == "error")
+        lost = windows.lost_events(stream, WIDTH, LATENESS, F.col("event_type") == "error")
         windows.to_parquet(lost, out, checkpoint).awaitTermination()
     return spark.read.schema("window_start long, markers long").parquet(out)

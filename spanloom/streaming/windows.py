@@ -26,6 +26,18 @@ def lost_events(stream: DataFrame, width: str, lateness: str, is_marker: Column
     return counted.filter("markers > 0").select(F.unix_micros("window.start").alias("window_start"), "markers")
 
 
+def end_marker(rows: DataFrame, width: str, lateness: str, ts: str = "ts") -> DataFrame:
+    """The row to land once a capture has ended, so that its open windows come out.
+
+    ``rows`` are all records of the capture. The marker's time lies so far
+    behind theirs that the watermark passes all their windows; its own window
+    never closes and its other columns are null.
+    """
+    after = F.timestamp_micros(F.max(ts)) + F.expr(f"INTERVAL {width}") + F.expr(f"INTERVAL {lateness}") + F.expr("INTERVAL 1 second")
+    marker = rows.agg(F.unix_micros(after).alias("_at"))
+    return marker.select(*[(F.col("_at") if n == ts else F.lit(None).cast(t)).alias(n) for n, t in rows.dtypes])
+
+
 def to_parquet(counts: DataFrame, path: str, checkpoint: str):
     """Append finished windows to a folder, take what has arrived and stop."""
     writer = counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
