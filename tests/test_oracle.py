@@ -1,4 +1,8 @@
-"""Every registered query against its SQL on DuckDB, over the smallest tables."""
+"""Every query that has SQL against that SQL on DuckDB, over the smallest tables.
+
+All queries of the library itself have one; corpus operators that SQL cannot
+express are held against plain versions in their own tests.
+"""
 
 import importlib.util
 from pathlib import Path
@@ -6,6 +10,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from spanloom.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 spec = importlib.util.spec_from_file_location("check", Path(__file__).resolve().parent.parent / "tools" / "check.py")
@@ -20,7 +25,7 @@ def duck():
     return check.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query(spark, duck, small_blocks, name):
     state, rows, _, note = check.compare(spark, duck, SF_DIR, name)
     assert state == "ok", note
@@ -32,4 +37,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(registry.oracle_sql()) <= set(entry.oracle_sql()) <= set(entry.queries())
