@@ -2,8 +2,8 @@
 
 A document's set of shingle hashes is summarised in 256 registers: the upper
 byte of a hash names its register, and of the smallest hash there the register
-keeps the number of leading zeros and ten mantissa bits. Bands of seven
-registers give candidate groups. Inside these, collision-corrected Jaccard
+keeps the number of leading zeros and ten mantissa bits. Bands of registers,
+as wide as the asked similarity allows, give candidate groups. Inside these, collision-corrected Jaccard
 estimates join documents that may be similar into loose groups, and within a
 loose group links are confirmed on the full sets.
 
@@ -15,6 +15,7 @@ has documents, so neither a group nor its pairs are ever in one place.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,18 +30,17 @@ from spanloom.session import settle
 WORDS = 5
 REGISTERS = 256
 MANTISSA = 10
-BAND = 7
-BANDS = REGISTERS // BAND
-#: A link: 100 * intersection >= 85 * union.
+#: A link, unless a caller asks for another share: 100 * intersection >= 85 * union.
 SHARE = 85
-#: Estimates from here on are verified: at 256 registers five standard deviations below the limit, lower for small sets.
-CUT, CUT_SMALL, SMALL = 0.70, 0.55, 64
+#: Most pairs at the limit that may share no band.
+MISSED = 1e-5
+SMALL = 64
 BLOCK_DOCUMENTS = 1024
 BLOCK_SHINGLES = 1 << 20
 
 _rng = np.random.default_rng(11)
 _WORD_FACTORS = _rng.integers(1, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND_FACTORS = _rng.integers(1, 1 << 63, (BANDS, BAND), np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_FACTORS = _rng.integers(1, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 _PROBES = np.array([_rng.permutation(REGISTERS) for _ in range(REGISTERS)])
 #: Chance that two different minima fill a register alike: both have as many leading zeros (1/3) and the same mantissa.
 _COLLISION = 1 / 3 / (1 << MANTISSA)
@@ -83,10 +83,23 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(signatures: np.ndarray) -> np.ndarray:
+def band_width(share: int) -> int:
+    """Registers of a band: the most with which a pair at the limit shares one of the bands all but surely."""
+    return max((w for w in range(1, 17) if (1 - (share / 100) ** w) ** (REGISTERS // w) <= MISSED), default=1)
+
+
+def cuts(share: int) -> tuple[float, float]:
+    """Estimates from here on are verified: at 256 registers more than six standard deviations below the limit, and for small sets twice that."""
+    spread = 0.42 * math.sqrt(share * (100 - share)) / 100
+    return share / 100 - spread, share / 100 - 2 * spread
+
+
+def bands(signatures: np.ndarray, share: int = SHARE) -> np.ndarray:
     """One key per band for each row of registers."""
-    parts = signatures[:, : BANDS * BAND].reshape(-1, BANDS, BAND).astype(np.uint64)
-    return _mix((parts * _BAND_FACTORS).sum(2) + np.arange(BANDS, dtype=np.uint64))
+    width = band_width(share)
+    n = REGISTERS // width
+    parts = signatures[:, : n * width].reshape(-1, n, width).astype(np.uint64)
+    return _mix((parts * _BAND_FACTORS[: n * width].reshape(n, width)).sum(2) + np.arange(n, dtype=np.uint64))
 
 
 def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -110,20 +123,21 @@ class _Groups:
         return [(int(ids[r]), int(ids[i])) for i in range(len(self.up)) if (r := self.find(i)) != i]
 
 
-def candidate_rows(i: int, signatures: np.ndarray, sizes: np.ndarray, side: np.ndarray, crossed: bool) -> np.ndarray:
+def candidate_rows(i: int, signatures: np.ndarray, sizes: np.ndarray, side: np.ndarray, crossed: bool, share: int = SHARE) -> np.ndarray:
     """Earlier rows that may be similar to row i, likeliest first; between two blocks only rows of the other one."""
     near = estimates(signatures[i], signatures[:i])
-    cut = np.where(np.minimum(sizes[:i], sizes[i]) < SMALL, CUT_SMALL, CUT)
-    ok = (near >= cut) & (100 * np.minimum(sizes[:i], sizes[i]) >= SHARE * np.maximum(sizes[:i], sizes[i]))
+    large, small = cuts(share)
+    cut = np.where(np.minimum(sizes[:i], sizes[i]) < SMALL, small, large)
+    ok = (near >= cut) & (100 * np.minimum(sizes[:i], sizes[i]) >= share * np.maximum(sizes[:i], sizes[i]))
     if crossed:
         ok &= side[:i] != side[i]
     rows = np.flatnonzero(ok)
     return rows[np.argsort(-near[rows], kind="stable")]
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= SHARE * (len(a) + len(b) - both)
+    return 100 * both >= share * (len(a) + len(b) - both)
 
 
 def summaries(docs: DataFrame) -> DataFrame:
@@ -182,7 +196,7 @@ def _block_pairs(rows: DataFrame, group: str, block: Column, blocks: Column) ->
     return spread.repartition(group, "_i", "_j").sortWithinPartitions(group, "_i", "_j")
 
 
-def loose_links(classes: DataFrame) -> DataFrame:
+def loose_links(classes: DataFrame, share: int = SHARE) -> DataFrame:
     """Links between classes of one band bucket whose estimate allows a similarity at the limit."""
 
     def keys_of(batches):
@@ -190,8 +204,8 @@ def loose_links(classes: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            keys = bands(rows).astype(np.int64)
-            cids = np.repeat(batch.column(0).to_numpy(), BANDS)
+            keys = bands(rows, share).astype(np.int64)
+            cids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cids)], ["key", "cid"])
 
     members = classes.select("cid", "registers").mapInArrow(keys_of, "key long, cid long").repartition("key")
@@ -216,7 +230,7 @@ def loose_links(classes: DataFrame) -> DataFrame:
             rows = np.frombuffer(b"".join(registers), np.uint16).reshape(-1, REGISTERS)
             groups = _Groups(len(ids))
             for r in range(1, len(ids)):
-                for x in candidate_rows(r, rows, n, b, i[0] != j[0]).tolist():
+                for x in candidate_rows(r, rows, n, b, i[0] != j[0], share).tolist():
                     groups.up[groups.find(x)] = groups.find(r)
             out += groups.links(ids)
             if len(out) > 20_000:
@@ -228,7 +242,7 @@ def loose_links(classes: DataFrame) -> DataFrame:
     return placed.mapInArrow(compare, "a long, b long").distinct()
 
 
-def confirmed_links(docs: DataFrame, classes: DataFrame, loose: DataFrame) -> DataFrame:
+def confirmed_links(docs: DataFrame, classes: DataFrame, loose: DataFrame, share: int = SHARE) -> DataFrame:
     """Links confirmed on full sets, enough of them to connect whatever is connected inside each loose group."""
     heavy = F.greatest("n_shingles", F.lit(BLOCK_SHINGLES // BLOCK_DOCUMENTS))
     along = Window.partitionBy("root").orderBy("cid").rowsBetween(Window.unboundedPreceding, -1)
@@ -265,9 +279,9 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, loose: DataFrame) -> Da
             rows, n = np.array([signature(s) for s in found]), np.array([len(s) for s in found])
             groups = _Groups(len(ids))
             for r in range(1, len(ids)):
-                for x in candidate_rows(r, rows, n, b, i[0] != j[0]).tolist():
+                for x in candidate_rows(r, rows, n, b, i[0] != j[0], share).tolist():
                     own, other = groups.find(r), groups.find(x)
-                    if own != other and similar(found[r], found[x]):
+                    if own != other and similar(found[r], found[x], share):
                         groups.up[other] = own
             links = groups.links(ids)
             if links:
@@ -276,25 +290,27 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, loose: DataFrame) -> Da
     return placed.mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over links, itself included) and kept.
 
+    Documents are linked from a Jaccard similarity of ``share`` hundredths on.
     Sets hold the distinct runs of five words of the whole text. Null and
     empty texts, and texts of white space, have empty sets and are linked with
     nothing. Rows of a repeated id are separate documents that share the id. A
     null id has no component and is kept. An empty table gives no rows; other
     columns are ignored.
 
-    A pair at the limit shares none of the 36 bands with a probability of
-    about one in a million, and fewer the more alike it is.
+    A pair at the limit shares no band with a probability of about one in a
+    million at 85 (36 bands of 7) and three at 80 (42 bands of 6), computed,
+    and fewer the more alike it is.
     """
     rows = settle(summaries(docs))
     filled = rows.filter("cid is not null and doc_id is not null")
     classes = settle(
         filled.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     )
-    loose = components(loose_links(classes))
-    joined = components(confirmed_links(docs, classes, loose)).withColumnRenamed("node", "cid")
+    loose = components(loose_links(classes, share))
+    joined = components(confirmed_links(docs, classes, loose, share)).withColumnRenamed("node", "cid")
     named = joined.join(classes.select("cid", "rep"), "cid")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
     component = named.join(smallest, "root").select("cid", "component")
@@ -304,9 +320,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """The documents kept, one of each group, with all their columns."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs, share).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
 
 
