@@ -1,8 +1,10 @@
 """Licence scan: sparse TF-IDF cosine of text lines to licence templates, and inheritance along the path.
 
-Every line of a file that holds a template's rarer words is compared with the
-templates. A licence file speaks for its folder; a file that states no licence
-itself takes that of the nearest folder above it that has one.
+Every line of a file that holds one of the templates' rarer words is compared
+with the templates, an SPDX tag is taken as it stands, and a licence file is
+also compared as a whole with licence bodies. A licence file speaks for its
+folder; a file that states no licence itself takes that of the nearest folder
+above it that has one.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.6
-#: Short notices by which files state their licence.
+#: Short notices by which files state their licence; what follows a space tells notices of one licence apart.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-2-Clause": "Use of this source code is governed by the BSD 2-Clause Simplified License.",
@@ -27,10 +29,63 @@ TEMPLATES = {
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0 title": "GNU Affero General Public License Version 3, 19 November 2007",
+    "Apache-2.0 title": "Apache License Version 2.0, January 2004",
+    "BSD-2-Clause title": "BSD 2-Clause License",
+    "BSD-3-Clause title": "BSD 3-Clause License",
+    "CC0-1.0 short": "Licensed under CC0 1.0.",
+    "GPL-2.0 title": "GNU General Public License Version 2, June 1991",
+    "GPL-3.0 title": "GNU General Public License Version 3, 29 June 2007",
+    "ISC": "Released under the ISC License.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1 title": "GNU Lesser General Public License Version 2.1, February 1999",
+    "LGPL-3.0 title": "GNU Lesser General Public License Version 3, 29 June 2007",
+    "MIT grant": "Permission is hereby granted, free of charge, to any person obtaining a copy",
+    "MIT title": "The MIT License (MIT)",
+    "ISC grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "MPL-2.0 title": "Mozilla Public License Version 2.0",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+for _short, _long in {"": "", "-NC": "-NonCommercial", "-SA": "-ShareAlike", "-ND": "-NoDerivatives", "-NC-SA": "-NonCommercial-ShareAlike", "-NC-ND": "-NonCommercial-NoDerivatives"}.items():
+    TEMPLATES[f"CC-BY{_short}-4.0"] = f"This work is licensed under a Creative Commons Attribution{_long} 4.0 International License."
+    TEMPLATES[f"CC-BY{_short}-4.0 short"] = f"Licensed under CC BY{_short} 4.0."
+_AS_IS = """This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not
+limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or
+contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement
+of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in
+contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the
+possibility of such damage."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in
+binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution."""
+#: Whole licences that need not name themselves.
+BODIES = {
+    "BSD-2-Clause": f"{_BSD} {_AS_IS}",
+    "BSD-3-Clause": f"""{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission. {_AS_IS}""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+above copyright notice and this permission notice appear in all copies. The software is provided "as is" and the author disclaims all warranties with
+regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special,
+direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract,
+negligence or other tortious action, arising out of or in connection with the use or performance of this software.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The software is
+provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a
+particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability,
+whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the
+software.""",
+}
+#: Fixed value: words any text may hold; a whole file isn't compared by them.
+_COMMON = "a all an and any are be by for from have in is it its may no not of on or that the their this to under was will with you".split()
 _TERM = r"[A-Za-z0-9]+(?:\.[0-9]+)*"
 _FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
-_GATE = r"(?i)licen[cs]e|copyright|public domain|governed by"
+#: A line with none of these words needs three terms of a template, since one rare word alone (German "mit") may come to the threshold.
+_WORDS = r"(?i)licen[cs]e|permission|public domain|redistribution"
+_TAG = r"(?i)SPDX-License-Identifier:\s*([A-Za-z0-9.+()-]+(?:\s+(?:AND|OR|WITH)\s+[A-Za-z0-9.+()-]+)*)"
 
 
 def terms(text: str) -> Counter:
@@ -49,24 +104,58 @@ def weights(templates: dict[str, str]) -> tuple[dict[str, dict[str, float]], dic
     return vectors, idf, math.log(1 + n) + 1
 
 
-def line_scores(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(file, line, licence, cosine) for every line that names a licence, computed on its terms alone.
+def rarer(vectors: dict[str, dict[str, float]], threshold: float) -> list[str]:
+    """Terms of which every line at the threshold holds one.
+
+    By the terms it shares with a template alone, a line's cosine is at most
+    the root of their squared weights, so common words may be left out as long
+    as those of no template come to the threshold.
+    """
+    left_out: set[str] = set()
+    for t in _COMMON:
+        if all(sum(v.get(x, 0.0) ** 2 for x in (*left_out, t)) < threshold**2 * 0.999 for v in vectors.values()):
+            left_out.add(t)
+    return sorted({t for v in vectors.values() for t in v} - left_out)
+
+
+def line_scores(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(file, line, licence, cosine) for every line that may come to the threshold, computed on its terms alone."""
+    lines = files.select("_file", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line", "content"))
+    return scores(lines, templates, threshold)
+
+
+def file_scores(files: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """The same for licence files: each as a whole against the bodies, and each two lines one after the other, as titles take two."""
+    full = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    twos = F.transform(full, lambda x, i: F.concat_ws(" ", x, F.get(full, i + 1)))
+    titles = scores(files.select("_file", F.posexplode(twos).alias("line", "content")), templates, threshold)
+    whole = scores(files.select("_file", F.lit(-1).alias("line"), F.coalesce(F.col("text"), F.lit("")).alias("content")), BODIES, threshold, _COMMON)
+    return titles.union(whole)
+
+
+def scores(lines: DataFrame, templates: dict[str, str], threshold: float, without: list[str] = []) -> DataFrame:  # noqa: B006
+    """Cosines of (file, line, content) to the templates, neither with the words of ``without``.
 
     Terms of a line are joined to the templates' terms, so a line meets only
     templates with which it shares one. The templates are a fixed, small table.
     """
-    spark = files.sparkSession
+    spark = lines.sparkSession
+    templates = {name: " ".join(t for t in re.findall(_TERM, text.lower()) if t not in without) for name, text in templates.items()}
     vectors, idf, unknown = weights(templates)
     entries = [(t, name, w, idf[t]) for name, v in vectors.items() for t, w in v.items()]
     index = F.broadcast(spark.createDataFrame(entries, "term string, licence string, weight double, idf double"))
-    lines = files.select("_file", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line", "content"))
-    lines = lines.filter(F.col("content").rlike(_GATE))
-    words = lines.select("_file", "line", F.explode(F.regexp_extract_all(F.lower("content"), F.lit(f"({_TERM})"), F.lit(1))).alias("term"))
-    counted = words.groupBy("_file", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rare = r"(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, rarer(vectors, threshold))) + ")(?![a-z0-9])"
+    lines = lines.filter(F.col("content").rlike(rare)).withColumn("named", F.col("content").rlike(_WORDS))
+    words = lines.select("_file", "line", "named", F.explode(F.regexp_extract_all(F.lower("content"), F.lit(f"({_TERM})"), F.lit(1))).alias("term"))
+    words = words.filter(~F.col("term").isin(without)) if without else words
+    counted = words.groupBy("_file", "line", "named", "term").agg(F.count(F.lit(1)).alias("tf"))
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     weighed = counted.join(known, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     norms = weighed.groupBy("_file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = counted.join(index, "term").groupBy("_file", "line", "licence").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
+    dots = counted.join(index, "term").groupBy("_file", "line", "named", "licence").agg(
+        F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"), F.count(F.lit(1)).alias("shared")
+    )
+    dots = dots.filter("named or shared >= 3")
     return dots.join(norms, ["_file", "line"]).select("_file", "line", "licence", (F.col("dot") / F.col("norm")).alias("cosine"))
 
 
@@ -93,10 +182,14 @@ def scan(files: DataFrame, path_col: str, text_col: str = "text", threshold: flo
     """
     rows = files.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("_file", F.sha2(F.to_json(F.struct("path", "text")), 256))
-    best = line_scores(rows.select("_file", "text").dropDuplicates(["_file"]), templates).filter(F.col("cosine") >= threshold)
+    name = F.substring_index("path", "/", -1)
+    distinct = rows.dropDuplicates(["_file"])
+    tags = distinct.select("_file", F.explode(F.regexp_extract_all("text", F.lit(_TAG), F.lit(1))).alias("licence"), F.lit(1.0).alias("cosine"))
+    found = line_scores(distinct, templates, threshold).union(file_scores(distinct.filter(name.rlike(_FILE_NAMES)), templates, threshold))
+    found = found.filter(F.col("cosine") >= threshold).select("_file", F.substring_index("licence", " ", 1).alias("licence"), "cosine")
+    best = found.union(tags)
     own = best.groupBy("_file").agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.round("cosine", 9), "licence")).alias("_own"))
     stated = rows.select("_file", "path").join(own, "_file", "left").select("path", F.col("_own.licence").alias("own"), F.col("_own.cosine").alias("cosine"))
-    name = F.substring_index("path", "/", -1)
     licensed = (
         stated.filter(F.col("own").isNotNull() & name.rlike(_FILE_NAMES))
         .groupBy(folders(F.col("path"))[0].alias("folder"))
