@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, hyperminhash, licenses, merkle, packing, quality, secrets, topk, urls, winnow, wrappers
+from spanloom.llm import bpe, dialogs, hyperminhash, licenses, merkle, packing, quality, secrets, topk, urls, winnow, wrappers
 from spanloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -69,8 +69,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.check_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogs.report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_fingerprints, op3_near_duplicates, op4_packing, op5_url_filter, op6_licenses, op7_secret_scan, op8_main_text, op9_quality, op10_bpe, op12_merkle)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_fingerprints, op3_near_duplicates, op4_packing, op5_url_filter, op6_licenses, op7_secret_scan, op8_main_text, op9_quality, op10_bpe, op12_merkle, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
