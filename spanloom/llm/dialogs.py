@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import ship
-from spanloom.llm.merkle import field
+from spanloom.llm.merkle import CRC_SQL, field
 from spanloom.operators.sequence import sequence
 from spanloom.session import settle
 
@@ -380,3 +380,64 @@ def report(conversations: DataFrame) -> DataFrame:
     numbers = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     audit = F.translate(F.coalesce("edits", F.lit("")), "uaUA", "IIRR").alias("audit")
     return found.select("conv_id", *numbers, audit, F.coalesce("sha", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+def _sql() -> str:
+    """The same report by a plain search over suffixes: per state the least (cost, audit), with the rows it leaves."""
+
+    def put(cost: str, mark: str, line: str, behind: str) -> str:
+        tail = f"CASE WHEN {behind}.t = '' THEN '' ELSE chr(10) || {behind}.t END"
+        return f"{{'c': {behind}.c + {cost}, 'w': '{mark}' || {behind}.w, 't': {line} || {tail}}}"
+
+    names, kept = ("h0", "hs", "hu", "ha"), "role || ':' || text"
+    steps = []
+    for state, own in enumerate(names):
+        to = FOLLOWS[state]
+        role = "'user:'" if to == USER else "'assistant:'"
+        ways = [put(str(RETYPE) + " + cut", "R", f"{role} || text", names[to])]
+        for initial, after in (("s", SYSTEM), ("u", USER), ("a", ASSISTANT)):
+            if after == to or (state == START and after == SYSTEM):
+                ways.append(f"CASE WHEN left(role, 1) = '{initial}' THEN {put('cut', 'K', kept, names[after])} END")
+        free = ", ".join(f"CASE WHEN fault < 2 THEN {way} END" for way in ways)
+        gone = f"{{'c': {own}.c + {DELETE}, 'w': 'D' || {own}.w, 't': {own}.t}}"
+        steps.append(f"list_min(list_filter([{gone}, {free}], lambda x: x IS NOT NULL)) AS g{own[1]}")
+    user, assistant = put(str(INSERT), "I", "'user:'", "gu"), put(str(INSERT), "I", "'assistant:'", "ga")
+    return f"""
+WITH RECURSIVE hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {CRC_SQL.format(text="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE kind WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hit),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM damaged),
+marked AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 2
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 3
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 1 ELSE 0 END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair
+  FROM numbered),
+search AS (
+  SELECT conv_id, max(n) AS n, {{'c': 0, 'w': '', 't': ''}} AS h0, {{'c': 6, 'w': 'II', 't': 'user:' || chr(10) || 'assistant:'}} AS hs,
+    {{'c': 3, 'w': 'I', 't': 'assistant:'}} AS hu, {{'c': 0, 'w': '', 't': ''}} AS ha
+  FROM marked GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, n - 1, least(g0, {user}), least(gs, {user}), least(gu, {assistant}), least(ga, {user})
+  FROM (SELECT conv_id, n, g0, gs, least(gu, {assistant}) AS gu, ga
+    FROM (SELECT s.conv_id, s.n, {', '.join(steps)}
+      FROM search s JOIN (SELECT *, CASE fault WHEN 1 THEN {CUT} ELSE 0 END AS cut FROM marked) r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND s.n = r.n))),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank,
+    count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au') OR length(pair) < 2) AS illegal
+  FROM marked GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(h0.c, 0) AS BIGINT) AS cost, coalesce(h0.w, '') AS audit, sha256(coalesce(h0.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e
+LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN (SELECT * FROM search WHERE n = 0) s ON e.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
+
+ORACLE_SQL = _sql()

@@ -194,7 +194,7 @@ def check_documents(docs: DataFrame) -> DataFrame:
 
 
 #: CRC-32 of decimal digits bit by bit: DuckDB has none of its own.
-_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ascii(ch)::BIGINT FOR ch IN string_split({text}, '')]),
+CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ascii(ch)::BIGINT FOR ch IN string_split({text}, '')]),
       lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
 
 
@@ -205,7 +205,7 @@ def _field_sql(name: str, bytes_of: str = "") -> str:
 
 ORACLE_SQL = f"""
 WITH RECURSIVE hashed AS (
-  SELECT doc_id, source, {_CRC.format(text="CAST(doc_id AS VARCHAR)")} % 2 = 0 AS hit,
+  SELECT doc_id, source, {CRC_SQL.format(text="CAST(doc_id AS VARCHAR)")} % 2 = 0 AS hit,
     sha256({' || '.join(map(_field_sql, FIELDS))}) AS leaf,
     sha256({' || '.join(_field_sql(f, "replace(text, chr(10), '')" if f == "text" else "") for f in FIELDS)}) AS cleaned
   FROM documents),

@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": topk.ORACLE_SQL, "op3_near_duplicates": hyperminhash.ORACLE_SQL, "op12_merkle": merkle.ORACLE_SQL}
+    return {"op1_exact_topk": topk.ORACLE_SQL, "op3_near_duplicates": hyperminhash.ORACLE_SQL, "op12_merkle": merkle.ORACLE_SQL, "op13_conversation_repair": dialogs.ORACLE_SQL}
