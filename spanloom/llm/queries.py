@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, dialogs, hyperminhash, licenses, merkle, packing, quality, secrets, topk, urls, winnow, wrappers
+from spanloom.llm import bpe, chat, dialogs, hyperminhash, licenses, merkle, packing, quality, secrets, topk, urls, winnow, wrappers
 from spanloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -65,6 +65,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.check_conversations(table(spark, sf_dir, "conversations"), vocabulary())
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.check_documents(table(spark, sf_dir, "documents"))
 
@@ -74,8 +78,8 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_fingerprints, op3_near_duplicates, op4_packing, op5_url_filter, op6_licenses, op7_secret_scan, op8_main_text, op9_quality, op10_bpe, op12_merkle, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_fingerprints, op3_near_duplicates, op4_packing, op5_url_filter, op6_licenses, op7_secret_scan, op8_main_text, op9_quality, op10_bpe, op11_chat_format, op12_merkle, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": topk.ORACLE_SQL, "op3_near_duplicates": hyperminhash.ORACLE_SQL, "op12_merkle": merkle.ORACLE_SQL, "op13_conversation_repair": dialogs.ORACLE_SQL}
+    return {"op1_exact_topk": topk.ORACLE_SQL, "op3_near_duplicates": hyperminhash.ORACLE_SQL, "op11_chat_format": chat.ORACLE_SQL, "op12_merkle": merkle.ORACLE_SQL, "op13_conversation_repair": dialogs.ORACLE_SQL}
