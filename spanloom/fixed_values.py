@@ -33,6 +33,9 @@ COMMAND_LENGTH = 16
 PATH_WORDS = 23
 PATH_TAIL = 51
 
+# Fixed value: frames a program's backtrace holds at most.
+USER_FRAMES = 32
+
 # Message id flag bits.
 MIG_BIT = 60
 FROM_KERNEL_BIT = 58

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from spanloom import fixed_values as fv
 from spanloom.functions import codec
-from spanloom.operators.sequence import episodes, first_rows, last, ordered_text, prev, scan
+from spanloom.operators.chains import heads
+from spanloom.operators.sequence import episodes, first_rows, last, ordered_text, prev, row_numbers, scan
+from spanloom.session import settle
 
 ARGS = ["arg1", "arg2", "arg3", "arg4"]
 # A path holds 3 words of the first record and 4 of each later one while at most 19 are held.
@@ -83,12 +85,17 @@ def backtraces(df: DataFrame, opens: Column, closes: Column) -> DataFrame:
         {"idx": F.row_number().over(along) - 1, "_n": F.first("arg2").over(along)}
     )
     parts = parts.filter((F.col("idx") == 0) | (F.col("idx") <= F.ceil((F.col("_n") - 2) / 3)))
+    return _frames(parts, ["tid", "start_seq"])
+
+
+def _frames(parts: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Frames of each trace from its records, numbered by ``idx``; a trace has no more records than its n needs."""
     head = F.col("idx") == 0
     frames = F.when(head, F.array("arg3", "arg4")).otherwise(F.array("arg2", "arg3", "arg4"))
-    whole = parts.groupBy("tid", "start_seq").agg(
+    whole = parts.groupBy(*keys).agg(
+        *more,
         F.max(F.when(head, F.col("arg1"))).alias("tag"),
         F.max(F.when(head, F.col("arg2"))).alias("n"),
-        # No more entries than n needs.
         F.array_sort(F.collect_list(F.struct("idx", frames.alias("f")))).alias("_parts"),
     )
     flat = F.flatten(F.transform("_parts", lambda p: p["f"]))
@@ -96,6 +103,27 @@ def backtraces(df: DataFrame, opens: Column, closes: Column) -> DataFrame:
     return whole.withColumn("frames", kept).drop("_parts")
 
 
+def user_backtraces(df: DataFrame, most_frames: int = fv.USER_FRAMES) -> DataFrame:
+    """Backtraces of programs: records without qualifiers, laid out as in ``backtraces``.
+
+    Only the count n in a trace's first record tells where the next trace of
+    the thread begins, and a frame may look like a count, so counts are
+    followed from the thread's first record on. A record found where a trace
+    should begin whose n is no number of frames (a capture may start in the
+    middle of a trace) is passed over. Returns (tid, start_seq, tag, n, frames).
+    """
+    numbered = row_numbers(df.select("tid", "seq"), ["tid"], "seq", "_at").withColumn("_at", F.col("_at") - 1)
+    rows = settle(df.select("tid", "seq", *ARGS).join(numbered, ["tid", "seq"]))
+    counts = F.coalesce(F.col("arg2").between(0, most_frames), F.lit(False))
+    jump = F.when(counts & (F.col("arg2") > 2), 1 + F.ceil((F.col("arg2") - 2) / 3)).otherwise(1)
+    most = 1 + -(-(most_frames - 2) // 3)
+    found = heads(rows, ["tid"], "_at", jump, most)
+    places = found.select("tid", F.col("_at").alias("_start"), F.posexplode(F.sequence("_at", F.col("_at") + F.col("jump") - 1)).alias("idx", "_at"))
+    parts = rows.join(places, ["tid", "_at"]).withColumn("_sound", counts)
+    traces = _frames(parts, ["tid", "_start"], F.min("seq").alias("start_seq"), F.bool_or((F.col("idx") == 0) & F.col("_sound")).alias("_sound"))
+    return traces.filter("_sound").drop("_start", "_sound")
+
+
 def call_arguments(df: DataFrame) -> DataFrame:
     """System calls with their arguments and results on one row.
 

@@ -104,6 +104,35 @@ def backtraces(spark, sf_dir):
     return traces.select("tid", "tag", "n", F.array_join(F.transform("frames", lambda f: f.cast("string")), ",").alias("frames"))
 
 
+def user_trace_records(spark, sf_dir):
+    """Each event leaves a program's backtrace of up to 32 frames, which may look like counts; 16 threads at once."""
+    ev = events(spark, sf_dir).select("seq", (F.col("arg1") % 32 + 1).alias("n"))
+    last = F.when(F.col("n") > 2, F.ceil((F.col("n") - 2) / 3)).otherwise(0)
+    rows = ev.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    j, n = F.col("j"), F.col("n")
+    frame = lambda i: F.when(i < n, (F.col("seq") * 7 + i) % 40 + 1).otherwise(0)
+    rest = lambda i: frame(2 + (j - 1) * 3 + i)
+    head = j == 0
+    return rows.select(
+        (F.floor(F.col("seq") / 16) * 1024 + j * 16 + F.col("seq") % 16).alias("at"),
+        (F.col("seq") % 16).alias("tid"),
+        F.col("seq").alias("arg1"),
+        F.when(head, n).otherwise(rest(0)).alias("arg2"),
+        F.when(head, frame(F.lit(0))).otherwise(rest(1)).alias("arg3"),
+        F.when(head, frame(F.lit(1))).otherwise(rest(2)).alias("arg4"),
+    ).withColumnRenamed("at", "seq")
+
+
+@query(
+    "user_backtraces",
+    f"""WITH {EVENTS_SQL} SELECT seq % 16 AS tid, seq AS tag, arg1 % 32 + 1 AS n,
+  array_to_string(list_transform(range(arg1 % 32 + 1), lambda i : (seq * 7 + i) % 40 + 1), ',') AS frames FROM ev""",
+)
+def user_backtraces(spark, sf_dir):
+    traces = assemble.user_backtraces(user_trace_records(spark, sf_dir))
+    return traces.select("tid", "tag", "n", F.array_join(F.transform("frames", lambda f: f.cast("string")), ",").alias("frames"))
+
+
 @query(
     "syscall_args",
     f"""WITH {EVENTS_SQL}, r AS (SELECT seq, tid, seq % 16 AS pid, arg1, user_id, event_type, CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 0 END AS q FROM ev),

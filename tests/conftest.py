@@ -16,7 +16,8 @@ def spark():
 @pytest.fixture
 def small_blocks(monkeypatch):
     """Blocks of 8 positions and hot keys from 10 rows on, so hand-overs between blocks are used."""
-    from spanloom.operators import sequence
+    from spanloom.operators import chains, sequence
 
+    monkeypatch.setattr(chains, "BLOCK_BITS", 3)
     monkeypatch.setattr(sequence, "SPAN_BITS", 3)
     monkeypatch.setattr(sequence, "HOT_ROWS", 10)
