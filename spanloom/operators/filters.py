@@ -47,18 +47,27 @@ def type_ranges(
 
 
 def type_filter(df: DataFrame, **wanted) -> DataFrame:
-    """Rows of a type filter, see ``type_ranges`` for the arguments.
+    """Rows of a type filter, see ``type_ranges`` for the arguments."""
+    return in_ranges(df, type_ranges(**wanted))
 
-    Few ranges become comparisons on debugid, which reach a Parquet scan.
+
+def in_ranges(df: DataFrame, merged: list[tuple[int, int]]) -> DataFrame:
+    """Rows whose class and subclass lie in one of the ranges, as ``type_ranges`` gives them.
+
+    Few ranges become comparisons on debugid, which reach a Parquet scan; the
+    least and greatest id reach the raw reader too.
     """
-    merged = type_ranges(**wanted)
+    least, greatest = codec.long_lit(merged[0][0] << 16), codec.long_lit((merged[-1][1] << 16) + 0xFFFF)
+    near = df.filter(F.col("debugid").between(least, greatest))
+    if len(merged) == 1:
+        return near
     if len(merged) > MOST_RANGES:
         # A table of 2**15 ranges at most, 2**16 numbers in all: small enough for a broadcast by construction.
         ranges = df.sparkSession.createDataFrame(merged, "low long, high long")
         wanted_csc = F.broadcast(ranges.select(F.explode(F.sequence("low", "high")).alias("_csc")))
-        return df.join(wanted_csc, codec.class_subclass(F.col("debugid")) == F.col("_csc"), "left_semi")
+        return near.join(wanted_csc, codec.class_subclass(F.col("debugid")) == F.col("_csc"), "left_semi")
     tests = [F.col("debugid").between(codec.long_lit(a << 16), codec.long_lit((b << 16) + 0xFFFF)) for a, b in merged]
-    return df.filter(any_of(tests))
+    return near.filter(any_of(tests))
 
 
 def any_of(tests: list[Column]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom import fixed_values as fv
 from spanloom.functions import codec
 from spanloom.operators import assemble, codes, names, order, spans
-from spanloom.operators.filters import process_filter, visible
+from spanloom.operators.filters import in_ranges, process_filter, visible
 from spanloom.session import settle
 from spanloom.sources import raw, text
 
@@ -69,7 +69,8 @@ def decode_files(
 
     The records are settled as Parquet first, so the raw bytes are read once.
     """
-    records = settle(raw.read_raw(spark, path, bits=bits, types=types))
+    read = raw.read_raw(spark, path, bits=bits)
+    records = settle(in_ranges(read, types) if types else read)
     thread_map = raw.read_raw(spark, path, table="threadmap", bits=bits)
     cpu_map = raw.read_raw(spark, path, table="cpumap", bits=bits)
     empty = spark.createDataFrame([], "pid long, command string, line long")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from spanloom.operators.filters import type_filter
 from spanloom.operators.sequence import row_numbers
 from spanloom.plans.registry import query
 from spanloom.plans.tables import KEVENTS_SQL, kevents, table
@@ -96,6 +97,18 @@ def raw_cpumap(spark, sf_dir):
     return counted.join(cpus, ["number", "cpu"], "left").groupBy("name", "flags").agg(F.sum("n").alias("n"))
 
 
+@query(
+    "raw_pushed",
+    f"WITH {KEVENTS_SQL} SELECT ts, arg1, arg2, tid, debugid, CAST(cpu AS INTEGER) AS cpu FROM k WHERE (debugid >> 24 = 4 OR debugid >> 16 = 320) AND cpu IN (1, 2) AND tid < 40 AND ts >= 1704700000000000",
+)
+def raw_pushed(spark, sf_dir):
+    """Types, processors, threads and times of interest: tested in the reader, but for what lies between two types."""
+    rows = raw.read_raw(spark, written(spark, sf_dir), splitbytes=1 << 20)
+    kept = type_filter(rows, classes=[4], subclasses=[(1, 0x40)])
+    kept = kept.filter(F.col("cpu").isin(1, 2) & (F.col("tid") < 40) & (F.col("ts") >= 1704700000000000))
+    return kept.select("ts", "arg1", "arg2", "tid", "debugid", "cpu")
+
+
 @query("raw_header", "SELECT CAST(1 AS INTEGER) AS version, CAST(1700000000 AS BIGINT) AS secs, count(*) AS records FROM events")
 def raw_header(spark, sf_dir):
     heads = raw.read_raw(spark, written(spark, sf_dir), table="header")

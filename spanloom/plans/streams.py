@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from spanloom import schema
 from spanloom.functions import codec
 from spanloom.operators import names
 from spanloom.plans.naming import LIFE_SQL, initial_map
@@ -24,6 +25,8 @@ def land(rows, folder, number):
 
 
 SPAN_ROWS = "seq long, ts long, tid long, debugid long"
+NAME_ROWS = "seq long, tid long, event_type string"
+NAMED = "seq long, tid long, name string"
 
 
 @query("stream_spans", f"WITH {SPANS_SQL} SELECT seq, tid, eventid, elapsed FROM sp")
@@ -33,9 +36,31 @@ def stream_spans(spark, sf_dir):
     rows = kevents(spark, sf_dir).select("seq", "ts", "tid", "debugid")
     for number in range(SLICES):
         land(rows, source, number)
-        stream = stateful.landed(spark, source, SPAN_ROWS)
-        stateful.run(stream, stateful.span_step(), stateful.SPAN_STATE, folder).awaitTermination()
-    return stateful.output(spark, folder).select("seq", "tid", "eventid", "elapsed")
+        stateful.append(stateful.code_spans(stateful.landed(spark, source, SPAN_ROWS)), folder).awaitTermination()
+    return stateful.output(spark, folder, stateful.SPANS).drop("state")
+
+
+def staged(spark, sf_dir, folder):
+    """events as raw files, one for each task that writes them."""
+    raw.register(spark)
+    zero = F.lit(0).cast("long")
+    rows = kevents(spark, sf_dir).withColumns({"arg3": zero, "arg4": zero, "cpu": F.col("cpu").cast("int")})
+    placed = rows.repartitionByRange("seq").sortWithinPartitions("seq").drop("seq", "pid", "eventid")
+    placed.write.format("rawevents").mode("append").save(folder)
+    return folder
+
+
+def grow(spark, source, target, share):
+    """The first ``share`` of every file's bytes, as a recorder would have written them so far; copied by tasks."""
+    files = raw.read_raw(spark, source, table="header").select("file").distinct()
+
+    def copy(frames):
+        for frame in frames:
+            for path in frame["file"]:
+                raw.copy_start(path, f"{target}/{path.rsplit('/', 1)[1]}", share)
+            yield frame
+
+    files.mapInPandas(copy, files.schema).write.format("noop").mode("overwrite").save()
 
 
 @query(
@@ -43,40 +68,47 @@ def stream_spans(spark, sf_dir):
     f"WITH {SPANS_SQL}, n AS (SELECT tid, eventid, elapsed FROM sp) SELECT tid, eventid, elapsed, count(*) AS n FROM n GROUP BY 1, 2, 3",
 )
 def stream_raw_spans(spark, sf_dir):
-    """Raw files arrive slice by slice; spans reach across files and slices."""
-    raw.register(spark)
+    """Raw files arrive one by one; spans reach across files and slices."""
     folder = fresh_path(spark, "stream-raw")
     source = os.path.join(folder, "in")
-    zero = F.lit(0).cast("long")
-    rows = kevents(spark, sf_dir).withColumns({"arg3": zero, "arg4": zero, "cpu": F.col("cpu").cast("int")})
+    rows = kevents(spark, sf_dir)
     count = rows.agg(F.max("seq")).scalar() + 1
+    raw.register(spark)
+    zero = F.lit(0).cast("long")
     for number in range(SLICES):
-        part = rows.filter(F.floor(F.col("seq") * SLICES / count) == number)
+        part = rows.filter(F.floor(F.col("seq") * SLICES / count) == number).withColumns({"arg3": zero, "arg4": zero, "cpu": F.col("cpu").cast("int")})
         placed = part.repartitionByRange("seq").sortWithinPartitions("seq").drop("seq", "pid", "eventid")
-        placed.write.format("rawevents").mode("append").save(os.path.join(source, f"slice{number}"))
-        stream = stateful.landed_raw(spark, os.path.join(source, "*"))
-        stateful.run(stream, stateful.span_step(), stateful.SPAN_STATE, folder, prepare=stateful.raw_records).awaitTermination()
-    out = stateful.output(spark, folder)
+        placed.write.format("rawevents").mode("append").save(source)
+        stateful.append(stateful.code_spans(raw.stream_raw(spark, source)), folder).awaitTermination()
+    out = stateful.output(spark, folder, stateful.SPANS)
     return out.groupBy("tid", "eventid", "elapsed").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("stream_raw_growing", f"WITH {KEVENTS_SQL} SELECT ts, tid, debugid, CAST(cpu AS INTEGER) AS cpu, arg1, arg2 FROM k")
+def stream_raw_growing(spark, sf_dir):
+    """Raw files that grow between triggers, cut within records: every record comes once."""
+    folder = fresh_path(spark, "stream-growing")
+    source, live = staged(spark, sf_dir, os.path.join(folder, "whole")), os.path.join(folder, "in")
+    for share in (0.3, 0.71, 1.0):
+        grow(spark, source, live, share)
+        stateful.append(raw.stream_raw(spark, live, splitbytes=1 << 20), folder).awaitTermination()
+    return stateful.output(spark, folder, schema.EVENT).select("ts", "tid", "debugid", "cpu", "arg1", "arg2")
+
+
 @query("stream_names", f"WITH {LIFE_SQL} SELECT seq, tid, name FROM named")
 def stream_names(spark, sf_dir):
     folder = fresh_path(spark, "stream-names")
     source = os.path.join(folder, "in")
     rows = events(spark, sf_dir).select("seq", "tid", "event_type")
     role = per_type(error=names.EXIT, purchase=names.TERMINATE, click=names.HANDOFF, signup=names.NAMELESS)
-    step = stateful.name_step(role, F.col("event_type") == "signup", F.concat(F.lit("c"), F.col("seq").cast("string")))
-
-    def first_names(session):
-        named = initial_map(session, sf_dir).groupBy("tid").agg(codec.command16(F.max_by("name", "entry")).alias("name"))
-        return named.filter(F.col("tid") != 0).withColumn("marked", F.lit(False))
-
+    first = initial_map(spark, sf_dir).groupBy("tid").agg(codec.command16(F.max_by("name", "entry")).alias("name"))
+    first = first.filter(F.col("tid") != 0).withColumn("marked", F.lit(False))
+    kind, text = F.col("event_type"), F.concat(F.lit("c"), F.col("seq").cast("string"))
     for number in range(SLICES):
         land(rows, source, number)
-        stream = stateful.landed(spark, source, "seq long, tid long, event_type string")
-        stateful.run(stream, step, stateful.NAME_STATE, folder, initial=first_names).awaitTermination()
-    return stateful.output(spark, folder).select("seq", "tid", "name")
+        stream = stateful.landed(spark, source, NAME_ROWS)
+        stateful.append(stateful.thread_names(stream, role, kind == "signup", text, initial=first), folder).awaitTermination()
+    return stateful.output(spark, folder, NAMED)
 
 
 @query(
@@ -94,14 +126,28 @@ def stream_creation(spark, sf_dir):
     source = os.path.join(folder, "in")
     rows = events(spark, sf_dir).select("seq", "tid", "event_type")
     kind, text = F.col("event_type"), F.concat(F.lit("c"), F.col("seq").cast("string"))
-    step = stateful.name_step(
-        F.lit(None).cast("string"), F.lit(False), text, is_new=kind == "click", is_name=kind == "signup", new_tid=F.col("seq") * 7 % 64, new_name=text
-    )
+    none = F.lit(None).cast("string")
+    for number in range(SLICES):
+        land(rows, source, number)
+        stream = stateful.landed(spark, source, NAME_ROWS)
+        created = stateful.created_names(stream, kind == "click", kind == "signup", F.col("seq") * 7 % 64, text)
+        stateful.append(stateful.thread_names(stream, none, F.lit(False), none, created), folder).awaitTermination()
+    return stateful.output(spark, folder, NAMED)
+
+
+@query(
+    "stream_time_bound",
+    f"WITH {EVENTS_SQL} SELECT seq, ts FROM ev WHERE ts < (SELECT min(ts) FROM ev) + 864000000000",
+)
+def stream_time_bound(spark, sf_dir):
+    """The first ten days of a capture; the stream is started anew for every slice, also once the time is over."""
+    folder = fresh_path(spark, "stream-bound")
+    source = os.path.join(folder, "in")
+    rows = events(spark, sf_dir).select("seq", "ts")
     for number in range(SLICES):
         land(rows, source, number)
-        stream = stateful.landed(spark, source, "seq long, tid long, event_type string")
-        stateful.run(stream, step, stateful.CREATION_STATE, folder).awaitTermination()
-    return stateful.output(spark, folder).select("seq", "tid", "name")
+        stateful.capture(stateful.landed(spark, source, "seq long, ts long"), 864000, folder)
+    return stateful.captured(spark, folder, "seq long, ts long")
 
 
 HOUR_US = 3_600_000_000

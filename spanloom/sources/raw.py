@@ -3,23 +3,22 @@
 ``register(spark)`` adds the format ``rawevents``. Reading is split by byte
 ranges aligned to records; numpy decodes a range, Arrow batches hand it over.
 Options: ``table`` = events | threadmap | cpumap | header, ``bits`` = 64 | 32,
-``splitbytes``, ``firstfile`` (number of the first file), ``types``
-(class-subclass ranges ``from-to`` kept, tested before rows leave Python). Writing lays down one file per task: the thread map is taken
-from the column ``command``, the CPU map from the option ``cpus``
-(``id:flags:name`` separated by commas). Its options ``bits`` (64 | 32) and
-``version`` (1 | 0) choose the layout.
+``splitbytes``, ``firstfile`` (number of the first file). Comparisons of
+numbers with constants are pushed into the reader, which tests them on numpy
+columns before rows leave Python; what it can't test, Spark tests. As a
+stream, the format reads growing files from where they ended at the last
+trigger. Writing lays down one file per task: the thread map is taken from the
+column ``command``, the CPU map from the option ``cpus`` (``id:flags:name``
+separated by commas). Its options ``bits`` (64 | 32) and ``version`` (1 | 0)
+choose the layout.
 """
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
 import time
 import uuid
-import zipfile
 from dataclasses import dataclass
-from pathlib import Path
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -31,12 +30,21 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    DataSourceStreamReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
     InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
     WriterCommitMessage,
 )
 
 from spanloom import schema
 from spanloom.fixed_values import RAW_MAGIC, RAW_PAGE
+from spanloom.session import ship
 
 # Record layouts, little endian.
 RECORD = {
@@ -89,6 +97,18 @@ def _files(path: str) -> list[tuple[str, int]]:
     return [(prefix(p) + p, s) for p, s in files]
 
 
+def copy_start(source: str, target: str, share: float) -> None:
+    """Copy the first part of a file, block by block."""
+    filesystem, inner = _open(source)
+    there, place = _open(target)
+    there.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    left = int(filesystem.get_file_info(inner).size * share)
+    with filesystem.open_input_stream(inner) as stream, there.open_output_stream(place) as out:
+        while left and (block := stream.read(min(left, 8 << 20))):
+            out.write(block)
+            left -= len(block)
+
+
 @dataclass
 class Layout:
     version: int
@@ -120,27 +140,42 @@ class Range(InputPartition):
     size: int
 
 
-class RawReader(DataSourceReader):
+#: Tests of a column against a constant that numpy makes as Spark does; there are no nulls in raw records.
+TESTS = {
+    EqualTo: np.equal,
+    GreaterThan: np.greater,
+    GreaterThanOrEqual: np.greater_equal,
+    LessThan: np.less,
+    LessThanOrEqual: np.less_equal,
+    In: lambda values, wanted: np.isin(values, np.array(wanted, "<i8")),
+}
+LEAST, GREATEST = -(1 << 63), (1 << 63) - 1
+
+
+def _testable(wanted) -> bool:
+    values = wanted if isinstance(wanted, (tuple, list)) else [wanted]
+    return all(isinstance(v, int) and not isinstance(v, bool) and LEAST <= v <= GREATEST for v in values)
+
+
+class RecordReader:
+    """Ranges of records as Arrow batches, for reading and for streams."""
+
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.table = options.get("table", "events")
         self.bits = int(options.get("bits", "64"))
         self.split = int(options.get("splitbytes", str(128 << 20)))
         self.first_file = int(options.get("firstfile", "0"))
-        self.types = [tuple(int(n) for n in r.split("-")) for r in options.get("types", "").split(",") if r]
+        self.tests: list[tuple[str, type, object]] = []
 
-    def partitions(self):
-        """Byte ranges from the file listing alone; headers are read in the tasks."""
-        files = [f for path in self.path.split("\n") for f in _files(path)]
-        if any(size >> FILE_SHIFT >= RECORD[self.bits].itemsize for _, size in files):
+    def files(self) -> list[tuple[str, int]]:
+        found = [f for path in self.path.split("\n") for f in _files(path)]
+        if any(size >> FILE_SHIFT >= RECORD[self.bits].itemsize for _, size in found):
             raise ValueError("a raw file holds at most 2**28 records")
-        if self.table != "events":
-            return [Range(p, i, 0, s, s) for i, (p, s) in enumerate(files, self.first_file)]
-        return [
-            Range(p, i, at, min(at + self.split, s), s)
-            for i, (p, s) in enumerate(files, self.first_file)
-            for at in range(0, max(s, 1), self.split)
-        ]
+        return found
+
+    def ranges(self, path: str, number: int, start: int, end: int) -> list[Range]:
+        return [Range(path, number, at, min(at + self.split, end), end) for at in range(start, max(end, start + 1), self.split)]
 
     def read(self, part: Range):
         filesystem, inner = _open(part.path)
@@ -151,37 +186,34 @@ class RawReader(DataSourceReader):
     def _events(self, stream, where: Layout, part: Range):
         kind = RECORD[self.bits]
         width = kind.itemsize
-        # A range owns the records that begin inside it.
-        first = max(0, -(-(part.start - where.data_at) // width))
-        stop = max(0, -(-(part.end - where.data_at) // width))
-        stop = min(stop, max(0, part.size - where.data_at) // width)
+        # A range owns the records that end inside it, so a record still being written waits for the range that completes it.
+        first, stop = (max(0, place - where.data_at) // width for place in (part.start, part.end))
         for at in range(first, stop, BATCH_RECORDS):
             count = min(BATCH_RECORDS, stop - at)
             stream.seek(where.data_at + at * width)
             rows = np.frombuffer(stream.read(count * width), dtype=kind)
             places = np.arange(at, at + len(rows), dtype="<i8")
-            if self.types:
-                csc = rows["debugid"] >> np.uint32(16)
-                keep = np.zeros(len(rows), dtype=bool)
-                for low, high in self.types:
-                    keep |= (csc >= low) & (csc <= high)
+            if self.tests:
+                keep = np.ones(len(rows), dtype=bool)
+                for name, test, wanted in self.tests:
+                    keep &= TESTS[test](self._column(rows, places, part, name), wanted)
                 rows, places = rows[keep], places[keep]
             if len(rows):
                 yield self._batch(rows, places, part)
 
+    def _column(self, rows: np.ndarray, places: np.ndarray, part: Range, name: str) -> np.ndarray:
+        """A column of the result as signed numbers."""
+        if name == "seq":
+            return (np.int64(part.number) << FILE_SHIFT) + places
+        if self.bits == 32 and name == "ts":
+            return (rows["ts"] & np.uint64(0x00FFFFFFFFFFFFFF)).astype("<i8")
+        if name == "cpu":
+            return (rows["cpu"] if self.bits == 64 else rows["ts"] >> np.uint64(56)).astype("<i4")
+        return rows[name].astype("<u8").view("<i8")
+
     def _batch(self, rows: np.ndarray, places: np.ndarray, part: Range) -> pa.RecordBatch:
-        if self.bits == 64:
-            ts, cpu = rows["ts"].astype("<u8").view("<i8"), rows["cpu"]
-        else:
-            ts = (rows["ts"] & np.uint64(0x00FFFFFFFFFFFFFF)).astype("<i8")
-            cpu = rows["ts"] >> np.uint64(56)
-        wide = lambda name: pa.array(rows[name].astype("<u8").view("<i8"))
-        seq = (np.int64(part.number) << FILE_SHIFT) + places
-        columns = [pa.array(seq), pa.array(ts)]
-        columns += [wide(n) for n in ("arg1", "arg2", "arg3", "arg4", "tid", "debugid")]
-        columns.append(pa.array(cpu.astype("<i4")))
-        names = ["seq", "ts", "arg1", "arg2", "arg3", "arg4", "tid", "debugid", "cpu"]
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        names = [field.split()[0] for field in schema.EVENT.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(self._column(rows, places, part, name)) for name in names], names=names)
 
     def _threadmap(self, stream, where: Layout, part: Range):
         kind = MAP_ENTRY[self.bits]
@@ -216,6 +248,57 @@ class RawReader(DataSourceReader):
         yield (part.number, part.path, where.version, where.threads, where.secs, where.usecs, records)
 
 
+class RawReader(RecordReader, DataSourceReader):
+    def pushFilters(self, filters):
+        """Takes comparisons of record columns with numbers, hands all others back."""
+        columns = {field.split()[0] for field in schema.EVENT.split(", ")}
+        for test in filters:
+            name = test.attribute[0] if self.table == "events" and len(getattr(test, "attribute", ())) == 1 else None
+            if name in columns and type(test) in TESTS and _testable(test.value):
+                self.tests.append((name, type(test), test.value))
+            elif name not in columns or not isinstance(test, IsNotNull):
+                yield test
+
+    def partitions(self):
+        """Byte ranges from the file listing alone; headers are read in the tasks."""
+        files = enumerate(self.files(), self.first_file)
+        if self.table != "events":
+            return [Range(path, number, 0, size, size) for number, (path, size) in files]
+        return [part for number, (path, size) in files for part in self.ranges(path, number, 0, size)]
+
+
+class RawStreamReader(RecordReader, DataSourceStreamReader):
+    """Records of raw files that grow and of files that are added.
+
+    An offset holds the number and size of every file, as ``number:size``. A
+    file's number is its place in name order, so new files must have names
+    behind those already read, and none may go while the stream is used.
+    """
+
+    def initialOffset(self):
+        return {}
+
+    def latestOffset(self):
+        try:
+            return {path: f"{number}:{size}" for number, (path, size) in enumerate(self.files(), self.first_file)}
+        except FileNotFoundError:
+            return {}
+
+    def partitions(self, start, end):
+        parts = []
+        for path, place in end.items():
+            number, size = map(int, place.split(":"))
+            before, done = map(int, start.get(path, f"{number}:0").split(":"))
+            if number != before or size < done:
+                raise ValueError(f"{path} was cut or moved to another place in name order")
+            # Before the magic and the number of threads are there, nothing is known of a file.
+            if size > done and size >= HEADER[self.bits].size:
+                parts += self.ranges(path, number, done, size)
+        if any(path not in end for path in start):
+            raise ValueError("files of a stream must not be removed")
+        return parts
+
+
 @dataclass
 class Written(WriterCommitMessage):
     temporary: str
@@ -323,6 +406,9 @@ class RawEvents(DataSource):
     def reader(self, schema):
         return RawReader(dict(self.options))
 
+    def streamReader(self, schema):
+        return RawStreamReader(dict(self.options))
+
     def writer(self, schema, overwrite):
         return RawWriter(dict(self.options), overwrite)
 
@@ -331,13 +417,9 @@ def register(spark: SparkSession) -> None:
     """Add the format to a session and ship this package to its Python workers."""
     if getattr(spark, "_spanloom_raw", False):
         return
-    package = Path(__file__).resolve().parent.parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="spanloom-"), "spanloom.zip")
-    with zipfile.ZipFile(archive, "w") as packed:
-        for source in sorted(package.rglob("*.py")):
-            packed.write(source, source.relative_to(package.parent))
-    spark.sparkContext.addPyFile(archive)
+    ship(spark)
     spark.dataSource.register(RawEvents)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark._spanloom_raw = True
 
 
@@ -352,16 +434,21 @@ def read_raw(
     bits: int = 64,
     splitbytes: int = 128 << 20,
     first_file: int = 0,
-    types: list[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Records or side tables of raw files; ``path`` is a file, a folder or a list of these.
 
     Files are numbered from ``first_file`` in the order given; ``seq`` rises
     along files and records, ``file_number`` reads the file's number off it.
-    ``types`` keeps the ranges of a type filter only.
+    Filters on the result reach the reader where they compare a column with
+    numbers.
     """
     register(spark)
     joined = path if isinstance(path, str) else "\n".join(path)
-    kept = ",".join(f"{a}-{b}" for a, b in types or [])
-    options = {"types": kept, "table": table, "bits": bits, "splitbytes": splitbytes, "firstfile": first_file, "path": joined}
+    options = {"table": table, "bits": bits, "splitbytes": splitbytes, "firstfile": first_file, "path": joined}
     return spark.read.format("rawevents").options(**options).load()
+
+
+def stream_raw(spark: SparkSession, path: str, bits: int = 64, splitbytes: int = 128 << 20) -> DataFrame:
+    """Records of a folder's raw files as they are written; a file is read on from where it ended at the last trigger."""
+    register(spark)
+    return spark.readStream.format("rawevents").options(bits=bits, splitbytes=splitbytes, path=path).load()

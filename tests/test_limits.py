@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.assemble import backtraces
 from spanloom.operators.filters import type_filter, type_ranges
-from spanloom.streaming.stateful import NAME_STATE, name_step
 
 
 def test_many_ranges(spark):
@@ -35,15 +34,6 @@ def test_long_backtrace(spark):
     assert [(r.tag, r.n, r.frames) for r in got] == [(77, 100, frames)]
 
 
-def test_empty_batch_keeps_names(spark):
-    step = name_step(F.col("kind"), F.col("kind") == "exec", F.col("name"))
-    rows = spark.createDataFrame([], "seq long, tid long, kind string, name string")
-    state = spark.createDataFrame([(5, "nm", False), (6, "other", True)], NAME_STATE)
-    out, kept = step(rows, state, lambda df: df)
-    assert out.collect() == []
-    assert sorted(tuple(r) for r in kept.collect()) == [(5, "nm", False), (6, "other", True)]
-
-
 def test_settled_tables_are_removed(spark):
     import os
 

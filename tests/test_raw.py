@@ -122,3 +122,72 @@ def test_other_layouts_are_written(spark, tmp_path, bits, version):
         for column, value in (("arg1", 1 << 32), ("tid", -1), ("cpu", 256), ("ts", 1 << 56)):
             with pytest.raises(Exception, match="too large"):
                 rows.limit(1).withColumn(column, F.lit(value).cast("int" if column == "cpu" else "long")).write.format("rawevents").mode("append").options(bits=32).save(folder)
+
+
+@pytest.mark.parametrize("bits", [64, 32])
+def test_pushed_filters(spark, tmp_path, bits):
+    rows = events(9, 400, bits)
+    (tmp_path / "one.raw").write_bytes(encode(rows, bits=bits))
+    df = raw.read_raw(spark, str(tmp_path), bits=bits, splitbytes=1000)
+    whole = {tuple(r) for r in df.collect()}
+    ids = sorted(r.debugid for r in df.collect())
+    tests = {
+        "debugid BETWEEN %d AND %d" % (ids[50], ids[300]): True,
+        "cpu IN (1, 2, 7) AND tid > 0": True,
+        "ts < %d AND seq >= 17 AND seq <= 380" % (1 << 49): True,
+        "arg1 = arg1 AND cpu = 3": None,
+        "cpu > 2.5": None,
+        "cpu <> 3 AND arg2 IS NOT NULL": None,
+        "cpu = 1 OR debugid > %d" % ids[200]: None,
+    }
+    for text, all_pushed in tests.items():
+        kept = df.filter(text)
+        plain = spark.createDataFrame(sorted(whole), df.schema).filter(text)
+        assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in plain.collect()}, text
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        if all_pushed:
+            assert "Filter (" not in plan, plan
+
+
+def test_hand_back():
+    from pyspark.sql.datasource import EqualTo, GreaterThan, IsNotNull, StringContains
+
+    reader = raw.RawReader({"path": "x"})
+    others = [StringContains(("tid",), "1"), EqualTo(("tid",), None), GreaterThan(("cpu",), 2.5), EqualTo(("tid",), 1 << 70), EqualTo(("a", "tid"), 1)]
+    assert list(reader.pushFilters([*others, IsNotNull(("tid",)), GreaterThan(("cpu",), 2)])) == others
+    assert reader.tests == [("cpu", GreaterThan, 2)]
+    side = [EqualTo(("tid",), 3)]
+    assert list(raw.RawReader({"path": "x", "table": "threadmap"}).pushFilters(side)) == side
+
+
+def collected(spark, folder, out, **options):
+    query = raw.stream_raw(spark, str(folder), **options).writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
+    query.option("path", f"{out}/rows").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").orderBy("seq").collect()
+
+
+@pytest.mark.parametrize("version", [0, 1])
+def test_growing_files(spark, tmp_path, version):
+    folder = tmp_path / "live"
+    folder.mkdir()
+    first, second = events(1, 200), events(2, 90)
+    data = encode(first, [(7, 1, "alpha")], version=version)
+    # Before the magic is there, in the midst of the head, of a record, and whole; a second file comes later.
+    (folder / "a.raw").write_bytes(data[:10])
+    query_rows = []
+    for upto in (30, len(data) - 64 * 150 - 13, len(data) - 64 * 20 + 1, len(data)):
+        (folder / "a.raw").write_bytes(data[:upto])
+        query_rows.append(len(collected(spark, folder, tmp_path, splitbytes=1000)))
+    assert query_rows[0] == 0 and query_rows[1:] == [49, 180, 200]
+    (folder / "b.raw").write_bytes(encode(second))
+    got = collected(spark, folder, tmp_path, splitbytes=1000)
+    assert [r.seq for r in got] == [*range(200), *((1 << raw.FILE_SHIFT) + i for i in range(90))]
+    assert [r.ts for r in got] == [r[0] for r in first + second]
+
+
+def test_files_in_the_wrong_place():
+    reader = raw.RawStreamReader({"path": "x"})
+    for start, end in ({"b": "0:100"}, {"a": "0:50", "b": "1:100"}), ({"b": "0:100"}, {"b": "0:90"}), ({"b": "0:100"}, {"c": "0:100"}):
+        with pytest.raises(ValueError):
+            reader.partitions(start, end)
+    assert reader.partitions({"b": "0:100"}, {"b": "0:100"}) == []

@@ -5,7 +5,7 @@ from test_raw import encode
 from test_state_machines import text_words
 
 from spanloom import fixed_values as fv
-from spanloom.operators.filters import type_ranges
+from spanloom.operators.filters import in_ranges, type_ranges
 from spanloom.plans import decode, diagrams
 from spanloom.sinks.text import write_report, write_thread_map
 from spanloom.sources import raw
@@ -74,7 +74,7 @@ def test_decode_of_some_processes(spark, tmp_path):
 
 def test_raw_type_filter(spark, tmp_path):
     raw_path, *_ = capture(tmp_path)
-    kept = raw.read_raw(spark, raw_path, types=type_ranges(classes=[4], subclasses=[(1, 2)]), splitbytes=100)
+    kept = in_ranges(raw.read_raw(spark, raw_path, splitbytes=100), type_ranges(classes=[4], subclasses=[(1, 2)]))
     assert sorted(r.seq for r in kept.collect()) == [0, 3, 6, 8, 9]
 
 
