@@ -12,10 +12,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import ship
+from spanloom.session import settle
+
 THRESHOLD = 0.6
 #: Short notices by which files state their licence; what follows a space tells notices of one licence apart.
 TEMPLATES = {
@@ -82,10 +88,11 @@ software.""",
 #: Fixed value: words any text may hold; a whole file isn't compared by them.
 _COMMON = "a all an and any are be by for from have in is it its may no not of on or that the their this to under was will with you".split()
 _TERM = r"[A-Za-z0-9]+(?:\.[0-9]+)*"
-_FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
+_TERMS = re.compile(_TERM).findall
+_FILE_NAMES = re.compile(r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$", re.ASCII)
 #: A line with none of these words needs three terms of a template, since one rare word alone (German "mit") may come to the threshold.
-_WORDS = r"(?i)licen[cs]e|permission|public domain|redistribution"
-_TAG = r"(?i)SPDX-License-Identifier:\s*([A-Za-z0-9.+()-]+(?:\s+(?:AND|OR|WITH)\s+[A-Za-z0-9.+()-]+)*)"
+_WORDS = re.compile(r"(?i)licen[cs]e|permission|public domain|redistribution", re.ASCII)
+_TAG = re.compile(r"(?i)SPDX-License-Identifier:\s*([A-Za-z0-9.+()-]+(?:\s+(?:AND|OR|WITH)\s+[A-Za-z0-9.+()-]+)*)", re.ASCII)
 
 
 def terms(text: str) -> Counter:
@@ -118,45 +125,97 @@ def rarer(vectors: dict[str, dict[str, float]], threshold: float) -> list[str]:
     return sorted({t for v in vectors.values() for t in v} - left_out)
 
 
-def line_scores(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(file, line, licence, cosine) for every line that may come to the threshold, computed on its terms alone."""
-    lines = files.select("_file", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line", "content"))
-    return scores(lines, templates, threshold)
+class Scorer:
+    """Sparse TF-IDF cosines of texts to a set of templates, neither with the words of ``without``.
+
+    A text meets only templates with which it shares a term, by way of an
+    index from terms to templates, and only if it holds one of the rarer terms.
+    """
+
+    def __init__(self, templates: dict[str, str], threshold: float, without: Iterable[str] = ()) -> None:
+        self.without = set(without)
+        kept = {name: " ".join(t for t in re.findall(_TERM, text.lower()) if t not in self.without) for name, text in templates.items()}
+        vectors, self.idf, self.unknown = weights(kept)
+        self.rarer = set(rarer(vectors, threshold))
+        self.index: dict[str, list[tuple[str, float]]] = {}
+        for name, vector in vectors.items():
+            for term, weight in vector.items():
+                self.index.setdefault(term, []).append((name, weight))
 
+    def cosines(self, text: str) -> dict[str, float]:
+        found = _TERMS(text.lower())
+        met = self.index.keys() & found
+        if self.rarer.isdisjoint(met):
+            return {}
+        named = _WORDS.search(text) is not None
+        # Without one of the words three terms of one template are needed.
+        if len(met) < 3 and not named:
+            return {}
+        counts = Counter(t for t in found if t not in self.without)
+        norm = math.sqrt(sum((k * self.idf.get(t, self.unknown)) ** 2 for t, k in counts.items()))
+        dots, shared = Counter(), Counter()
+        for term in sorted(met):
+            for name, weight in self.index[term]:
+                dots[name] += counts[term] * self.idf[term] * weight
+                shared[name] += 1
+        return {name: dot / norm for name, dot in dots.items() if named or shared[name] >= 3}
 
-def file_scores(files: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """The same for licence files: each as a whole against the bodies, and each two lines one after the other, as titles take two."""
-    full = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    twos = F.transform(full, lambda x, i: F.concat_ws(" ", x, F.get(full, i + 1)))
-    titles = scores(files.select("_file", F.posexplode(twos).alias("line", "content")), templates, threshold)
-    whole = scores(files.select("_file", F.lit(-1).alias("line"), F.coalesce(F.col("text"), F.lit("")).alias("content")), BODIES, threshold, _COMMON)
-    return titles.union(whole)
 
+@lru_cache(maxsize=8)
+def _scorer(templates: tuple[tuple[str, str], ...], threshold: float, without: tuple[str, ...] = ()) -> Scorer:
+    """One for all tasks of a worker process."""
+    return Scorer(dict(templates), threshold, without)
 
-def scores(lines: DataFrame, templates: dict[str, str], threshold: float, without: list[str] = []) -> DataFrame:  # noqa: B006
-    """Cosines of (file, line, content) to the templates, neither with the words of ``without``.
 
-    Terms of a line are joined to the templates' terms, so a line meets only
-    templates with which it shares one. The templates are a fixed, small table.
+def own_licence(name: str, text: str, templates: dict[str, str], threshold: float) -> tuple[str, float] | None:
+    """The licence a file states itself: by an SPDX tag, one of its lines or, for a licence file, two of them or the whole.
+
+    The best cosine at or above the threshold counts, ties to the first name.
     """
-    spark = lines.sparkSession
-    templates = {name: " ".join(t for t in re.findall(_TERM, text.lower()) if t not in without) for name, text in templates.items()}
-    vectors, idf, unknown = weights(templates)
-    entries = [(t, name, w, idf[t]) for name, v in vectors.items() for t, w in v.items()]
-    index = F.broadcast(spark.createDataFrame(entries, "term string, licence string, weight double, idf double"))
-    rare = r"(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, rarer(vectors, threshold))) + ")(?![a-z0-9])"
-    lines = lines.filter(F.col("content").rlike(rare)).withColumn("named", F.col("content").rlike(_WORDS))
-    words = lines.select("_file", "line", "named", F.explode(F.regexp_extract_all(F.lower("content"), F.lit(f"({_TERM})"), F.lit(1))).alias("term"))
-    words = words.filter(~F.col("term").isin(without)) if without else words
-    counted = words.groupBy("_file", "line", "named", "term").agg(F.count(F.lit(1)).alias("tf"))
-    known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    weighed = counted.join(known, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    norms = weighed.groupBy("_file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = counted.join(index, "term").groupBy("_file", "line", "named", "licence").agg(
-        F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"), F.count(F.lit(1)).alias("shared")
-    )
-    dots = dots.filter("named or shared >= 3")
-    return dots.join(norms, ["_file", "line"]).select("_file", "line", "licence", (F.col("dot") / F.col("norm")).alias("cosine"))
+    lines, known = text.split("\n"), _scorer(tuple(templates.items()), threshold)
+    found = [(1.0, tag) for tag in _TAG.findall(text)] if "-" in text else []
+    scored = [known.cosines(line) for line in lines]
+    if _FILE_NAMES.search(name):
+        full = [line for line in lines if line.strip(" ")]
+        scored += [known.cosines(f"{one} {two}" if two else one) for one, two in zip(full, [*full[1:], ""])]
+        scored.append(_scorer(tuple(BODIES.items()), threshold, tuple(_COMMON)).cosines(text))
+    # What follows a space tells notices of one licence apart.
+    found += [(cosine, template.partition(" ")[0]) for cosines in scored for template, cosine in cosines.items() if cosine >= threshold]
+    cosine, licence = min(found, key=lambda f: (-round(f[0], 9), f[1]), default=(None, None))
+    return licence and (licence, cosine)
+
+
+def line_scores(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(file, line, licence, cosine) for every line that may come to the threshold."""
+    ship(files.sparkSession)
+    fixed = tuple(templates.items())
+
+    def score(batches):
+        known = _scorer(fixed, threshold)
+        for batch in batches:
+            for file, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = [(file, n, name, c) for n, line in enumerate((text or "").split("\n")) for name, c in known.cosines(line).items()]
+                yield pa.RecordBatch.from_pylist([dict(zip(("_file", "line", "licence", "cosine"), r)) for r in rows], _SCORED)
+
+    return files.select(F.col("_file").cast("string"), F.col("text").cast("string")).mapInArrow(score, "_file string, line int, licence string, cosine double")
+
+
+_SCORED = pa.schema([("_file", pa.string()), ("line", pa.int32()), ("licence", pa.string()), ("cosine", pa.float64())])
+
+
+def stated(files: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """(path, own, cosine) of every row of (path, text): a row is scored where it lies, nothing is moved."""
+    ship(files.sparkSession)
+
+    def judge(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                paths, texts = (c.to_pylist() for c in batch.slice(lo, 512).columns)
+                own = [own_licence((p or "").rsplit("/", 1)[-1], t or "", templates, threshold) or (None, None) for p, t in zip(paths, texts)]
+                columns = [pa.array(paths, pa.string()), pa.array([o[0] for o in own], pa.string()), pa.array([o[1] for o in own], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "own", "cosine"])
+
+    return files.mapInArrow(judge, "path string, own string, cosine double")
 
 
 def folders(path: Column) -> Column:
@@ -181,25 +240,19 @@ def scan(files: DataFrame, path_col: str, text_col: str = "text", threshold: flo
     above it, licence folders are one row each.
     """
     rows = files.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("_file", F.sha2(F.to_json(F.struct("path", "text")), 256))
+    # Licence folders, files that seek one and the result are read from this narrow table, the texts once.
+    known = settle(stated(rows, templates, threshold))
     name = F.substring_index("path", "/", -1)
-    distinct = rows.dropDuplicates(["_file"])
-    tags = distinct.select("_file", F.explode(F.regexp_extract_all("text", F.lit(_TAG), F.lit(1))).alias("licence"), F.lit(1.0).alias("cosine"))
-    found = line_scores(distinct, templates, threshold).union(file_scores(distinct.filter(name.rlike(_FILE_NAMES)), templates, threshold))
-    found = found.filter(F.col("cosine") >= threshold).select("_file", F.substring_index("licence", " ", 1).alias("licence"), "cosine")
-    best = found.union(tags)
-    own = best.groupBy("_file").agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.round("cosine", 9), "licence")).alias("_own"))
-    stated = rows.select("_file", "path").join(own, "_file", "left").select("path", F.col("_own.licence").alias("own"), F.col("_own.cosine").alias("cosine"))
     licensed = (
-        stated.filter(F.col("own").isNotNull() & name.rlike(_FILE_NAMES))
+        known.filter(F.col("own").isNotNull() & name.rlike(_FILE_NAMES.pattern))
         .groupBy(folders(F.col("path"))[0].alias("folder"))
         .agg(F.min_by("own", F.struct(-F.round("cosine", 9), "own")).alias("folder_licence"))
     )
     # Files without a path or with a licence of their own need no look-up.
-    seeking = stated.filter("own is null and path is not null").select("path").distinct()
+    seeking = known.filter("own is null and path is not null").select("path").distinct()
     asked = seeking.select("path", F.posexplode(folders(F.col("path"))).alias("up", "folder"))
     nearest = asked.join(licensed, "folder").groupBy("path").agg(F.min_by(F.struct("folder", "folder_licence"), "up").alias("_near"))
-    out = stated.join(nearest.withColumnRenamed("path", "_p"), F.col("path") == F.col("_p"), "left")
+    out = known.join(nearest.withColumnRenamed("path", "_p"), F.col("path") == F.col("_p"), "left")
     inherits = F.col("own").isNull() & F.col("_near").isNotNull()
     return out.select(
         "path",
