@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import codec
 from spanloom.operators.sequence import ordered_text, row_numbers, runs, sequence
+from spanloom.session import settle
 
 
 def first_seen(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,6 +79,20 @@ def action_boxes(edges: DataFrame, keys: list[str], gid: str, action: str) -> Da
     return ordered_text(flagged, [*keys, "box", gid, "note"], "seq", action, "\\n", "actions")
 
 
+def box_pieces(edges: DataFrame, keys: list[str], gid: str, action: str, piece_bits: int = 12) -> DataFrame:
+    """Boxes as ``action_boxes`` makes them, in pieces of at most ``2**piece_bits`` positions, so a box of any length is never one value.
+
+    ``piece`` rises from 0 along a box, ``ends`` marks its last piece.
+    """
+    note = F.col(action).contains("backtrace")
+    cut = runs(edges, keys, "seq", gid, "box", breaks=note)
+    piece = F.shiftright("seq", piece_bits) - F.shiftright("box", piece_bits)
+    parts = ordered_text(cut.withColumns({"note": note, "piece": piece}), [*keys, "box", gid, "note", "piece"], "seq", action, "\\n", "actions")
+    parts = settle(parts)
+    last_ones = parts.groupBy(*keys, "box").agg(F.max("piece").alias("_last"))
+    return parts.join(last_ones, [*keys, "box"]).withColumn("ends", F.col("piece") == F.col("_last")).drop("_last")
+
+
 def symbol_runs(steps: DataFrame, keys: list[str], symbol: str) -> DataFrame:
     """Instruction count of each run of steps in one symbol."""
     narrow = steps.select(*keys, "seq", symbol)
@@ -120,7 +135,11 @@ def hit_test(arrows: DataFrame, points: list[tuple[float, float]], tolerance: fl
     )
     # Points outside the arrow's box go before rows are made of them.
     within = lambda p: (p["px"] >= F.col("x0")) & (p["px"] <= F.col("x1")) & (p["py"] >= F.col("y0")) & (p["py"] <= F.col("y1"))
-    inside = arrows.select("*", F.inline(F.filter(listed, within)))
+    return _nearest(arrows.select("*", F.inline(F.filter(listed, within))), tolerance)
+
+
+def _nearest(inside: DataFrame, tolerance: float) -> DataFrame:
+    """The nearest arrow of each point from pairs of an arrow and a point inside its box."""
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     along = ((F.col("px") - F.col("x0")) * dx + (F.col("py") - F.col("y0")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
     share = F.coalesce(along, F.lit(0.0))
@@ -131,6 +150,49 @@ def hit_test(arrows: DataFrame, points: list[tuple[float, float]], tolerance: fl
     return near.groupBy("point").agg(F.min_by("seq", best).alias("arrow"), F.min("distance").alias("distance"))
 
 
+#: A coordinate is at most 2**FINE cells from the origin, so cell numbers are exact.
+FINE = 50
+
+
+def _level(low: Column, high: Column) -> Column:
+    """Size of the cells, as a power of two, of which an interval meets two, or three by rounding."""
+    size, reach = high - low, F.greatest(F.abs(low), F.abs(high))
+    wide = F.when(size > 0, F.ceil(F.log2(size)))
+    least = F.when(reach > 0, F.ceil(F.log2(reach)) - FINE).otherwise(-FINE)
+    return F.greatest(wide, least).cast("int")
+
+
+def _cell(at: Column, level: Column) -> Column:
+    return F.floor(at / F.pow(F.lit(2.0), level))
+
+
+def hit_test_table(arrows: DataFrame, points: DataFrame, tolerance: float) -> DataFrame:
+    """``hit_test`` for a table of points (``point``, ``px``, ``py``), however many there are.
+
+    An arrow's box is dealt to the few cells it meets in a grid about as fine
+    as the box is wide and high, so a large box lies in few large cells and a
+    small one in few small cells. A point is dealt to its one cell of every
+    grid in use (pairs of exponents, so few), and arrows and points meet by
+    cell. Coordinates that are null or not finite hit nothing.
+    """
+    sound = [F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) < float("inf")) for c in ("x0", "x1", "y0", "y1", "px", "py")]
+    boxes = arrows.filter(sound[0] & sound[1] & sound[2] & sound[3] & (F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1")))
+    boxes = boxes.withColumns({"_lx": _level(F.col("x0"), F.col("x1")), "_ly": _level(F.col("y0"), F.col("y1"))})
+    grids = settle(boxes.select("_lx", "_ly").distinct())
+
+    def cells(low: str, high: str, level: str) -> Column:
+        return F.explode(F.sequence(_cell(F.col(low), F.col(level)), _cell(F.col(high), F.col(level))))
+
+    dealt = boxes.withColumn("_cx", cells("x0", "x1", "_lx")).withColumn("_cy", cells("y0", "y1", "_ly"))
+    # One row: the exponents of two axes that occur.
+    listed = grids.agg(F.collect_set(F.struct("_lx", "_ly"))).scalar()
+    spread = points.filter(sound[4] & sound[5]).select("point", F.col("px").cast("double"), F.col("py").cast("double"), F.inline(listed))
+    spread = spread.withColumns({"_cx": _cell(F.col("px"), F.col("_lx")), "_cy": _cell(F.col("py"), F.col("_ly"))})
+    met = dealt.join(spread, ["_lx", "_ly", "_cx", "_cy"])
+    within = F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1"))
+    return _nearest(met.filter(within), tolerance)
+
+
 # Diagram text: rows of (keys, place, pos, who, value), sorted by place, pos and who when written.
 
 
@@ -164,20 +226,38 @@ def chart_lines(edges: DataFrame, keys: list[str]) -> DataFrame:
 
     Edges have ``node`` and ``gid``; the colour follows from the group id.
     """
-    names = nodes(edges, keys, "node")
     boxes = action_boxes(edges, keys, "gid", "action")
     firsts = edges.select(*keys, F.col("seq").alias("box"), "node")
     placed = boxes.join(firsts, [*keys, "box"])
+    opening, closing = _box_ends()
+    return _chart(edges, keys, placed.withColumn("value", F.concat(opening, "actions", closing)), []).select(*keys, "place", "pos", "who", "value")
+
+
+def chart_pieces(edges: DataFrame, keys: list[str], piece_bits: int = 12) -> DataFrame:
+    """The lines of ``chart_lines`` in bounded values: rows of one ``pos`` follow each other by ``piece`` and make up one line."""
+    pieces = box_pieces(edges, keys, "gid", "action", piece_bits)
+    firsts = edges.select(*keys, F.col("seq").alias("box"), "node")
+    placed = pieces.join(firsts, [*keys, "box"])
+    opening, closing = _box_ends()
+    value = F.concat(F.when(F.col("piece") == 0, opening).otherwise("\\n"), "actions", F.when(F.col("ends"), closing).otherwise(""))
+    return _chart(edges, keys, placed.withColumn("value", value), ["piece"])
+
+
+def _box_ends() -> tuple[Column, Column]:
+    """What stands before and behind the actions of a box or note."""
     node, colour = F.col("node"), codec.palette(F.col("gid"))
-    label = F.when(
-        F.col("note"),
-        F.concat(node, F.lit(" note "), node, F.lit('[label="'), F.col("actions"), F.lit('", textbgcolour="'), colour, F.lit('"];')),
-    ).otherwise(
-        F.concat(
-            node, F.lit(" abox "), node, F.lit(' [label="'), F.col("gid").cast("string"), F.lit("\\n"), F.col("actions"),
-            F.lit('\\n", textbgcolor="'), colour, F.lit('"];'),
-        )
+    opening = F.when(F.col("note"), F.concat(node, F.lit(" note "), node, F.lit('[label="'))).otherwise(
+        F.concat(node, F.lit(" abox "), node, F.lit(' [label="'), F.col("gid").cast("string"), F.lit("\\n"))
     )
+    closing = F.when(F.col("note"), F.concat(F.lit('", textbgcolour="'), colour, F.lit('"];'))).otherwise(
+        F.concat(F.lit('\\n", textbgcolor="'), colour, F.lit('"];'))
+    )
+    return opening, closing
+
+
+def _chart(edges: DataFrame, keys: list[str], boxes: DataFrame, more: list[str]) -> DataFrame:
+    """Head, node declarations, the boxes and the end of each graph."""
+    names, node = nodes(edges, keys, "node"), F.col("node")
     heads = names.select(*keys).distinct()
     declared = names.groupBy(*keys).agg(F.max("node").alias("_last"))
     decl = names.join(declared, keys).select(
@@ -186,14 +266,15 @@ def chart_lines(edges: DataFrame, keys: list[str]) -> DataFrame:
         F.concat(node, F.lit(' [label="'), node, F.lit('", textbgcolor = "orange"]'), F.when(node == F.col("_last"), ";").otherwise(",")).alias("value"),
     )
 
-    def lines(df: DataFrame, place: int, at: Column, by: Column, value: Column) -> DataFrame:
-        return df.select(*keys, F.lit(place).alias("place"), at.cast("long").alias("pos"), by.alias("who"), value.alias("value"))
+    def lines(df: DataFrame, place: int, at: Column, by: Column, value: Column, *piece: Column) -> DataFrame:
+        piece = piece or tuple(F.lit(0).cast("long").alias(m) for m in more)
+        return df.select(*keys, F.lit(place).alias("place"), at.cast("long").alias("pos"), *piece, by.alias("who"), value.alias("value"))
 
     zero, none = F.lit(0), F.lit("")
     return (
         lines(heads, 0, zero, none, F.lit("msc {"))
         .unionAll(lines(decl, 1, zero, F.col("node"), F.col("value")))
-        .unionAll(lines(placed, 2, F.col("box"), none, label))
+        .unionAll(lines(boxes, 2, F.col("box"), none, F.col("value"), *map(F.col, more)))
         .unionAll(lines(heads, 3, zero, none, F.lit("}")))
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom import fixed_values as fv
 from spanloom.operators.filters import visible
 from spanloom.operators.sequence import last, prev, row_numbers, scan, total
+from spanloom.session import settle
 
 
 def _delta() -> Column:
@@ -37,6 +38,24 @@ def ring_segments(df: DataFrame) -> DataFrame:
     return scan(seen.withColumn("_wrapped", _wrapped()), [], "seq", {"segment": total(F.col("_wrapped"))}).drop("_pts", "_wrapped")
 
 
+def true_order(df: DataFrame, name: str = "seq") -> DataFrame:
+    """Records of a ring file in the order in which they were recorded.
+
+    A ring file is written on from its beginning once it is full, so its first
+    segment is the newest. ``name`` becomes the dense position from 0 on,
+    oldest segment first; the place in the file stays as ``file_seq``. All
+    operators along ``seq`` then reach across the wrap.
+    """
+    cut = settle(ring_segments(df.select("seq", "ts")).select("seq", "segment"))
+    numbered = row_numbers(cut, ["segment"], "seq", "_rn")
+    sizes = cut.groupBy("segment").agg(F.count(F.lit(1)).alias("_n"))
+    older = scan(sizes.withColumn("_back", -F.col("segment")), [], "_back", {"_before": total(F.col("_n"), before=True)})
+    placed = numbered.join(older.select("segment", "_before"), "segment")
+    at = (F.coalesce("_before", F.lit(0).cast("long")) + F.col("_rn") - 1).alias(name)
+    places = placed.select(F.col("seq").alias("file_seq"), at)
+    return df.withColumnRenamed("seq", "file_seq").join(places, "file_seq")
+
+
 def file_times(df: DataFrame) -> DataFrame:
     """(seq, delta, segment) of each counted row, from its time and the one before."""
     seen = scan(df.select("seq", "ts"), [], "seq", {"_pts": prev(F.col("ts"))}, shared=True, keep=True)

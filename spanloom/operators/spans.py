@@ -115,6 +115,39 @@ def exact_percentiles(counts: DataFrame, keys: list[str], value: str, permille:
     )
 
 
+#: A quantile read from a merged state is off by at most this share of all values, all but surely (k = 800).
+SKETCH_K, SKETCH_ERROR = 800, 0.01
+
+
+def span_sketches(spans: DataFrame, keys: list[str], width_us: int | None = None, value: str = "elapsed", ts: str = "ts") -> DataFrame:
+    """Mergeable states of ``value`` per key, and per window of ``width_us`` if given.
+
+    A state (``sketch``) holds a few thousand values however many it has seen,
+    is made with map-side combine and can be stored, merged to coarser keys
+    and windows (``merge_sketches``) and read (``sketch_percentiles``).
+    """
+    window = [] if width_us is None else [(F.floor(F.col(ts) / width_us) * width_us).alias("window_start")]
+    return spans.groupBy(*keys, *window).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(value).alias("total_us"),
+        F.max(value).alias("max_us"),
+        F.kll_sketch_agg_bigint(value, F.lit(SKETCH_K)).alias("sketch"),
+    )
+
+
+def merge_sketches(states: DataFrame, keys: list[str]) -> DataFrame:
+    """States of coarser keys, windows or later slices from finer ones."""
+    return states.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("total_us").alias("total_us"), F.max("max_us").alias("max_us"), F.kll_merge_agg_bigint("sketch").alias("sketch")
+    )
+
+
+def sketch_percentiles(states: DataFrame, permille: dict[str, int]) -> DataFrame:
+    """Approximate percentiles in place of the states, off by ``SKETCH_ERROR`` of the values at most."""
+    read = {name: F.kll_sketch_get_quantile_bigint("sketch", F.lit(share / 1000.0)) for name, share in permille.items()}
+    return states.withColumns(read).drop("sketch")
+
+
 def span_stats(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Count, total, maximum, median and 95th percentile of ``elapsed``."""
     # Written once: three readers would pair the spans anew.

@@ -136,11 +136,30 @@ UNION ALL SELECT pid, 2, box, '', CASE WHEN note THEN node || ' note ' || node |
 UNION ALL SELECT pid, 3, 0, '', '}}' FROM lst""",
 )
 def chart_text(spark, sf_dir):
+    return graph.chart_lines(chart_edges(spark, sf_dir), ["pid"])
+
+
+@query(
+    "chart_pieces",
+    f"""WITH {CHART_SQL},
+ q AS (SELECT pid, box, gid, note, (seq >> 2) - (box >> 2) AS piece, string_agg(action, '\\n' ORDER BY seq) AS actions FROM r GROUP BY ALL),
+ z AS (SELECT q.*, max(piece) OVER (PARTITION BY q.pid, q.box) AS latest, e.node AS node, CASE q.gid WHEN 0 THEN 'blue' ELSE 'aquamarine' END AS colour FROM q JOIN e ON e.pid = q.pid AND e.seq = q.box)
+SELECT pid, 0 AS place, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS piece, '' AS who, 'msc {{' AS value FROM lst
+UNION ALL SELECT nd.pid, 1, 0, 0, node, node || ' [label="' || node || '", textbgcolor = "orange"]' || CASE WHEN node = l THEN ';' ELSE ',' END FROM nd JOIN lst ON nd.pid = lst.pid
+UNION ALL SELECT pid, 2, box, piece, '', CASE WHEN piece > 0 THEN '\\n' WHEN note THEN node || ' note ' || node || '[label="' ELSE node || ' abox ' || node || ' [label="' || gid || '\\n' END || actions
+  || CASE WHEN piece < latest THEN '' WHEN note THEN '", textbgcolour="' || colour || '"];' ELSE '\\n", textbgcolor="' || colour || '"];' END FROM z
+UNION ALL SELECT pid, 3, 0, 0, '', '}}' FROM lst""",
+)
+def chart_pieces(spark, sf_dir):
+    """Boxes cut every four positions."""
+    return graph.chart_pieces(chart_edges(spark, sf_dir), ["pid"], piece_bits=2)
+
+
+def chart_edges(spark, sf_dir):
     action = F.when(F.col("event_type") == "error", "backtrace").otherwise(F.col("event_type"))
-    rows = events(spark, sf_dir).select(
+    return events(spark, sf_dir).select(
         "seq", "pid", (F.col("user_id") % 2).alias("gid"), F.concat(F.lit("p "), F.col("tid").cast("string")).alias("node"), action.alias("action")
     )
-    return graph.chart_lines(rows, ["pid"])
 
 
 @query(
@@ -252,15 +271,36 @@ POINTS = [(10.0, 120.0), (25.5, 300.25), (60.0, 41.0), (90.0, 77.5)]
 SELECT CAST(point AS BIGINT) AS point, arg_min(seq, (distance, seq)) AS arrow, min(distance) AS distance FROM d WHERE distance < 5 GROUP BY point""",
 )
 def arrow_hits(spark, sf_dir):
+    return graph.hit_test(order_arrows(spark, sf_dir), POINTS, 5.0)
+
+
+def order_arrows(spark, sf_dir):
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    arrows = table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders").select(
         key.alias("seq"),
         (cust % 100).cast("double").alias("x0"),
         (cust % 100 + key % 40).cast("double").alias("x1"),
         (key % 500).cast("double").alias("y0"),
         (key % 500 + cust % 90).cast("double").alias("y1"),
     )
-    return graph.hit_test(arrows, POINTS, 5.0)
+
+
+@query(
+    "arrow_hits_table",
+    """WITH p AS (SELECT c_custkey AS point, (c_custkey * 37 % 1400) / 10.0::DOUBLE AS px, (c_custkey * 7919 % 59000) / 100.0::DOUBLE AS py FROM customer),
+ a AS (SELECT o_orderkey AS seq, (o_custkey % 100)::DOUBLE AS x0, (o_custkey % 100 + o_orderkey % 40)::DOUBLE AS x1, (o_orderkey % 500)::DOUBLE AS y0, (o_orderkey % 500 + o_custkey % 90)::DOUBLE AS y1 FROM orders),
+ i AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy FROM a JOIN p ON px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1),
+ t AS (SELECT *, coalesce(((px - x0) * dx + (py - y0) * dy) / nullif(dx * dx + dy * dy, 0), 0) AS s FROM i),
+ d AS (SELECT point, seq, sqrt((px - (x0 + s * dx)) * (px - (x0 + s * dx)) + (py - (y0 + s * dy)) * (py - (y0 + s * dy))) AS distance FROM t)
+SELECT point, arg_min(seq, (distance, seq)) AS arrow, min(distance) AS distance FROM d WHERE distance < 5 GROUP BY point""",
+)
+def arrow_hits_table(spark, sf_dir):
+    """Every customer is a point on the chart of all orders."""
+    key = F.col("c_custkey")
+    points = table(spark, sf_dir, "customer").select(
+        key.alias("point"), ((key * 37 % 1400) / F.lit(10.0)).alias("px"), ((key * 7919 % 59000) / F.lit(100.0)).alias("py")
+    )
+    return graph.hit_test_table(order_arrows(spark, sf_dir), points, 5.0)
 
 
 @query(

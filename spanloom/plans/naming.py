@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from spanloom.functions import codec
-from spanloom.operators import names
+from spanloom.operators import names, order
 from spanloom.plans.registry import query
+from spanloom.plans.spans import rotated
 from spanloom.plans.tables import EVENTS_SQL, events, per_type, table
+from spanloom.session import settle
 
 INITIAL_SQL = "init AS (SELECT c_custkey % 64 * 2 AS tid, substr(arg_max(c_name, c_custkey), 1, 16) AS name FROM customer WHERE c_custkey % 64 <> 0 GROUP BY 1)"
 
@@ -34,8 +36,8 @@ LIFE_SQL = (
 )
 
 
-def life(spark, sf_dir):
-    ev = events(spark, sf_dir).select("seq", "tid", "cpu", "event_type")
+def life(spark, sf_dir, ev=None):
+    ev = events(spark, sf_dir).select("seq", "tid", "cpu", "event_type") if ev is None else ev
     role = per_type(error=names.EXIT, purchase=names.TERMINATE, click=names.HANDOFF, signup=names.NAMELESS)
     execs = ev.filter(F.col("event_type") == "signup").select("seq", "tid", F.concat(F.lit("c"), F.col("seq").cast("string")).alias("name"))
     return names.thread_names(ev, names.definitions(initial_map(spark, sf_dir), execs), role)
@@ -55,6 +57,14 @@ def thread_names(spark, sf_dir):
     return names.coprocessor_names(life(spark, sf_dir), cpu_map).select("seq", "tid", "name")
 
 
+@query("ring_names", f"WITH {LIFE_SQL} SELECT seq, tid, name FROM named")
+def ring_names(spark, sf_dir):
+    """Names across the wrap of a ring file: those learned before it hold behind it."""
+    rows = events(spark, sf_dir).select("seq", "ts", "tid", "cpu", "event_type")
+    ordered = settle(order.true_order(rotated(spark, sf_dir, rows)).drop("file_seq", "ts"))
+    return life(spark, sf_dir, ordered).select("seq", "tid", "name")
+
+
 @query(
     "thread_creation",
     f"""WITH {EVENTS_SQL}, c AS (SELECT seq, tid AS creator, CASE WHEN event_type = 'click' THEN 1 ELSE -1 END AS way FROM ev WHERE event_type IN ('click', 'signup')),

@@ -7,6 +7,8 @@ from spanloom.operators import codes, filters, order, spans
 from spanloom.operators.sequence import sequence
 from spanloom.plans.registry import query
 from spanloom.plans.tables import EVENTS_SQL, KEVENTS_SQL, events, kevents, per_type, table
+from spanloom.session import fresh_path, settle
+from spanloom.sources import store
 
 SPANS_SQL = (
     KEVENTS_SQL
@@ -148,6 +150,52 @@ def wrap_segments(spark, sf_dir):
     return cut.withColumn("chrono", cut.agg(F.max("segment")).scalar() - F.col("segment"))
 
 
+def rotated(spark, sf_dir, rows):
+    """A ring file: two fifths of the records, the newest, lie before the others."""
+    count = events(spark, sf_dir).agg(F.max("seq") + 1).scalar()
+    return rows.withColumn("seq", F.pmod(F.col("seq") + F.floor(count * 2 / 5), count))
+
+
+@query("ring_spans", f"WITH {SPANS_SQL} SELECT seq, tid, eventid, elapsed FROM sp")
+def ring_spans(spark, sf_dir):
+    """Spans across the wrap of a ring file."""
+    rows = kevents(spark, sf_dir).select("seq", "ts", "tid", "debugid")
+    return spans.code_spans(order.true_order(rotated(spark, sf_dir, rows))).select("seq", "tid", "eventid", "elapsed")
+
+
+DAY_US = 86_400_000_000
+
+
+@query("span_sketch", f"WITH {SPANS_SQL} SELECT eventid, count(*) AS n, CAST(sum(elapsed) AS BIGINT) AS total_us, max(elapsed) AS max_us, TRUE AS p50_near, TRUE AS p95_near FROM sp GROUP BY eventid")
+def span_sketch(spark, sf_dir):
+    """States per code and day merged to codes; their percentiles lie within the stated error of the exact ranks."""
+    found = settle(spans.code_spans(kevents(spark, sf_dir)).select("eventid", "ts", "elapsed"))
+    daily = settle(spans.span_sketches(found, ["eventid"], DAY_US))
+    read = spans.sketch_percentiles(spans.merge_sketches(daily, ["eventid"]), {"p50_us": 500, "p95_us": 950})
+    ranked = found.join(read.select("eventid", "p50_us", "p95_us"), "eventid").groupBy("eventid").agg(
+        *[
+            (
+                (F.count_if(F.col("elapsed") < F.col(name)) <= F.count(F.lit(1)) * (share + spans.SKETCH_ERROR))
+                & (F.count_if(F.col("elapsed") <= F.col(name)) >= F.count(F.lit(1)) * (share - spans.SKETCH_ERROR))
+            ).alias(f"{name[:3]}_near")
+            for name, share in (("p50_us", 0.5), ("p95_us", 0.95))
+        ]
+    )
+    return read.join(ranked, "eventid").select("eventid", "n", "total_us", "max_us", "p50_near", "p95_near")
+
+
+@query(
+    "store_filter",
+    f"""WITH {KEVENTS_SQL} SELECT seq, debugid FROM k
+WHERE debugid >> 24 = 4 OR debugid >> 16 = 320 OR debugid >> 24 BETWEEN 30 AND 40""",
+)
+def store_filter(spark, sf_dir):
+    path = fresh_path(spark, "store")
+    store.write_store(kevents(spark, sf_dir).select("seq", "ts", "tid", "debugid"), path)
+    types = filters.type_ranges(classes=[4], subclasses=[(1, 0x40)], ranges=[(30, 40)])
+    return store.read_store(spark, path, types).select("seq", "debugid")
+
+
 @query(
     "type_filter",
     f"""WITH {KEVENTS_SQL} SELECT seq, debugid FROM k

@@ -185,5 +185,6 @@ def read_watch_log(spark: SparkSession, path: str) -> DataFrame:
     names = ["pid", "process", "symbol", "register", "mode", "width"]
     rows = spark.read.text(path).filter(F.size(cells) == len(names))
     return rows.select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)]).withColumns(
-        {"pid": F.col("pid").cast("long"), "register": F.col("register").cast("long")}
+        # A number that does not parse is null; the row stays.
+        {"pid": F.col("pid").try_cast("long"), "register": F.col("register").try_cast("long")}
     )
