@@ -36,6 +36,11 @@ PATH_TAIL = 51
 # Fixed value: frames a program's backtrace holds at most.
 USER_FRAMES = 32
 
+# What ends a symbol in a debugger line, and the name where there is none.
+OFFSET_MARK = "+"
+QUEUE_MARK = ", queue ="
+NO_SYMBOL = "UNKNOWN_SYM"
+
 # Message id flag bits.
 MIG_BIT = 60
 FROM_KERNEL_BIT = 58

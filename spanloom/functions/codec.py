@@ -183,10 +183,12 @@ def space_to_underscore(text: Column) -> Column:
 
 
 def symbol_of(line: Column) -> Column:
-    """Symbol in a debugger thread line: after the backtick, up to ``+`` or the queue name."""
-    with_offset = F.regexp_extract(line, ".*`(.+?)[+].*", 1)
-    before_queue = F.regexp_extract(line, ".*`(.+?), queue =.*", 1)
-    return F.trim(F.coalesce(F.nullif(with_offset, F.lit("")), F.nullif(before_queue, F.lit("")), F.lit("UNKNOWN_SYM")))
+    """Symbol in a debugger thread line: what stands behind the last backtick, up to the offset or else the queue."""
+    behind = F.substring_index(line, "`", -1)
+    ends = [F.instr(behind, mark) for mark in (fv.OFFSET_MARK, fv.QUEUE_MARK)]
+    end = F.when(ends[0] > 1, ends[0]).when(ends[1] > 1, ends[1])
+    known = F.contains(line, F.lit("`")) & end.isNotNull()
+    return F.when(known, F.trim(F.left(behind, end - 1))).otherwise(fv.NO_SYMBOL)
 
 
 def trailing_hex(line: Column) -> Column:

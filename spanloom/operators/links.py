@@ -17,17 +17,22 @@ def link_next(
     keys: list[str],
     source_values: list[str],
     ts: str = "ts",
+    tie: str | None = None,
 ) -> DataFrame:
     """Each target with the source just before it under the same key, one to one.
 
     Keys are pointers that recur, so time decides: a later source replaces an
-    unmatched one and a target consumes it. Sources and targets have one row
-    per key and time; at the same time the source comes first. Keys are many
+    unmatched one and a target consumes it. At the same time the source comes
+    first. Where a key may have several sources or targets at one time,
+    ``tie`` names a column of both sides that puts these in order: of such
+    sources the last one counts, of such targets the first one. Keys are many
     and short and times sparse, so hot keys alone are cut, by row numbers.
-    Targets without a source keep nulls in the source columns.
+    Targets without a source keep nulls in the source columns. Both inputs are
+    read once.
     """
     both = sources.withColumn("_way", F.lit(0)).unionByName(targets.withColumn("_way", F.lit(1)), allowMissingColumns=True)
-    both = both.withColumn("_at", F.col(ts) * 2 + F.col("_way"))
+    at = F.col(ts) * 2 + F.col("_way")
+    both = settle(both.withColumn("_at", at if tie is None else F.struct(at.alias("at"), F.col(tie).alias("tie"))))
     carried = {f"source_{c}": F.col(c) for c in source_values}
     paired = pair(
         both.drop(*[f"source_{c}" for c in source_values]),

@@ -141,10 +141,7 @@ def window_counts(spark, sf_dir):
 
 @query(
     "symbol_extract",
-    """WITH l AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '* thread #1: tid = 0x6b39b, 0x00000001040ddd56 lib`' || url || ' + 640, queue = ''main'''
-  WHEN 1 THEN '* thread #1: tid = 0x6b39b, 0x00000001040ddd56 lib`' || url || ', queue = ''main''' ELSE url END AS line FROM pages)
-SELECT page_id, CASE page_id % 3 WHEN 2 THEN 'UNKNOWN_SYM' ELSE trim(regexp_extract(line,
-  CASE page_id % 3 WHEN 0 THEN '.*`(.+?)[+].*' ELSE '.*`(.+?), queue =.*' END, 1)) END AS symbol FROM l""",
+    "SELECT page_id, CASE page_id % 3 WHEN 2 THEN 'UNKNOWN_SYM' ELSE split_part(url, '+', 1) END AS symbol FROM pages",
 )
 def symbol_extract(spark, sf_dir):
     head = F.concat(F.lit("* thread #1: tid = 0x6b39b, 0x00000001040ddd56 lib`"), "url")

@@ -271,3 +271,32 @@ def test_codec_bits(spark):
     assert row.t == 255 and row.w == "grüße an alle" and row.wk == "WAKEUP_THR" and row.none is None
     assert high_bit == spark.range(1).select(codec.long_lit(1 << 63).alias("x")).first().x
     assert codec.clock_divisor(125, 3) == 24.0 and codec.clock_divisor(frequency=24_000_000) == 24.0
+
+
+def test_symbols_of_odd_lines(spark):
+    lines = {
+        "a`b`-[App run] + 640, queue = 'q+'": "-[App run]",
+        "lib`operator+ + 8, queue = 'q'": "operator",
+        "lib`start, queue = 'q'": "start",
+        "lib`+[App new], queue = 'q'": "+[App new]",
+        "lib`, queue = 'q'": "UNKNOWN_SYM",
+        "start + 8, queue = 'q'": "UNKNOWN_SYM",
+        "": "UNKNOWN_SYM",
+    }
+    df = spark.createDataFrame([(k,) for k in lines], "line string")
+    assert {r.line: r.s for r in df.select("line", codec.symbol_of(F.col("line")).alias("s")).collect()} == lines
+
+
+def test_links_at_one_time(spark, small_blocks):
+    sources = [(1, 10, s, f"a{s}") for s in range(3)] + [(1, 20, 7, "b"), (2, 10, 5, "c")]
+    targets = [(1, 10, t) for t in (4, 3)] + [(1, 20, 9), (1, 21, 1), (2, 9, 0)]
+    from spanloom.operators import links
+
+    got = links.link_next(
+        spark.createDataFrame(sources, "k long, ts long, n long, name string").repartition(3),
+        spark.createDataFrame(targets, "k long, ts long, n long").repartition(3),
+        ["k"],
+        ["name"],
+        tie="n",
+    )
+    assert sorted((r.k, r.ts, r.n, r.source_name or "") for r in got.collect()) == [(1, 10, 3, "a2"), (1, 10, 4, ""), (1, 20, 9, "b"), (1, 21, 1, ""), (2, 9, 0, "")]
