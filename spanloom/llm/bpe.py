@@ -38,6 +38,7 @@ from spanloom.llm.common import ship, spans
 SPECIAL = "<|endoftext|>"
 #: The characters with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0  -     　"
+KNOWN_WORDS = 1 << 20
 _UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _TANGLED = re.compile(f"[{WHITE}] ")
 
@@ -117,15 +118,17 @@ def _split_blocks(batches, buckets: int, block_chars: int, wanted: str):
             past = ends[at - 1] if at else 0
             end = max(at + 1, int(np.searchsorted(ends, past + block_chars, "right")))
             part = batch.slice(at, end - at)
-            yield from _block_rows(part.column(0).to_pylist(), part.column(1).to_pylist(), buckets, wanted)
+            place = struct.pack("<q", part.column(2)[0].as_py())
+            yield from _block_rows(place, part.column(0).to_pylist(), part.column(1).to_pylist(), buckets, wanted)
             at = end
 
 
-def _block_rows(ids: list, texts: list, buckets: int, wanted: str):
-    numbers, mark, coded = _Numbers(), hashlib.blake2b(digest_size=16), []
+def _block_rows(place: bytes, ids: list, texts: list, buckets: int, wanted: str):
+    numbers, mark, coded = _Numbers(), hashlib.blake2b(place, digest_size=16), []
     for doc_id, text in zip(ids, texts):
         data = (text or "").encode()
-        # The block's name comes from what it holds, so both readings of the input give it the same one.
+        # The block's name comes from its place and from what it holds: equal blocks have names of their own,
+        # and both readings of the input give a block the same one.
         mark.update(struct.pack("<qq", -1 if doc_id is None else doc_id, len(data)))
         mark.update(data)
         words = units(text or "")
@@ -169,11 +172,13 @@ def encode(docs: DataFrame, path: str, block_chars: int = 8 << 20, id_col: str =
     same partitions both times: a table, or a DataFrame settled before.
 
     Words are dealt to ``spark.sql.shuffle.partitions`` buckets. A task holds
-    one block, or the distinct words of one bucket.
+    one block, or at most ``KNOWN_WORDS`` words of one bucket and those of one
+    block, however large the vocabulary of the corpus is.
     """
     ship(docs.sparkSession)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # The number of a row is that of its place in the input, also where both readings run as one job.
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("_row"))
 
     def words(batches):
         rows = _split_blocks(batches, buckets, block_chars, "words")
@@ -192,7 +197,8 @@ def encode(docs: DataFrame, path: str, block_chars: int = 8 << 20, id_col: str =
             nonlocal known, now
             for batch in batches:
                 for block, bucket, sizes, data in zip(*(c.to_pylist() for c in batch.columns)):
-                    if bucket != now:
+                    # A bucket with more distinct words than that forgets them now and then, which costs time only.
+                    if bucket != now or len(known) > KNOWN_WORDS:
                         known, now = {}, bucket
                     ends, data = np.cumsum(_unplaned(sizes)).tolist(), _full(data)
                     listed = [data[a:b] for a, b in zip([0, *ends], ends)]
