@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import ship, spans
 
-LIMIT = 1 << 26
+#: Components are exact up to this size after scaling, scores up to 64 bits; what is larger counts as these.
+LIMIT = 1 << 61
+WIDEST = (1 << 63) - 1
 
 
 def digits(weight: int) -> list[tuple[int, int]]:
@@ -62,6 +64,7 @@ class BlockIndex:
     def __init__(self, ids: np.ndarray, values: np.ndarray, bits: int) -> None:
         self.ids, self.values = ids, values
         n, dims = values.shape
+        self.largest = int(np.abs(values).max()) if values.size else 0
         self.low = values.min(0) if n else np.zeros(dims, np.int64)
         offset = values - self.low
         widest = int(offset.max()).bit_length() if offset.size else 0
@@ -82,10 +85,17 @@ class BlockIndex:
         need = k + int(own.sum())
         rows = np.arange(len(self.ids)) if len(self.ids) <= need else self._boundary(weights, need)
         rows = rows[~own[rows]]
-        scores = self.values[rows] @ weights
+        scores = self._scores(rows, weights)
         order = np.lexsort((self.ids[rows], -scores))[:k]
         return self.ids[rows][order], scores[order]
 
+    def _scores(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Exact inner products; where 64 bits may not hold a sum on the way, in whole numbers of any size."""
+        if self.largest * sum(map(abs, weights.tolist())) <= WIDEST:
+            return self.values[rows] @ weights
+        whole = self.values[rows].astype(object) @ weights.astype(object)
+        return np.array([max(-WIDEST, min(WIDEST, s)) for s in whole.tolist()], np.int64)
+
     def _boundary(self, weights: np.ndarray, need: int) -> np.ndarray:
         maps: dict[int, list[np.ndarray]] = {}
         for d, weight in enumerate(weights.tolist()):
@@ -102,7 +112,7 @@ class BlockIndex:
             else:
                 above, equal = above | with_bit, equal & ~total[p]
         # What the dropped low bits can add differs between two rows by at most sum |w| * (2^shift - 1).
-        slack = int(np.abs(weights).sum()) * ((1 << self.shift) - 1) >> self.shift
+        slack = sum(map(abs, weights.tolist())) * ((1 << self.shift) - 1) >> self.shift
         floor = kth - slack
         if floor <= 0:
             return np.arange(len(self.ids))
@@ -134,7 +144,8 @@ def exact_topk(
 
     Vectors that are null, hold a null or a non-finite component, or have no
     id take no part. Vectors are compared with those of equal length only; an
-    empty vector scores 0. Components beyond 2^26 after scaling count as 2^26.
+    empty vector scores 0. Components beyond 2^61 after scaling count as 2^61,
+    scores beyond 64 bits as the greatest or least number of 64 bits.
     A repeated id is one query (its smallest vector); its rows are never its
     own candidates, and remain separate candidates of other queries. An empty
     table gives no rows; other columns are ignored.
