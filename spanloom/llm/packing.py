@@ -1,14 +1,21 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of tokens, its documents one after the other. Round j
-serves every queue its share of ``length`` tokens; a share is seldom whole, so
-what a queue is owed is carried as its deficit. With cumulated shares
-F_s(j) = floor(j * length * (w_1 + ... + w_s) / w) queue s has been served
-F_s(j) - F_{s-1}(j) tokens after j rounds, so a round has exactly ``length``
-tokens while all queues last, and the deficit at any round, in any partition,
-follows from j alone: nothing has to be replayed from window to window. A queue
-that has run dry is passed over and the others fill the window in their
-proportions. The rounds' tokens in order are cut every ``length`` tokens.
+Each source is a queue of tokens, its documents one after the other. Every
+window of ``length`` tokens gives each queue its share; a share is seldom
+whole, so what a queue is owed is carried as its deficit from window to window.
+
+Without targets a queue's weight is its own token count. Queues are then the
+leaves of a binary tree whose forks each pass tokens to their two sides in
+proportion and owe a side less than one token (``Forks``). A queue's share of
+any window follows from the forks above it, a number of rows that grows with
+the logarithm of the number of queues, so there may be any number of queues,
+each document finds its pieces by itself in any partition, and a queue's
+deficit stays below one token a fork.
+
+With given targets, few by nature, round j serves queue s
+F_s(j) - F_{s-1}(j) tokens by then, where F_s(j) is the whole part of the first
+queues' share of j windows (``Rounds``). A queue that has run dry is passed over
+and the others fill the window in their proportions.
 """
 
 from __future__ import annotations
@@ -26,12 +33,16 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.bpe import pieces, spelled, units
 from spanloom.llm.common import ship
+from spanloom.operators.sequence import scan, sequence
+from spanloom.operators.sequence import total as sum_to
 from spanloom.session import settle
 
 LENGTH = 1024
-#: A source with a smaller share of a window shares one queue with all such sources; so there are at most 65 queues.
-LEAST_SHARE = 1 / 64
+#: The queue of sources without a target.
 REST = ""
+#: A table of partitions' places in queues of up to so many rows, some ten megabytes, is broadcast.
+BROADCAST_ROWS = 1 << 17
+TOKENS_AT_ONCE = 1 << 19
 CACHED_WORDS = 300_000
 
 
@@ -160,6 +171,99 @@ class Rounds:
             begun, ended = ended, self.served(s, j + 1)
 
 
+def _floor(a: np.ndarray, b: np.ndarray, c: np.ndarray, plus: np.ndarray | int = 0) -> np.ndarray:
+    """floor((a * b + plus) / c) without overflow, for results below 2**50.
+
+    The quotient of doubles is off by one at most; the remainder, right modulo
+    2**64, tells.
+    """
+    q = np.floor((a.astype(np.float64) * b + plus) / c).astype(np.int64)
+    r = a * b + plus - q * c
+    return q + (r >= c) - (r < 0)
+
+
+class Forks:
+    """Queues as the leaves of a binary tree; ``n``, ``left`` and ``right`` have a row for each leaf and a column for each fork above it, the root's last.
+
+    A fork that has passed on c tokens has passed floor(c * left / n) of them
+    to its left side and the others to its right side, so neither side is ever
+    owed more than a token by it, and what a queue is owed after any number of
+    tokens, in any partition, follows from the forks above it.
+    """
+
+    def __init__(self, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        self.n, self.left, self.right = n, left, right
+
+    def positions(self, leaf: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where in the order of all tokens the tokens ``at`` of the leaves' queues come."""
+        for k in range(self.n.shape[1]):
+            n, left, right = self.n[leaf, k], self.left[leaf, k], self.right[leaf, k]
+            at = _floor(np.where(right, at, at + 1), n, np.where(right, n - left, left), np.where(right, 0, -1))
+        return at
+
+    def served(self, leaf: np.ndarray, now: np.ndarray, then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of the leaf's queue among the first ``now`` and the first ``then``, and those of queues to its left between the two."""
+        before = np.zeros_like(now)
+        for k in reversed(range(self.n.shape[1])):
+            n, left, right = self.n[leaf, k], self.left[leaf, k], self.right[leaf, k]
+            passed_now, passed_then = _floor(now, left, n), _floor(then, left, n)
+            before = before + np.where(right, passed_then - passed_now, 0)
+            now, then = np.where(right, now - passed_now, passed_now), np.where(right, then - passed_then, passed_then)
+        return now, then, before
+
+
+def _ranges(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of these sizes end to end: the range of each member and its place in it."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def window_pieces(forks: Forks, everything: int, length: int, leaf: np.ndarray, starts: np.ndarray, stops: np.ndarray):
+    """Pieces of the tokens [start, stop) of the leaves' queues, one for each window that holds some of them.
+
+    Window w holds the tokens w * length and on of the order of all tokens,
+    queue by queue. A row's windows are those from its first token's to its
+    last one's, or, where these are more than its tokens, those of its tokens.
+    Gives arrays (row, position in the queue, length, position in the packed
+    stream).
+    """
+    sizes, first = stops - starts, forks.positions(leaf, starts) // length
+    many = forks.positions(leaf, stops - 1) // length - first + 1
+    row, at = _ranges(np.where(many <= sizes, many, 0))
+    window = first[row] + at
+    thin, at = _ranges(np.where(many <= sizes, 0, sizes))
+    met = forks.positions(leaf[thin], starts[thin] + at) // length
+    new = np.ones(len(thin), bool)
+    new[1:] = (thin[1:] != thin[:-1]) | (met[1:] != met[:-1])
+    row, window = np.concatenate((row, thin[new])), np.concatenate((window, met[new]))
+    now = window * length
+    begun, ended, before = forks.served(leaf[row], now, np.minimum(now + length, everything))
+    begin, end = np.maximum(begun, starts[row]), np.minimum(ended, stops[row])
+    some = end > begin
+    return row[some], begin[some], (end - begin)[some], (now + before + begin - begun)[some]
+
+
+def _forks(totals: DataFrame, height: int) -> DataFrame:
+    """(queue, fork, left, right): for each queue the tokens below the forks above it, those on their left side, and whether it lies on the right.
+
+    Queues are numbered by name; a fork holds those whose numbers agree but for
+    their last bits. However many queues there are, each brings one row a level.
+    """
+    numbered = scan(sequence(totals, "queue"), [], "seq", {"number": sum_to(F.lit(1).cast("long"), before=True)})
+    numbered = settle(numbered.select("queue", F.coalesce("number", F.lit(0).cast("long")).alias("number"), "total"))
+    if height == 0:
+        none = F.array().cast("array<long>")
+        return numbered.select("queue", none.alias("fork"), none.alias("left"), F.array().cast("array<boolean>").alias("right"))
+    each = numbered.select("queue", "number", "total", F.explode(F.sequence(F.lit(0), F.lit(height))).alias("level"))
+    each = each.withColumn("node", F.expr("shiftright(number, level)"))
+    sums = settle(each.groupBy("level", "node").agg(F.sum("total").alias("sum")))
+    forks = sums.select((F.col("level") - 1).alias("level"), F.col("node").alias("up"), F.col("sum").alias("n"))
+    lefts = sums.filter("node % 2 = 0").select("level", F.shiftright("node", 1).alias("up"), F.col("sum").alias("left"))
+    met = each.filter(F.col("level") < height).withColumn("up", F.shiftright("node", 1)).join(forks, ["level", "up"]).join(lefts, ["level", "up"])
+    path = met.groupBy("queue").agg(F.sort_array(F.collect_list(F.struct("level", "n", "left", (F.col("node") % 2 == 1).alias("right")))).alias("path"))
+    return path.select("queue", F.col("path.n").alias("fork"), F.col("path.left").alias("left"), F.col("path.right").alias("right"))
+
+
 def pack(
     docs: DataFrame,
     path: str,
@@ -172,8 +276,9 @@ def pack(
 
     ``targets`` gives whole-number weights by source; a source without one
     goes to a common queue for the rest (weight ``targets['']``, else 1).
-    Without targets the weights are the sources' own token counts, so all
-    queues last to the end. Every token lies in exactly one piece and all
+    Without targets every source is a queue of its own, weighted by its token
+    count, so all queues last to the end and each window has each source's
+    share of all tokens. Every token lies in exactly one piece and all
     sequences but the last are full.
 
     Null texts are empty and give the end id alone. A null source is the
@@ -181,54 +286,76 @@ def pack(
     document of its own. An empty table gives no rows; other columns are
     ignored.
 
-    Texts are encoded once and never shuffled. A queue's order is that of the
-    input's partitions. The driver reads the totals of at most 65 queues; the
-    start of each partition in each queue is joined to the ids.
+    Texts are encoded once. A queue's order is that of the input's partitions.
+    Where each partition begins in each queue is a table that meets the ids in
+    a broadcast if it is small, else in a join. With targets the driver reads
+    the totals of the queues it was given weights for, else one number.
     """
     coded = tokens(docs, path, end_id)
-    by_source = coded.groupBy("source").agg(F.sum("n").alias("n"))
-    everything = by_source.agg(F.sum("n")).first()[0] or 0
-    if targets is None:
-        kept = [r["source"] for r in by_source.filter((F.col("n") >= everything * LEAST_SHARE) & (F.col("source") != REST)).collect()]
-    else:
+    queue = F.col("source")
+    if targets is not None:
         kept = [s for s in targets if s != REST]
-    queue = F.when(F.col("source").isin(kept), F.col("source")).otherwise(F.lit(REST)) if kept else F.lit(REST)
-    totals = {r["queue"]: r["n"] for r in by_source.groupBy(queue.alias("queue")).agg(F.sum("n").alias("n")).collect()}
-    names = sorted(totals)
-    weights = [max(1, totals[q] if targets is None else targets.get(q, 1)) for q in names]
-    rounds = Rounds([totals[q] for q in names], weights, length)
-
+        queue = F.when(queue.isin(kept), queue).otherwise(F.lit(REST)) if kept else F.lit(REST)
+    parts = settle(coded.groupBy("part", "source").agg(F.sum("n").alias("n")).withColumn("queue", queue))
+    totals = parts.groupBy("queue").agg(F.sum("n").alias("total"))
     # A queue holds partition after partition and, within one, source after source.
-    shares = coded.groupBy("part", "source").agg(F.sum("n").alias("n")).withColumn("queue", queue)
     along = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    begins = shares.select("part", "source", "queue", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("base"))
-    placed = coded.join(begins, ["part", "source"]).select("doc_id", "queue", (F.col("base") + F.col("start")).alias("at"), "n", "ids")
-    narrow = len(pieces(path)) <= 1 << 16
-    number = {q: i for i, q in enumerate(names)}
+    begins = parts.select("part", "source", "queue", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("base"))
+    rounds = None
+    if targets is None:
+        found = totals.agg(F.sum("total").alias("total"), F.count(F.lit(1)).alias("queues")).first()
+        everything = found["total"] or 0
+        queues = _forks(totals, max(found["queues"] - 1, 0).bit_length())
+    else:
+        known = {r["queue"]: r["total"] for r in totals.collect()}
+        names = sorted(known)
+        rounds = Rounds([known[q] for q in names], [max(1, targets.get(q, 1)) for q in names], length)
+        queues = docs.sparkSession.createDataFrame([(q, i) for i, q in enumerate(names)], "queue string, leaf int")
+    begins = settle(begins.join(queues, "queue"))
+    if begins.count() <= BROADCAST_ROWS:
+        begins = F.broadcast(begins)
+    placed = coded.join(begins, ["part", "source"]).select("doc_id", "queue", (F.col("base") + F.col("start")).alias("at"), "n", "ids", *queues.columns[1:])
+    width = 2 if len(pieces(path)) <= 1 << 16 else 4
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"][: 9 if with_ids else 8]
 
     def cut(batches):
-        out = [[] for _ in range(9)]
-
-        def flush():
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            arrays = [pa.array(c, k) for c, k in zip(out, kinds)][: 9 if with_ids else 8]
-            for c in out:
-                c.clear()
-            return pa.RecordBatch.from_arrays(arrays, columns)
-
         for batch in batches:
-            for doc_id, name, at, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(data, "<u2" if narrow else "<u4").astype("<u4").tobytes()
-                for begin, size, place in rounds.pieces(number[name], at, at + n):
-                    piece = ids[4 * (begin - at) : 4 * (begin - at + size)]
-                    row = (doc_id, begin - at, size, zlib.crc32(piece), n, place // length, place % length, name, piece if with_ids else None)
-                    for c, v in zip(out, row):
-                        c.append(v)
-                if len(out[0]) >= 8192:
-                    yield flush()
-        if out[0]:
-            yield flush()
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                at, n = part.column("at").to_numpy(), part.column("n").to_numpy()
+                ids = [memoryview(np.frombuffer(d, f"<u{width}").astype("<u4").tobytes()) for d in part.column("ids").to_pylist()]
+                for row, begin, size, place in placed_pieces(part, at, n):
+                    found = [ids[r][a:b] for r, a, b in zip(row.tolist(), (4 * begin).tolist(), (4 * (begin + size)).tolist())]
+                    arrays = [
+                        part.column("doc_id").take(pa.array(row)),
+                        pa.array(begin),
+                        pa.array(size),
+                        pa.array(list(map(zlib.crc32, found)), pa.int64()),
+                        pa.array(n[row]),
+                        pa.array(place // length),
+                        pa.array(place % length),
+                        part.column("queue").take(pa.array(row)),
+                        pa.array([f.tobytes() for f in found] if with_ids else [], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(arrays[: len(columns)], columns)
+
+    def placed_pieces(part, at, n):
+        """(row, first token of the document, length, place) of the pieces of these documents, a bounded number of tokens at once."""
+        if rounds is not None:
+            leaf = part.column("leaf").to_numpy()
+            found = [(i, p[0] - at[i], *p[1:]) for i in range(len(at)) for p in rounds.pieces(int(leaf[i]), int(at[i]), int(at[i] + n[i]))]
+            yield np.array(found, np.int64).reshape(-1, 4).T
+            return
+        forks = Forks(*(np.array(part.column(c).to_pylist()).reshape(len(at), -1) for c in ("fork", "left", "right")))
+        cuts = [(i, a, min(int(n[i]), a + TOKENS_AT_ONCE)) for i in range(len(at)) for a in range(0, int(n[i]), TOKENS_AT_ONCE)]
+        while cuts:
+            some, held = [], 0
+            while cuts and held < TOKENS_AT_ONCE:
+                some.append(cuts.pop(0))
+                held += some[-1][2] - some[-1][1]
+            row, a, b = np.array(some, np.int64).T
+            which, begin, size, place = window_pieces(forks, everything, length, row, at[row] + a, at[row] + b)
+            yield row[which], begin - at[row[which]], size, place
 
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"][: 9 if with_ids else 8]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
     return placed.mapInArrow(cut, schema + (", ids binary" if with_ids else ""))

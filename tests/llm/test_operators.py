@@ -61,6 +61,20 @@ def test_topk(spark, block_rows):
     assert got == {q: v for q, v in plain_topk(rows).items() if v}
 
 
+@pytest.mark.parametrize("block_rows", [5, 1 << 14])
+def test_topk_of_large_components(spark, block_rows):
+    rng = np.random.default_rng(4)
+    rows = [(0, [100000.0, 1.0]), (1, [70000.0, 1.0]), (2, [90000.0, 1.0])]
+    rows += [(100 * i + 3, [float(x) for x in rng.normal(0, 10.0 ** (i % 7), 2)]) for i in range(1, 60)] + [(100 * i, [float(x) for x in rng.normal(0, 10.0 ** (i % 7), 2)]) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.exact_topk(df, block_rows=block_rows).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == plain_topk(rows)
+    huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1e300, 0.0]), (3, [0.0, 5.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.exact_topk(huge).orderBy("rank").collect()] == [(1, topk.WIDEST), (3, 5 << 20), (2, -topk.WIDEST)]
+
+
 def test_topk_empty(spark):
     assert topk.exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
@@ -166,6 +180,19 @@ def test_bpe(spark, vocabulary):
     assert bpe.round_trip(rows.limit(0), vocabulary).collect() == []
 
 
+def test_bpe_of_equal_blocks(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 3)
+    two = docs(spark, ["one and two", "three"]).coalesce(1)
+    two.write.mode("overwrite").parquet(path := str(spark.sparkContext.getCheckpointDir() or "/tmp/spanloom-test") + "/bpe-equal")
+    two = spark.read.parquet(path)
+    want = {(i, tuple(reference_ids(vocabulary, t)), t) for i, t in enumerate(["one and two", "three"])}
+    for rows in (two.union(two), two.union(two).coalesce(1), two.union(two).union(two)):
+        for block_chars in (1, 12, 1 << 20):
+            coded = bpe.decode(bpe.encode(rows, vocabulary, block_chars=block_chars), vocabulary).collect()
+            assert {(r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist()), r.decoded) for r in coded} == want
+            assert len(coded) == rows.count()
+
+
 @pytest.mark.parametrize("targets", [None, {"src1": 1, "src2": 3}])
 def test_packing(spark, vocabulary, targets):
     texts = [*ODD, *(f"document {i} " * (i % 40) for i in range(60))]
@@ -194,6 +221,62 @@ def test_rounds_keep_proportions():
         assert abs(shares - np.array([24.5, 73.6, 1.9])).max() < 2.5
 
 
+def path_of(totals, s):
+    """Forks above leaf s: tokens below, tokens on the left side, whether s lies on the right."""
+    height, out = max(len(totals) - 1, 0).bit_length(), []
+    for k in range(height):
+        up = s >> (k + 1)
+        below = totals[up << (k + 1) : (up + 1) << (k + 1)]
+        out.append((sum(below), sum(below[: 1 << k]), bool(s >> k & 1)))
+    return out
+
+
+@pytest.mark.parametrize("totals", [[5], [1000, 3001, 77], [int(x) for x in np.random.default_rng(7).integers(1, 400, 77)], [1] * 130 + [5000]], ids=["one", "three", "many", "tiny"])
+def test_forks_place_every_token_once(totals):
+    n, left, right = (np.array([[f[i] for f in path_of(totals, s)] for s in range(len(totals))]).reshape(len(totals), -1) for i in range(3))
+    forks, everything = packing.Forks(n, left, right), sum(totals)
+    leaf = np.arange(len(totals))
+    row, at, size, place = packing.window_pieces(forks, everything, 100, leaf, np.zeros(len(totals), np.int64), np.array(totals))
+    owner = np.full(everything, -1)
+    for r, a, k, p in zip(row, at, size, place):
+        assert (owner[p : p + k] == -1).all() and p // 100 == (p + k - 1) // 100
+        owner[p : p + k] = r
+    assert (owner >= 0).all() and sum(size) == everything
+    # At the end of every window each queue is within a token a fork of its share.
+    for w in range(1, everything // 100):
+        owed = np.array(totals) * (100 * w / everything)
+        assert (abs(np.bincount(owner[: 100 * w], minlength=len(totals)) - owed) < max(n.shape[1], 1)).all()
+    # A document cut out of a queue finds the same places.
+    half = np.array(totals) // 2
+    whole = {(r, a + i): p + i for r, a, k, p in zip(row, at, size, place) for i in range(k)}
+    for r, a, k, p in zip(*packing.window_pieces(forks, everything, 100, leaf, half, np.array(totals))):
+        assert all(whole[r, a + i] == p + i for i in range(k))
+
+
+def test_floor_of_large_products():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 1 << 45, 5000), rng.integers(1, 1 << 45, 5000)
+    c = np.maximum(b - rng.integers(0, 5, 5000) * rng.integers(0, 1 << 30, 5000), 1 << 44)
+    for plus in (0, -1):
+        a = np.maximum(a, 1)
+        assert packing._floor(a, b, c, plus).tolist() == [(x * y + plus) // z for x, y, z in zip(a.tolist(), b.tolist(), c.tolist())]
+
+
+def test_two_hundred_sources_keep_their_proportions(spark, vocabulary):
+    rows = [(i, f"w{i} " * (20 + i % 60), f"s{i % 200}") for i in range(2000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), vocabulary, length=512).collect()
+    tokens, window = {}, {}
+    for r in got:
+        tokens[r.queue] = tokens.get(r.queue, 0) + r.length
+        window[r.sequence_id, r.queue] = window.get((r.sequence_id, r.queue), 0) + r.length
+    everything, last = sum(tokens.values()), max(r.sequence_id for r in got)
+    assert len(tokens) == 200 and last > 20
+    # Eight forks owe a source less than a token each at both ends of a window.
+    for w in range(last):
+        for source, n in tokens.items():
+            assert abs(window.get((w, source), 0) - 512 * n / everything) < 16
+
+
 # 5 -------------------------------------------------------------------------------------------------
 
 

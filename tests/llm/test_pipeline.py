@@ -21,7 +21,7 @@ def test_pipeline(spark):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = quality.classify(docs, labels).filter("predicted = 1").select("doc_id")
     kept = docs.join(good, "doc_id")
-    single = hyperminhash.near_duplicates(kept).filter("kept").select("doc_id")
+    single = hyperminhash.near_duplicates(kept, share=80).filter("kept").select("doc_id")
     rest = {r.doc_id: r.text for r in kept.join(single, "doc_id").collect()}
     for r in secrets.scan(kept).filter("is_secret").collect():
         if r.doc_id in rest:
