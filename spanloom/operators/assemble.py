@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom import fixed_values as fv
 from spanloom.functions import codec
 from spanloom.operators.chains import heads
-from spanloom.operators.sequence import episodes, first_rows, last, ordered_text, prev, row_numbers, scan
+from spanloom.operators.sequence import episodes, first_rows, last, ordered_text, prev, row_numbers, scan, total
 from spanloom.session import settle
 
 ARGS = ["arg1", "arg2", "arg3", "arg4"]
@@ -80,11 +80,16 @@ def backtraces(df: DataFrame, opens: Column, closes: Column) -> DataFrame:
     Frames beyond n, and zeros, are dropped. How many records a trace has
     follows from its own n; there is no other bound.
     """
-    along = Window.partitionBy("tid", "start_seq").orderBy("seq")
-    parts = episodes(df, ["tid"], "seq", opens, closes, "start_seq").withColumns(
-        {"idx": F.row_number().over(along) - 1, "_n": F.first("arg2").over(along)}
-    )
-    parts = parts.filter((F.col("idx") == 0) | (F.col("idx") <= F.ceil((F.col("_n") - 2) / 3)))
+    rows = df.select("tid", "seq", *ARGS, opens.alias("_opens"), closes.alias("_closes"))
+    # A record's place in its trace follows from running counts, so both scans and nothing else need the records in order.
+    counted = scan(rows, ["tid"], "seq", {"_place": total(F.lit(1).cast("long"))}, shared=True, keep=True)
+    head = F.struct(F.col("seq").alias("start_seq"), F.col("_place").alias("place"), F.col("arg2").alias("n"))
+    steps = {"_head": last(F.when(F.col("_opens"), head)), "_closed": last(F.when(F.col("_closes"), F.col("seq")), before=True)}
+    seen = scan(counted, ["tid"], "seq", steps)
+    start = F.col("_head.start_seq")
+    alive = seen.filter(start.isNotNull() & (F.col("_closed").isNull() | (F.col("_closed") < start)))
+    parts = alive.withColumns({"start_seq": start, "idx": F.col("_place") - F.col("_head.place")})
+    parts = parts.filter((F.col("idx") == 0) | (F.col("idx") <= F.ceil((F.col("_head.n") - 2) / 3)))
     return _frames(parts, ["tid", "start_seq"])
 
 
