@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import components, ship, spans
@@ -37,6 +37,8 @@ MISSED = 1e-5
 SMALL = 64
 BLOCK_DOCUMENTS = 1024
 BLOCK_SHINGLES = 1 << 20
+#: Classes in loose groups, 40 bytes each, that are broadcast to the texts.
+BROADCAST_ROWS = 1 << 21
 
 _rng = np.random.default_rng(11)
 _WORD_FACTORS = _rng.integers(1, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,7 +111,7 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 class _Groups:
-    """Union-find over the rows of one task."""
+    """Union-find over the rows of one task, which are sorted: a group's root is its first row."""
 
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -119,6 +121,10 @@ class _Groups:
             self.up[x] = x = self.up[self.up[x]]
         return x
 
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+
     def links(self, ids: np.ndarray) -> list[tuple[int, int]]:
         return [(int(ids[r]), int(ids[i])) for i in range(len(self.up)) if (r := self.find(i)) != i]
 
@@ -189,11 +195,25 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list
 
 
 def _block_pairs(rows: DataFrame, group: str, block: Column, blocks: Column) -> DataFrame:
-    """Each row once for every pair of blocks its own block is part of."""
+    """Each row once for every pair of blocks its own block is part of, those of a pair by class."""
     spread = rows.withColumns({"_b": block, "_nb": blocks})
     spread = spread.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     spread = spread.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")})
-    return spread.repartition(group, "_i", "_j").sortWithinPartitions(group, "_i", "_j")
+    return spread.repartition(group, "_i", "_j").sortWithinPartitions(group, "_i", "_j", "cid")
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """Links (a, b) with a < b that connect the same nodes, about one for each node.
+
+    A node of many groups is linked with the smallest head it has, and its
+    other heads with that one; these are few and alike for many nodes, so
+    what is left is near a tree. A node has at most one head for each of its
+    bands and blocks.
+    """
+    heads = links.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("heads"))
+    low = F.get("heads", F.lit(0)).alias("a")
+    others = F.explode(F.concat(F.array("b"), F.slice("heads", F.lit(2), F.size("heads")))).alias("b")
+    return heads.select(low, others).distinct()
 
 
 def loose_links(classes: DataFrame, share: int = SHARE) -> DataFrame:
@@ -231,7 +251,7 @@ def loose_links(classes: DataFrame, share: int = SHARE) -> DataFrame:
             groups = _Groups(len(ids))
             for r in range(1, len(ids)):
                 for x in candidate_rows(r, rows, n, b, i[0] != j[0], share).tolist():
-                    groups.up[groups.find(x)] = groups.find(r)
+                    groups.join(x, r)
             out += groups.links(ids)
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -239,16 +259,18 @@ def loose_links(classes: DataFrame, share: int = SHARE) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return placed.mapInArrow(compare, "a long, b long").distinct()
+    return _stars(placed.mapInArrow(compare, "a long, b long"))
 
 
 def confirmed_links(docs: DataFrame, classes: DataFrame, loose: DataFrame, share: int = SHARE) -> DataFrame:
     """Links confirmed on full sets, enough of them to connect whatever is connected inside each loose group."""
     heavy = F.greatest("n_shingles", F.lit(BLOCK_SHINGLES // BLOCK_DOCUMENTS))
-    along = Window.partitionBy("root").orderBy("cid").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = classes.select("cid", "rep", "n_shingles").join(loose.withColumnRenamed("node", "cid"), "cid")
-    wanted = wanted.withColumn("block", F.floor(F.coalesce(F.sum(heavy).over(along), F.lit(0)) / BLOCK_SHINGLES).cast("int"))
-    wanted = wanted.withColumn("blocks", F.max("block").over(Window.partitionBy("root")) + 1)
+    wanted = settle(classes.select("cid", "rep", "n_shingles").join(loose.withColumnRenamed("node", "cid"), "cid"))
+    # A class falls into a block by its digest, so a large group needs its total only and no order.
+    sizes = wanted.groupBy("root").agg(F.ceil(F.sum(heavy) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    wanted = settle(wanted.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int")))
+    # Up to a size that suits a broadcast the texts stay where they are; beyond it they are shuffled to meet the classes.
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep")
 
     def gather(batches):
@@ -270,8 +292,8 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, loose: DataFrame, share
 
     def verify(batches):
         for _, i, j, side, cids, data in _grouped(batches, 3):
-            first = {c: k for k, c in reversed(list(enumerate(cids)))}
-            kept = sorted(first.values())
+            # Rows come by class; of repeated ones the first is kept.
+            kept = [k for k, c in enumerate(cids) if k == 0 or c != cids[k - 1]]
             if len(kept) < 2:
                 continue
             ids, b = np.array([cids[k] for k in kept]), np.array([side[k] for k in kept])
@@ -280,14 +302,13 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, loose: DataFrame, share
             groups = _Groups(len(ids))
             for r in range(1, len(ids)):
                 for x in candidate_rows(r, rows, n, b, i[0] != j[0], share).tolist():
-                    own, other = groups.find(r), groups.find(x)
-                    if own != other and similar(found[r], found[x], share):
-                        groups.up[other] = own
+                    if groups.find(r) != groups.find(x) and similar(found[r], found[x], share):
+                        groups.join(x, r)
             links = groups.links(ids)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return placed.mapInArrow(verify, "a long, b long")
+    return _stars(placed.mapInArrow(verify, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
@@ -307,14 +328,18 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     rows = settle(summaries(docs))
     filled = rows.filter("cid is not null and doc_id is not null")
     classes = settle(
-        filled.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+        filled.groupBy("cid").agg(
+            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("documents")
+        )
     )
     loose = components(loose_links(classes, share))
     joined = components(confirmed_links(docs, classes, loose, share)).withColumnRenamed("node", "cid")
     named = joined.join(classes.select("cid", "rep"), "cid")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
     component = named.join(smallest, "root").select("cid", "component")
-    of_class = classes.select("cid", "rep").join(component, "cid", "left").select("cid", F.coalesce("component", "rep").alias("component"))
+    # A class of one document that is linked with nothing needs no look-up.
+    of_class = classes.select("cid", "rep", "documents").join(component, "cid", "left").filter("documents > 1 or component is not null")
+    of_class = settle(of_class.select("cid", F.coalesce("component", "rep").alias("component")))
     out = rows.select("doc_id", "n_shingles", "cid").join(of_class, "cid", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
