@@ -8,7 +8,7 @@ from spanloom.operators import codes, filters, graph, order
 from spanloom.plans import decode
 from spanloom.plans.registry import query
 from spanloom.plans.tables import KEVENTS_SQL, kevents, table
-from spanloom.session import fresh_path
+from spanloom.session import fresh_path, settle
 from spanloom.sinks.text import report_lines, write_lines, write_report
 from spanloom.sources import text
 
@@ -261,7 +261,8 @@ SELECT seq, CAST(0 AS BIGINT) AS segment, printf('%13.1f %10.1f', ts / 1.0::DOUB
 def report_text(spark, sf_dir):
     """The whole decode, over events as records and names derived from the tables."""
     zero = F.lit(0).cast("long")
-    records = kevents(spark, sf_dir).withColumns({"arg3": zero, "arg4": zero})
+    # As in a conversion of raw files, records are settled before the scans that each read a few of their columns.
+    records = settle(kevents(spark, sf_dir).withColumns({"arg3": zero, "arg4": zero}))
     typed = records.join(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "event_type"), "seq")
     dictionary = (
         typed.filter(F.col("event_type") != "purchase")
