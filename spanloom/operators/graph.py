@@ -6,6 +6,8 @@ Edge rows have ``seq`` (file order), ``cluster``, ``host_gid``, ``host_name``,
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,7 +140,7 @@ def hit_test(arrows: DataFrame, points: list[tuple[float, float]], tolerance: fl
     return _nearest(arrows.select("*", F.inline(F.filter(listed, within))), tolerance)
 
 
-def _nearest(inside: DataFrame, tolerance: float) -> DataFrame:
+def _nearest(inside: DataFrame, tolerance: float, keys: tuple[str, ...] = ("point",)) -> DataFrame:
     """The nearest arrow of each point from pairs of an arrow and a point inside its box."""
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     along = ((F.col("px") - F.col("x0")) * dx + (F.col("py") - F.col("y0")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
@@ -147,50 +149,92 @@ def _nearest(inside: DataFrame, tolerance: float) -> DataFrame:
     off_y = F.col("py") - (F.col("y0") + share * dy)
     near = inside.withColumn("distance", F.sqrt(off_x * off_x + off_y * off_y)).filter(F.col("distance") < tolerance)
     best = F.struct("distance", "seq")
-    return near.groupBy("point").agg(F.min_by("seq", best).alias("arrow"), F.min("distance").alias("distance"))
+    return near.groupBy(*keys).agg(F.min_by("seq", best).alias("arrow"), F.min("distance").alias("distance"))
 
 
 #: A coordinate is at most 2**FINE cells from the origin, so cell numbers are exact.
-FINE = 50
+FINE = 48
+#: Along a side of an arrow's box lie 2**(SIDE_BITS - 2) to 2**SIDE_BITS cells.
+SIDE_BITS = 5
+#: Distances within which arrows are looked for in turn, as shares of the tolerance.
+REACHES = (2.0**-8, 2.0**-4, 1.0)
+
 
+def _level(low: Column, high: Column, other: Column, radius: float) -> Column:
+    """Size of the cells along a side of a box as a power of two, ``other`` being the length of the other side.
 
-def _level(low: Column, high: Column) -> Column:
-    """Size of the cells, as a power of two, of which an interval meets two, or three by rounding."""
+    Cells are not made finer than the radius looked in, unless the side is
+    shorter. Few sizes occur, as every point is dealt to each.
+    """
     size, reach = high - low, F.greatest(F.abs(low), F.abs(high))
-    wide = F.when(size > 0, F.ceil(F.log2(size)))
-    least = F.when(reach > 0, F.ceil(F.log2(reach)) - FINE).otherwise(-FINE)
-    return F.greatest(wide, least).cast("int")
+    wide = F.ceil(F.log2(F.when(size > 0, size).when(other > 0, other)))
+    fine = F.greatest(wide - SIDE_BITS, F.least(wide, F.lit(math.ceil(math.log2(radius))))) if 0 < radius < math.inf else wide
+    least = F.when(reach > 0, F.ceil((F.ceil(F.log2(reach)) - FINE) / 4) * 4).otherwise(-FINE)
+    return F.greatest(F.ceil(fine / 2) * 2, least, F.lit(-1000)).cast("int")
+
 
+def _size(level: str) -> Column:
+    return F.pow(F.lit(2.0), F.col(level))
 
-def _cell(at: Column, level: Column) -> Column:
-    return F.floor(at / F.pow(F.lit(2.0), level))
+
+def _cell(at: Column, level: str) -> Column:
+    return F.floor(at / _size(level))
+
+
+def _dealt(arrows: DataFrame, radius: float) -> DataFrame:
+    """Each arrow in the cells (``_lx``, ``_ly``, ``_cx``, ``_cy``) that hold all points of its box nearer to it than the radius."""
+    x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
+    dx, dy = x1 - x0, y1 - y0
+    sized = arrows.withColumns({"_lx": _level(x0, x1, dy, radius), "_ly": _level(y0, y1, dx, radius)})
+    columns = sized.withColumn("_cx", F.explode(F.sequence(_cell(x0, "_lx"), _cell(x1, "_lx"))))
+    # What lies nearer than the radius within a column, with room for rounding; a box of hardly any width is taken whole.
+    slope, rounding = dy / dx, 2.0**-48 * (F.greatest(F.abs(x0), F.abs(x1)) + F.greatest(F.abs(y0), F.abs(y1)))
+    off = (radius * (1 + 2.0**-20) + rounding) * F.sqrt(1 + slope * slope)
+    left, right = F.greatest(x0, F.col("_cx") * _size("_lx")), F.least(x1, (F.col("_cx") + 1) * _size("_lx"))
+    leans = (dx * 8 > _size("_lx")) & (dy < dx * 1e9)
+    low = F.when(leans, F.greatest(y0, y0 + slope * (left - x0) - off)).otherwise(y0)
+    high = F.when(leans, F.least(y1, y0 + slope * (right - x0) + off)).otherwise(y1)
+    return columns.withColumn("_cy", F.explode(F.sequence(_cell(low, "_ly"), _cell(high, "_ly"))))
 
 
 def hit_test_table(arrows: DataFrame, points: DataFrame, tolerance: float) -> DataFrame:
     """``hit_test`` for a table of points (``point``, ``px``, ``py``), however many there are.
 
-    An arrow's box is dealt to the few cells it meets in a grid about as fine
-    as the box is wide and high, so a large box lies in few large cells and a
-    small one in few small cells. A point is dealt to its one cell of every
-    grid in use (pairs of exponents, so few), and arrows and points meet by
-    cell. Coordinates that are null or not finite hit nothing.
+    An arrow is dealt to the cells its line passes, in a grid about a sixteenth
+    as fine as its box is wide and high, so any arrow lies in some dozens of
+    cells. A point is dealt to its one cell of every grid in use (pairs of
+    exponents, so few), and arrows and points meet by cell, in a shuffled join:
+    Spark can't know how many grids a small table of points is dealt to. Arrows
+    are first looked for very near to a point; what is found there can't be
+    beaten, so only points without any go on to the next radius, the last one
+    being the tolerance. Points at one place are looked up once, and of equal
+    arrows the first one stands for all. Coordinates that are null or not
+    finite hit nothing.
     """
     sound = [F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) < float("inf")) for c in ("x0", "x1", "y0", "y1", "px", "py")]
     boxes = arrows.filter(sound[0] & sound[1] & sound[2] & sound[3] & (F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1")))
-    boxes = boxes.withColumns({"_lx": _level(F.col("x0"), F.col("x1")), "_ly": _level(F.col("y0"), F.col("y1"))})
-    grids = settle(boxes.select("_lx", "_ly").distinct())
-
-    def cells(low: str, high: str, level: str) -> Column:
-        return F.explode(F.sequence(_cell(F.col(low), F.col(level)), _cell(F.col(high), F.col(level))))
-
-    dealt = boxes.withColumn("_cx", cells("x0", "x1", "_lx")).withColumn("_cy", cells("y0", "y1", "_ly"))
-    # One row: the exponents of two axes that occur.
-    listed = grids.agg(F.collect_set(F.struct("_lx", "_ly"))).scalar()
-    spread = points.filter(sound[4] & sound[5]).select("point", F.col("px").cast("double"), F.col("py").cast("double"), F.inline(listed))
-    spread = spread.withColumns({"_cx": _cell(F.col("px"), F.col("_lx")), "_cy": _cell(F.col("py"), F.col("_ly"))})
-    met = dealt.join(spread, ["_lx", "_ly", "_cx", "_cy"])
+    # A null seq comes before all others.
+    boxes = boxes.groupBy("x0", "y0", "x1", "y1").agg(F.max(F.col("seq").isNull()).alias("_none"), F.min("seq").alias("seq"))
+    boxes = settle(boxes.select("x0", "y0", "x1", "y1", F.when(~F.col("_none"), F.col("seq")).alias("seq")))
+    at = points.filter(sound[4] & sound[5]).select("point", F.col("px").cast("double"), F.col("py").cast("double"))
+    left = settle(at.select("px", "py").distinct())
     within = F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1"))
-    return _nearest(met.filter(within), tolerance)
+    found = None
+    for share in REACHES:
+        radius = tolerance * share
+        # One row: the exponents of two axes that occur.
+        levels = [_level(F.col(f"{c}0"), F.col(f"{c}1"), F.col(f"{d}1") - F.col(f"{d}0"), radius).alias(f"_l{c}") for c, d in ("xy", "yx")]
+        listed = settle(boxes.select(*levels).distinct()).agg(F.collect_set(F.struct("_lx", "_ly"))).scalar()
+        spread = left.select("px", "py", F.inline(listed))
+        spread = spread.withColumns({"_cx": _cell(F.col("px"), "_lx"), "_cy": _cell(F.col("py"), "_ly")})
+        met = _dealt(boxes, radius).join(spread.hint("merge"), ["_lx", "_ly", "_cx", "_cy"])
+        hits = settle(_nearest(met.filter(within), radius, ("px", "py")))
+        found = hits if found is None else found.unionByName(hits)
+        if share < 1:
+            left = settle(left.join(hits, ["px", "py"], "left_anti"))
+    best = F.struct("distance", "seq")
+    told = at.join(found.withColumnRenamed("arrow", "seq"), ["px", "py"])
+    return told.groupBy("point").agg(F.min_by("seq", best).alias("arrow"), F.min("distance").alias("distance"))
 
 
 # Diagram text: rows of (keys, place, pos, who, value), sorted by place, pos and who when written.

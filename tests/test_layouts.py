@@ -119,6 +119,29 @@ def test_hit_test_table(spark, far):
     assert graph.hit_test_table(frame, table.limit(0), 2.0).collect() == [] == graph.hit_test_table(frame.limit(0), table, 2.0).collect()
 
 
+def test_hit_test_table_on_a_dense_chart(spark, monkeypatch, tmp_path):
+    """Points dealt to many grids are broadcast nowhere; equal places, equal arrows, ties and null keys are as in the plain way."""
+    pick = random.Random(4)
+    arrows = [(seq, *(float(pick.randrange(40)) for _ in range(2))) for seq in range(3000)]
+    arrows = [(seq, x, y, x + 2.0 ** pick.randrange(-6, 6), y + 3.0 ** pick.randrange(-3, 4)) for seq, x, y in arrows]
+    arrows += [(3000 + i, *a[1:]) for i, a in enumerate(arrows[:500])] + [(4000, 70.0, 70.0, 90.0, 70.0), (None, 70.0, 70.0, 90.0, 70.0), (4001, 60.0, 69.0, 60.0, 79.0)]
+    points = [(i, pick.randrange(400) / 10, pick.randrange(400) / 10) for i in range(800)] + [(i, 20.5, 20.25) for i in range(800, 900)]
+    points += [(900, 80.0, 70.0), (901, 60.0, 71.0), (902, 60.0, 80.0)]
+    spark.createDataFrame(arrows, "seq long, x0 double, y0 double, x1 double, y1 double").write.parquet(f"{tmp_path}/arrows")
+    spark.createDataFrame(points + [(None, 60.0, 71.0), (5, 60.0, 71.0)], "point long, px double, py double").write.parquet(f"{tmp_path}/points")
+    seen = []
+    monkeypatch.setattr(graph, "settle", lambda df, plain=graph.settle: seen.append(df) or plain(df))
+    far = plain_hits([a for a in arrows if a[0] is not None], points, 1000.0)
+    for tolerance in (0.3, 5.0, float("inf")):
+        hits = graph.hit_test_table(spark.read.parquet(f"{tmp_path}/arrows"), spark.read.parquet(f"{tmp_path}/points"), tolerance)
+        got = {r.point: r.arrow for r in hits.collect()}
+        want = plain_hits([a for a in arrows if a[0] is not None], points, tolerance) if tolerance < 9 else far
+        assert got == want | {900: None, None: 4001, 5: 4001} and len(want) > 500
+        by_cell = [plan for plan in (df._jdf.queryExecution().executedPlan().toString() for df in [*seen, hits]) if "_cx" in plan]
+        assert by_cell and not any("BroadcastHashJoin" in plan for plan in by_cell)
+    assert graph.hit_test_table(spark.read.parquet(f"{tmp_path}/arrows"), spark.read.parquet(f"{tmp_path}/points"), 0.0).collect() == []
+
+
 def test_boxes_in_pieces_make_up_the_lines(spark, small_blocks):
     pick = random.Random(4)
     rows, gid = [], 0
