@@ -1,30 +1,40 @@
 """Main text of web pages by wrappers inferred from pages of the same host.
 
 Pages are parsed into trees of tags. A host's wrapper is a union-free regular
-expression in tree form, inferred by aligning one page after the other with
-what is known so far: texts that differ become slots, tags that one side lacks
-become optional groups, equal neighbours become repeated groups. The slots
-that lie in the article and outside page furniture are main text.
+expression in tree form, inferred by aligning all different pages of the host,
+bounded parts of them first, then what is known of the parts: texts that differ
+become slots, tags that one side lacks become optional groups, equal neighbours
+become repeated groups. The slots that lie in the article and outside page
+furniture are main text.
 """
 
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html as entities
 import json
+import operator
 import re
 from collections import Counter, OrderedDict
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import ship
 from spanloom.llm.urls import host
 from spanloom.session import settle
 
-#: Most pages of a host its wrapper is inferred from.
-SAMPLE = 8
+#: Different pages of a host aligned in one group, and wrappers of such groups aligned in one; so many groups are made that all pages are.
+GROUP, GROUPS = 256, 64
+#: Different pages that must hold a constant text before it counts as the site's.
+CERTAIN = 3
+#: A wrapper of more nodes is generalised, so it stays small whatever marks its pages have.
+MOST = 4000
+#: Constant texts longer than this are told apart by their digest.
+LONGEST = 64
 DEEPEST = 100
 #: HTML's elements without content, its blocks, page furniture by element and by class or id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -124,7 +134,14 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper node is [key, optional, repeated, children]; a text is ["#", optional, repeated, text or None for a slot].
+# A wrapper node is [key, optional, repeated, children]; a text is ["#", optional, repeated, text, pages it is known from] or, as a slot,
+# ["#", optional, repeated, None]. The key `name.*` stands for elements of that name with any marks.
+
+
+def told(text: str) -> str:
+    """How a wrapper holds a constant text."""
+    text = " ".join(text.split())
+    return text if len(text) <= LONGEST else "~" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def shape(node: Node, depth: int = 1) -> list:
@@ -133,7 +150,7 @@ def shape(node: Node, depth: int = 1) -> list:
     for child in node.children:
         if isinstance(child, str):
             if child.strip():
-                children.append(["#", False, False, " ".join(child.split())])
+                children.append(["#", False, False, told(child), 1])
         else:
             children.append(shape(child, depth + 1) if depth < DEEPEST else [child.key, False, False, []])
     return [node.key, False, False, fold(children)]
@@ -143,39 +160,82 @@ def fold(children: list) -> list:
     out: list = []
     for child in children:
         if out and out[-1][0] == child[0]:
-            out[-1] = merge(out[-1], child)
+            out[-1] = merge(out[-1], child, max)
             out[-1][2] = True
         else:
             out.append(child)
     return out
 
 
-def merge(a: list, b: list) -> list:
-    """The least general wrapper of both kinds of node found with equal keys."""
+def merge(a: list, b: list, pages=operator.add) -> list:
+    """The least general wrapper of both kinds of node found with equal keys.
+
+    ``pages`` is how the numbers of pages that hold an equal text go together:
+    their sum where the sides come from different pages, else the greater one.
+    """
     if a[0] == "#":
-        return ["#", a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else None]
-    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3])]
+        equal = a[3] is not None and a[3] == b[3]
+        return ["#", a[1] or b[1], a[2] or b[2], *([a[3], pages(a[4], b[4])] if equal else [None])]
+    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3], pages)]
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, pages=operator.add) -> list:
     """Children of both aligned by their keys; what one side lacks is optional."""
     out = []
-    keys = difflib.SequenceMatcher(None, [x[0] for x in a], [x[0] for x in b], autojunk=False)
-    for kind, i, k, j, m in keys.get_opcodes():
+    left, right = [x[0] for x in a], [x[0] for x in b]
+    if left == right:
+        return fold([merge(x, y, pages) for x, y in zip(a, b)])
+    for kind, i, k, j, m in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
         if kind == "equal":
-            out += [merge(x, y) for x, y in zip(a[i:k], b[j:m])]
+            out += [merge(x, y, pages) for x, y in zip(a[i:k], b[j:m])]
         else:
             out += [[x[0], True, *x[2:]] for x in (*a[i:k], *b[j:m])]
     return fold(out)
 
 
+def size(wrapper: list) -> int:
+    return 1 + (0 if wrapper[0] == "#" else sum(map(size, wrapper[3])))
+
+
+def general(wrapper: list, width: int) -> list:
+    """The wrapper with at most ``width`` children a node where there are more than one of a name: those of one name become one repeated group."""
+    if wrapper[0] == "#":
+        return wrapper
+    children = wrapper[3]
+    if len(children) > width:
+        named: dict[str, list] = {}
+        for c in children:
+            key = c[0] if c[0] == "#" else c[0].partition(".")[0] + ".*"
+            c = [key, *c[1:]]
+            named[key] = [*merge(named[key], c, max)] if key in named else c
+            named[key][1:3] = [True, True]
+        children = list(named.values())
+    return [*wrapper[:3], [general(c, width) for c in children]]
+
+
+def combine(wrappers: Iterable[list]) -> list | None:
+    """One wrapper for all that those of different pages fit, in their order."""
+    known = None
+    for own in wrappers:
+        known = own if known is None else merge(known, own)
+        for width in (64, 16, 4, 1):
+            if size(known) <= MOST:
+                break
+            known = general(known, width)
+    return known
+
+
 def infer(pages: list[str]) -> list | None:
     """A host's wrapper: the first page's own, generalised by one page after the other."""
-    wrapper = None
-    for page in pages:
-        own = shape(parse(page))
-        wrapper = own if wrapper is None else merge(wrapper, own)
-    return wrapper
+    return combine(shape(parse(page)) for page in pages)
+
+
+def site(wrapper: list) -> list | None:
+    """What a wrapper holds of the site's own texts: its constants known from CERTAIN pages and the way to them."""
+    if wrapper[0] == "#":
+        return wrapper if wrapper[3] is not None and wrapper[4] >= CERTAIN else None
+    children = [c for c in map(site, wrapper[3]) if c]
+    return [*wrapper[:3], children] if children else None
 
 
 def has_region(node: Node) -> bool:
@@ -223,7 +283,7 @@ def keep_content(root: Node) -> None:
 
 
 def main_text(page: str, wrapper: list | None, certain: bool) -> str:
-    """Main text of a page. ``certain``: the wrapper comes from several different pages, so a text it holds as constant is the site's.
+    """Main text of a page. ``certain``: the wrapper comes from several different pages, so a text that CERTAIN of them hold as constant is the site's.
 
     The article element is the region where the page has one; elsewhere the
     whole body is, without the wrapper's constant texts. Nodes the wrapper
@@ -240,8 +300,8 @@ def main_text(page: str, wrapper: list | None, certain: bool) -> str:
         if text:
             blocks.append(text)
 
-    # (node, wrapper node, inside the region, next child); an explicit stack, as pages may nest deeply
-    stack = [(root, wrapper, not has_region(root), 0)]
+    # (node, wrapper nodes that fit it, inside the region, next child); an explicit stack, as pages may nest deeply
+    stack = [(root, [wrapper] if wrapper else [], not has_region(root), 0)]
     bounded = not stack[0][2]
     while stack:
         node, known, inside, i = stack.pop()
@@ -252,9 +312,8 @@ def main_text(page: str, wrapper: list | None, certain: bool) -> str:
         stack.append((node, known, inside, i + 1))
         child = node.children[i]
         if isinstance(child, str):
-            fits = next((w for w in known[3] if w[0] == "#"), None) if known else None
-            site = not bounded and certain and fits is not None and fits[3] is not None
-            if inside and not site:
+            constants = [w for k in known for w in k[3] if w[0] == "#" and w[3] is not None and w[4] >= CERTAIN] if certain and not bounded else []
+            if inside and not (constants and told(child) in [w[3] for w in constants]):
                 now.append(child)
             continue
         if child.name in BLOCKS:
@@ -263,36 +322,64 @@ def main_text(page: str, wrapper: list | None, certain: bool) -> str:
             now.append(" ")
         if child.dropped or child.name in VOID:
             continue
-        fits = next((w for w in known[3] if w[0] == child.key), None) if known else None
+        fits = [w for k in known for w in k[3] if w[0] == child.key or w[0] == child.name + ".*"]
         stack.append((child, fits, inside or child.name in REGIONS, 0))
     close()
     return " ".join(blocks)
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row per host with its wrapper as JSON and whether it comes from pages of which no two are equal in their texts."""
+def shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each page's own wrapper as JSON."""
+    for frame in frames:
+        yield pd.DataFrame({"host": frame["host"], "shape": [json.dumps(shape(parse(page))) for page in frame["html"]]}).drop_duplicates()
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """One row per host with the wrapper of all its pages as JSON, how many different ones there are, and the site's own texts in the wrapper (null if none).
+
+    Pages with equal texts in equal elements are one. Those of a host are dealt
+    to groups by hash, a wrapper is made of each, and the wrappers are merged
+    by groups until one is left, in an order that the pages alone decide.
+    """
     ship(pages.sparkSession)
-    first = Window.partitionBy("host").orderBy("_h", "html")
-    rows = pages.select(host(F.col("url")).alias("host"), "html", F.xxhash64("html").alias("_h")).filter("html is not null")
-    chosen = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= sample)
+    rows = pages.select(host(F.col("url")).alias("host"), "html").filter("html is not null")
+    own = settle(rows.mapInPandas(shapes, "host string, shape string").distinct())
+    counts = settle(own.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_parts")))
+    order = F.xxhash64("shape").alias("_order")
+    dealt = own.join(counts, "host").select("host", "_parts", order, "shape", F.lit(1).cast("long").alias("n"))
+    # Dealt by both, as a shuffled join by host alone would leave all groups of a host in one task.
+    dealt = dealt.withColumn("_part", F.pmod("_order", "_parts")).repartition("host", "_part")
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        own = list(dict.fromkeys(frame.sort_values("_n")["html"]))
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(infer(own))], "certain": [len(own) >= 3]})
+        frame = frame.sort_values(["_order", "shape"])
+        known = combine(map(json.loads, frame["shape"]))
+        first = {c: [frame[c].iloc[0]] for c in ("host", "_part", "_parts")}
+        return pd.DataFrame(first | {"shape": [json.dumps(known)], "n": [frame["n"].sum()]})
+
+    form = "host string, _part long, _parts long, shape string, n long"
+    known = settle(dealt.groupBy("host", "_part").applyInPandas(learn, form))
+    while (known.agg(F.max("_parts")).first()[0] or 0) > 1:
+        up = known.select("host", F.col("_part").alias("_order"), F.floor(F.col("_part") / GROUPS).alias("_part"), F.ceil(F.col("_parts") / GROUPS).alias("_parts"), "shape", "n")
+        known = settle(up.groupBy("host", "_part").applyInPandas(learn, form))
+
+    def pruned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            kept = [site(json.loads(x)) for x in frame["wrapper"]]
+            yield frame.assign(site=[json.dumps(x) if x else None for x in kept])
 
-    return settle(chosen.groupBy("host").applyInPandas(learn, "host string, wrapper string, certain boolean"))
+    return settle(known.select("host", F.col("shape").alias("wrapper"), "n").mapInPandas(pruned, "host string, wrapper string, n long, site string"))
 
 
-def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def extract(pages: DataFrame) -> DataFrame:
     """Main text of every page, from the whole html.
 
     Null and repeated ids and URLs are passed through; null html is empty and
     has no text. Pages without a host share one wrapper. An empty table gives
-    no rows; other columns are ignored. A wrapper is inferred from at most
-    ``sample`` different pages of its host, then applied to all of them.
+    no rows; other columns are ignored. A wrapper is inferred from all
+    different pages of its host, then applied to all of them.
     """
     ship(pages.sparkSession)
-    learnt = wrappers(pages, sample)
+    learnt = wrappers(pages).select("host", F.col("site").alias("wrapper"), (F.col("n") >= CERTAIN).alias("certain"))
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(learnt, "host", "left")
 
     def apply(frames):
